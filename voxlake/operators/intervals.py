@@ -45,7 +45,9 @@ def speech_segments(
     min_speech: float = 0.1,
     pad: float = 0.3,
     min_length: float = 0.1,
-    split: bool = True,
+    max_len: float = 30.0,
+    step: float = 25.0,
+    min_tail: float = 5.0,
 ) -> DataFrame:
     """Speech intervals of each series from frame probabilities.
 
@@ -65,7 +67,7 @@ def speech_segments(
         .select("series_id", F.greatest(F.lit(0.0), F.col("start_s") - pad).alias("start_s"), (F.col("end_s") + pad).alias("end_s"))
         .where(F.col("end_s") - F.col("start_s") >= min_length)
     )
-    out = split_long(found).drop("piece_no") if split else found
+    out = split_long(found, max_len, step, min_tail).drop("piece_no")
     # The fallback only needs to know whether a series has speech, which is one row per series.
     silent = meta.where(F.col("duration") > 0).join(found.select("series_id").distinct(), "series_id", "left_anti")
     whole = silent.select("series_id", F.lit(0.0).alias("start_s"), F.col("duration").alias("end_s"))
