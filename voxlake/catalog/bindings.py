@@ -125,6 +125,12 @@ SPARK_START = f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'{EPOCH}', ts) / 1e6D"
 DUCK_START = "CAST(epoch_us(ts) - 1704067200000000 AS DOUBLE) / 1e6"
 
 
+def micros(ts):
+    """Microseconds since 1970 of a time, whatever the session's time zone."""
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", start, ts.cast("timestamp_ntz"))
+
+
 class Tables:
     """The views over one folder of Parquet tables."""
 

@@ -1 +1,187 @@
-"""Queries."""
+"""Queries about embeddings and scoring."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from voxlake.catalog.bindings import Tables
+from voxlake.catalog.registry import query
+from voxlake.functions.vectors import l2_normalize
+from voxlake.operators import scoring as C
+from voxlake.operators import vectors as V
+
+UNIT = """SELECT task_id, idx, label, list_transform(embedding, lambda v: v / sqrt(list_dot_product(embedding, embedding))) AS u FROM vectors"""
+
+
+@query(
+    "h14_l2_normalize",
+    "SELECT task_id, idx, CAST(i AS INT) AS place, round(u[i + 1], 6) AS value FROM (SELECT *, unnest(range(64)) AS i FROM scaled)",
+    scaled="SELECT task_id, idx, list_transform(embedding, lambda v: 3 * v / sqrt(list_dot_product(list_transform(embedding, lambda w: 3 * w), list_transform(embedding, lambda w: 3 * w)))) AS u FROM vectors",
+)
+def _(t: Tables):
+    scaled = F.transform("embedding", lambda v: v.cast("double") * 3)
+    out = t.embeddings.select("task_id", "idx", F.posexplode(l2_normalize(scaled)).alias("place", "value"))
+    return out.withColumn("value", F.round("value", 6))
+
+
+@query(
+    "c11_pair_distances",
+    """SELECT a.task_id, a.idx AS left_idx, b.idx AS right_idx, round(1 - list_dot_product(a.u, b.u), 6) AS distance
+    FROM unit a JOIN unit b ON b.task_id = a.task_id AND b.idx = a.idx + 1""",
+    unit=UNIT,
+)
+def _(t: Tables):
+    # The neighbours in each recording; a list of all pairs of a group is never made.
+    pairs = t.embeddings.where(F.col("idx") < 19).select("task_id", F.col("idx").alias("left_idx"), (F.col("idx") + 1).alias("right_idx"))
+    return V.pair_distances(t.embeddings, pairs).withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    "c11_mean_distances",
+    """SELECT a.task_id, a.idx, b.label AS group_label, count(*) FILTER (WHERE a.idx <> b.idx) AS others,
+    CASE WHEN count(*) FILTER (WHERE a.idx <> b.idx) > 0 THEN round(sum(1 - list_dot_product(a.u, b.u)) / count(*) FILTER (WHERE a.idx <> b.idx), 6) END AS mean_distance
+    FROM unit a JOIN unit b ON b.task_id = a.task_id GROUP BY a.task_id, a.idx, a.label, b.label""",
+    unit=UNIT,
+)
+def _(t: Tables):
+    return V.mean_distances(t.embeddings).withColumn("mean_distance", F.round("mean_distance", 6))
+
+
+@query(
+    "d08_silhouette",
+    """SELECT task_id, round(avg(CASE WHEN n_own <= 1 THEN 0 ELSE coalesce((b - a) / greatest(a, b), 0) END), 6) AS silhouette FROM (
+      SELECT task_id, idx, max(n) FILTER (WHERE own) AS n_own, max(d) FILTER (WHERE own) AS a, min(d) FILTER (WHERE NOT own) AS b FROM (
+        SELECT a.task_id, a.idx, a.label = b.label AS own, count(*) AS n,
+          sum(CASE WHEN a.idx <> b.idx THEN 1 - list_dot_product(a.u, b.u) ELSE 0 END) / nullif(count(*) FILTER (WHERE a.idx <> b.idx), 0) AS d
+        FROM unit a JOIN unit b ON b.task_id = a.task_id GROUP BY a.task_id, a.idx, a.label, b.label)
+      GROUP BY task_id, idx) GROUP BY task_id""",
+    unit=UNIT,
+)
+def _(t: Tables):
+    return V.silhouette(t.embeddings).withColumn("silhouette", F.round("silhouette", 6))
+
+
+@query("j04_cluster_speakers")
+def _(t: Tables):
+    return V.cluster_speakers(t.embeddings)
+
+
+@query("j05_assign_speakers")
+def _(t: Tables):
+    return V.assign_speakers(t.segments, t.embeddings).select("task_id", "idx", "speaker_id")
+
+
+def upper_provider():
+    """A stand-in for a model: upper case, and no answer for texts that hold a 7."""
+
+    def call(text: str) -> str:
+        if "7" in text:
+            raise RuntimeError("no answer")
+        return text.upper()
+
+    return call
+
+
+@query(
+    "j01_score_keep_input",
+    """SELECT task_id, idx, CASE WHEN used THEN CASE WHEN contains(original_text, '7') THEN original_text ELSE upper(trim(original_text)) END ELSE translated_text END AS translated_text,
+    CASE WHEN used THEN 'translated' ELSE status END AS status, CAST(CASE WHEN NOT used THEN 0 WHEN contains(original_text, '7') THEN 3 ELSE 1 END AS INT) AS attempts
+    FROM (SELECT *, coalesce(length(original_text) > 0, FALSE) AND status <> 'failed' AS used FROM segments)""",
+)
+def _(t: Tables):
+    out = C.score(t.segments.drop("ts"), upper_provider, pause=None)
+    return out.select("task_id", "idx", "translated_text", "status", "attempts")
+
+
+@query(
+    "j01_score_mark_failed",
+    """SELECT task_id, idx, CASE WHEN NOT used THEN translated_text WHEN NOT contains(original_text, '7') THEN upper(trim(original_text)) END AS translated_text,
+    CASE WHEN used THEN CASE WHEN contains(original_text, '7') THEN 'failed' ELSE 'translated' END ELSE status END AS status,
+    CASE WHEN used AND contains(original_text, '7') THEN 'no answer' ELSE error END AS error
+    FROM (SELECT *, coalesce(length(original_text) > 0, FALSE) AND status <> 'failed' AS used FROM segments)""",
+)
+def _(t: Tables):
+    out = C.score(t.segments.drop("ts"), upper_provider, pause=None, on_fail="error")
+    return out.select("task_id", "idx", "translated_text", "status", "error")
+
+
+@query(
+    "j01_score_identity",
+    """SELECT task_id, idx, CASE WHEN coalesce(length(original_text) > 0, FALSE) AND status <> 'failed' THEN original_text ELSE translated_text END AS translated_text FROM segments""",
+)
+def _(t: Tables):
+    return C.score(t.segments, None).select("task_id", "idx", "translated_text")
+
+
+def reversed_provider():
+    def call(text: str) -> str:
+        if "!" in text:
+            raise RuntimeError("AVX not available")
+        return text[::-1]
+
+    return call
+
+
+@query(
+    "j02_route_engines",
+    """SELECT task_id, idx, used AS engine_used, CASE WHEN used IS NULL THEN NULL WHEN used = 'fishspeech' THEN upper(txt) ELSE reverse(txt) END AS result, state AS status FROM (
+      SELECT *, CASE WHEN engine = 'f5' AND sample IS NOT NULL AND contains(txt, '!') THEN 'fishspeech'
+          WHEN engine IN ('f5', 'fishspeech') AND sample IS NOT NULL THEN engine WHEN engine = 'bark' THEN engine END AS used,
+        CASE WHEN engine = 'other' OR (engine IN ('f5', 'fishspeech') AND sample IS NULL) THEN 'error' ELSE 'ok' END AS state
+      FROM (SELECT *, 'say ' || event_id || CASE WHEN event_id % 10 = 3 THEN '!' ELSE '' END AS txt, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'x.wav' END AS sample,
+        CASE WHEN event_id % 10 = 3 THEN 'f5' ELSE ['f5', 'bark', 'fishspeech', 'other'][event_id % 4 + 1] END AS engine FROM segments))""",
+)
+def _(t: Tables):
+    event = F.col("event_id")
+    engine = F.element_at(F.array(*[F.lit(e) for e in ("F5", "bark", "fishspeech", "other")]), (event % 4 + 1).cast("int"))
+    rows = t.segments.select(
+        "task_id", "idx",
+        F.concat(F.lit("say "), event.cast("string"), F.when(event % 10 == 3, "!").otherwise("")).alias("translated_text"),
+        F.when(event % 10 == 3, "f5").otherwise(engine).alias("engine"),
+        F.when(event % 3 != 0, "x.wav").alias("voice_sample"),
+    )
+    registry = {"f5": reversed_provider, "bark": reversed_provider, "fishspeech": upper_provider_plain}
+    out = C.route_scores(rows, registry, fallback={"f5": "fishspeech"})
+    used = F.when(F.col("status") == "ok", F.col("engine_used"))
+    return out.select("task_id", "idx", used.alias("engine_used"), "result", "status")
+
+
+def upper_provider_plain():
+    return lambda text: text.upper()
+
+
+def tone_provider():
+    """A signal from a text: silent for texts that hold a 9, else a tone as loud as the text is long."""
+
+    def call(text: str) -> list[float]:
+        level = 0.0 if "9" in text else 1.0
+        return [level * (1.0 if i % 2 else -1.0) for i in range(len(text))]
+
+    return call
+
+
+@query(
+    "j03_quality_gate",
+    """SELECT task_id, idx, CASE WHEN NOT contains(original_text, '9') THEN CAST(length(original_text) AS INT) END AS samples,
+    CASE WHEN contains(original_text, '9') THEN 'failed' ELSE 'translated' END AS status,
+    CASE WHEN contains(original_text, '9') THEN 'near-silent output' END AS error FROM segments WHERE length(original_text) > 0""",
+)
+def _(t: Tables):
+    rows = t.segments.where(F.length("original_text") > 0).select("task_id", "idx", "original_text")
+    out = C.score(rows, tone_provider, out_col="signal", pause=None, on_fail="error", gate=C.quality_gate, out_type="array<double>")
+    return out.select("task_id", "idx", F.when(F.col("signal").isNotNull(), F.size("signal")).alias("samples"), "status", "error")
+
+
+@query(
+    "j08_analyze",
+    """SELECT task_id, upper('You are an expert summarizer. Summarize the following text concisely.' || E'\\n\\nTEXT:\\n' || string_agg(regexp_replace(original_text, '[^a-zA-Z .,]', '', 'g'), ' ' ORDER BY idx)) AS analysis
+    FROM transcripts GROUP BY task_id""",
+)
+def _(t: Tables):
+    texts = t.transcripts.withColumn("original_text", F.regexp_replace("original_text", "[^a-zA-Z .,]", ""))
+    return C.analyze(texts, "summary", upper_provider_plain).select("task_id", "analysis")
+
+
+@query("j08_unknown_mode", "SELECT DISTINCT task_id, 'Unknown mode' AS error FROM transcripts")
+def _(t: Tables):
+    return C.analyze(t.transcripts, "poem", upper_provider_plain).select("task_id", "error")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxlake import schemas
-from voxlake.catalog.bindings import Tables
+from voxlake.catalog.bindings import Tables, micros
 from voxlake.catalog.registry import query
 from voxlake.operators import lifecycle as L
 from voxlake.operators import tasks as T
@@ -350,7 +350,7 @@ def _(t: Tables):
 
 @query(
     "i02_apply_step_updates",
-    """SELECT s.task_id, s.task_name, coalesce(u.status, s.status) AS status, u.started_at, u.completed_at,
+    """SELECT s.task_id, s.task_name, coalesce(u.status, s.status) AS status, epoch_us(u.started_at) AS started_at, epoch_us(u.completed_at) AS completed_at,
     CAST(s.attempt_count + coalesce(u.attempts, 0) AS INT) AS attempt_count, u.output_data, u.checkpoint_data, u.error_message
     FROM steps s LEFT JOIN folded u ON u.task_id = s.task_id AND u.task_name = s.task_name""",
     folded="""SELECT task_id, task_name, last(status ORDER BY seq) FILTER (WHERE length(status) > 0) AS status,
@@ -367,7 +367,7 @@ def _(t: Tables):
     texts = {c: F.lit(None).cast("string") for c in ("output_data", "checkpoint_data", "error_message")}
     steps = t.steps.withColumns({**stamps, **texts})
     return L.apply_step_updates(steps, t.step_updates).select(
-        "task_id", "task_name", "status", "started_at", "completed_at", "attempt_count", "output_data", "checkpoint_data", "error_message"
+        "task_id", "task_name", "status", micros(F.col("started_at")).alias("started_at"), micros(F.col("completed_at")).alias("completed_at"), "attempt_count", "output_data", "checkpoint_data", "error_message"
     )
 
 

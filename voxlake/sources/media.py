@@ -56,8 +56,8 @@ def _pcm(data: bytes, width: int, channels: int) -> np.ndarray:
     return values.reshape(-1, channels).mean(axis=1)
 
 
-def read_pcm(spark: SparkSession, path: str) -> DataFrame:
-    """(series_id, pos, value) of WAV files: mono as the mean of the channels, series_id is the path.
+def decode_pcm(files: DataFrame) -> DataFrame:
+    """(series_id, pos, value) of WAV contents (path, content): mono as the mean of the channels.
 
     A file is decoded in steps of BATCH_SAMPLES frames, so only its bytes are held.
     """
@@ -72,8 +72,12 @@ def read_pcm(spark: SparkSession, path: str) -> DataFrame:
                         yield pd.DataFrame({"series_id": name, "pos": np.arange(pos, pos + len(values)), "value": values})
                         pos += len(values)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(decode, "series_id string, pos bigint, value double")
+    return files.select("path", "content").mapInPandas(decode, "series_id string, pos bigint, value double")
+
+
+def read_pcm(spark: SparkSession, path: str) -> DataFrame:
+    """Samples of the WAV files at ``path``; the file path is the series."""
+    return decode_pcm(spark.read.format("binaryFile").load(path))
 
 
 def read_pcm_meta(spark: SparkSession, path: str) -> DataFrame:

@@ -96,6 +96,13 @@ def read_current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return changes.groupBy(*keys).agg(F.max_by(F.struct(*fields), "batch").alias("r")).select(*keys, "r.*")
 
 
+def read_newest_groups(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """All rows of each key's newest batch, for sinks that write a key's whole list at once."""
+    changes = spark.read.parquet(path)
+    newest = changes.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return changes.join(newest, [*keys, "batch"], "left_semi").drop("batch")
+
+
 def compact(spark: SparkSession, path: str, target: str, keys: list[str]) -> None:
     """Write the current rows as batch -1 of a new folder, where later batches can follow."""
     read_current(spark, path, keys).write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch=-1")
