@@ -10,7 +10,8 @@ from voxlake import constants as K
 # Patterns.  Java's \w and \s are ASCII, the classes below cover all scripts.
 WORD = r"[\p{L}\p{N}_]"
 SPACE_CHARS = r"\t-\r\x{1c}-\x{20}\x{85}\p{Z}"
-SPACE = rf"[{SPACE_CHARS}]"
+# Whitespace that is not already one single space.
+SPACE_TO_FIX = rf"[{SPACE_CHARS}&&[^ ]][{SPACE_CHARS}]*| [{SPACE_CHARS}]+"
 NOT_KEPT = rf"[^\p{{L}}\p{{N}}_{SPACE_CHARS},.?!']"
 NOT_WORD_OR_SPACE = rf"[^\p{{L}}\p{{N}}_{SPACE_CHARS}]"
 STRIPPED = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0  　"
@@ -33,12 +34,11 @@ def has_text(text: Column) -> Column:
 def clean_text(text: Column) -> Column:
     """Readable punctuation, single spaces, no symbols, a closing mark; NULL becomes ''."""
     out = F.coalesce(text, F.lit(""))
-    out = F.regexp_replace(out, r"\.{2,}", ",")
-    out = F.regexp_replace(out, "-{2,}", ",")
-    out = F.regexp_replace(out, f"{SPACE}+", " ")
-    out = F.trim(F.regexp_replace(out, NOT_KEPT, ""))
-    closed = (out == "") | F.right(out, F.lit(1)).isin(".", "!", "?", ",")
-    return F.when(closed, out).otherwise(F.concat(out, F.lit(".")))
+    out = F.regexp_replace(out, r"\.{2,}|-{2,}", ",")
+    out = F.regexp_replace(out, SPACE_TO_FIX, " ")
+    out = F.trim(F.regexp_replace(out, f"{NOT_KEPT}+", ""))
+    # The end of a text whose last character closes nothing; a CASE would clean the text twice.
+    return F.regexp_replace(out, r"(?<=[^.!?,])\z", ".")
 
 
 def text_class(text: Column) -> Column:

@@ -16,8 +16,12 @@ def norm(vector: Column) -> Column:
 
 def l2_normalize(vector: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    length = norm(vector)
-    return F.transform(vector, lambda v: F.when(length > 0, v / length).otherwise(v.cast("double")))
+    # The outer step names the norm, which would else be worked out again for every element.
+    scaled = F.transform(
+        F.array(norm(vector)),
+        lambda length: F.transform(vector, lambda v: F.when(length > 0, v / length).otherwise(v.cast("double"))),
+    )
+    return scaled[0]
 
 
 def cosine_distance(left: Column, right: Column) -> Column:
