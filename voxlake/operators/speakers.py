@@ -10,6 +10,7 @@ from voxlake.functions.text import strip
 from voxlake.plans.ordered import Ordered, oversized
 
 SPEAKER = ["task_id", "speaker_id"]
+TURN_ROWS = 1 << 18
 CONFIG_FIELDS = [
     "name", "action", "include", "merged_into", "merged_speakers", "sample_path", "total_duration", "intervention_count",
 ]
@@ -196,11 +197,28 @@ def select_reference(segments: DataFrame, budget: float = 15.0, gap: float = 0.5
     )
 
 
+def _join_pieces(pieces: DataFrame) -> DataFrame:
+    """Turns from their pieces, one per chunk; a part takes pieces until it has TURN_ROWS segments."""
+    turn = Window.partitionBy("task_id", "turn_no")
+    earlier = F.sum("segments").over(turn.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1))
+    placed = pieces.withColumns({
+        "part": F.floor(F.coalesce(earlier, F.lit(0)) / TURN_ROWS).cast("int"),
+        "start_s": F.min("start_s").over(turn),
+        "__last": F.max_by("__last", "__last.at").over(turn),
+        "segments": F.sum("segments").over(turn),
+    })
+    texts = F.array_sort(F.collect_list(F.struct("__chunk", "text")))
+    return placed.groupBy("task_id", "turn_no", "part").agg(
+        *[F.first(c).alias(c) for c in ("speaker_id", "start_s", "__last", "segments")],
+        F.array_join(F.transform(texts, lambda p: p["text"]), " ").alias("text"),
+    )
+
+
 def speaker_turns(segments: DataFrame, speakers: DataFrame | None = None) -> DataFrame:
     """Runs of segments of one speaker in time order, with their joined text.
 
-    A turn longer than one chunk of an oversized recording comes in several ``part`` rows, each
-    with its share of the text and all with the times of the whole turn.
+    A turn of more than TURN_ROWS segments comes in several ``part`` rows, each with its share of
+    the text and all with the times of the whole turn; every other turn is part 0.
     """
     rows = Ordered.of(segments, ["task_id"], ["start_s", "idx"]).previous("__prev", F.struct("speaker_id"))
     same = F.col("__prev.speaker_id").eqNullSafe(F.col("speaker_id"))
@@ -223,13 +241,7 @@ def speaker_turns(segments: DataFrame, speakers: DataFrame | None = None) -> Dat
         )
     )
     if rows.cut:
-        turn = Window.partitionBy("task_id", "turn_no")
-        pieces = pieces.withColumns({
-            "part": F.row_number().over(turn.orderBy("__chunk")) - 1,
-            "start_s": F.min("start_s").over(turn),
-            "segments": F.sum("segments").over(turn),
-            "__last": F.max_by("__last", "__last.at").over(turn),
-        })
+        pieces = _join_pieces(pieces)
     else:
         pieces = pieces.withColumn("part", F.lit(0))
     out = pieces.withColumn("end_s", F.col("__last.end_s"))
