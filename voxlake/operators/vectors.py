@@ -84,17 +84,18 @@ def silhouette(embeddings: DataFrame, label: str = "label", by: str = "task_id")
     return silhouette_points(embeddings, label, by).groupBy(by).agg(F.avg("silhouette").alias("silhouette"))
 
 
-def average_link(sums: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Merges (left, right) and their heights, lowest first, by following nearest neighbours.
+def average_link(sums: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merges and their heights, by following nearest neighbours until two are each other's.
 
-    Works on vector sums, so it keeps n vectors and no distance matrix.  Node n + i is the
-    cluster made by the i-th merge in the order they were found.
+    Works on vector sums, so it keeps n vectors and no distance matrix.  The first result has the
+    merged nodes, where node n + i is the cluster made by the i-th merge; the third has the rows
+    instead, where a cluster goes on under the first of its two rows.
     """
     n = len(sums)
     total, count = sums.astype(float).copy(), sizes.astype(float).copy()
     node = np.arange(n)
     alive = np.ones(n, dtype=bool)
-    merges, heights, chain = [], [], []
+    merges, heights, rows, chain = [], [], [], []
     for step in range(n - 1):
         if not chain:
             chain.append(int(np.flatnonzero(alive)[0]))
@@ -111,11 +112,12 @@ def average_link(sums: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
         a, b = chain.pop(), chain.pop()
         merges.append((node[a], node[b]))
         heights.append(distance[near])
+        rows.append((a, b))
         total[a] += total[b]
         count[a] += count[b]
         alive[b] = False
         node[a] = n + step
-    return np.array(merges, dtype=np.int64).reshape(-1, 2), np.array(heights)
+    return np.array(merges, dtype=np.int64).reshape(-1, 2), np.array(heights), np.array(rows, dtype=np.int64).reshape(-1, 2)
 
 
 def cut_tree(n: int, merges: np.ndarray, heights: np.ndarray, k: int) -> np.ndarray:
@@ -162,7 +164,7 @@ def choose_labels(vectors: np.ndarray, max_k: int, margin: float, floor: float)
     labels = np.zeros(n, dtype=np.int64)
     if n < 3:
         return labels
-    merges, heights = average_link(vectors, np.ones(n))
+    merges, heights, _ = average_link(vectors, np.ones(n))
     best = -1.0
     for k in range(2, min(n - 1, max_k) + 1):
         tried = cut_tree(n, merges, heights, k)
@@ -204,7 +206,8 @@ def cluster_speakers(
 
     keys = F.broadcast(embeddings.sparkSession.createDataFrame(large, sizes.select(by).schema))
     small = unit.join(keys, by, "left_anti").groupBy(by).applyInPandas(assign, schema)
-    return small.unionByName(cluster_large(unit.join(keys, by, "left_semi"), by, max_k, margin, floor))
+    large_rows = unit.join(keys, by, "left_semi")
+    return small.unionByName(cluster_large(large_rows, by, max_k, margin, floor, local_rows))
 
 
 def assign_speakers(segments: DataFrame, embeddings: DataFrame, **options) -> DataFrame:
