@@ -5,9 +5,17 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
+def ship_by_value() -> None:
+    """Send the package's Python functions inside the tasks, so workers need no copy of it."""
+    import voxlake
+
+    cloudpickle.register_pickle_by_value(voxlake)
+
+
 def build_session(app: str = "voxlake", master: str | None = None, **conf: str) -> SparkSession:
     """A session with AQE, UTC and Arrow on; on a cluster pass master=None to use spark-submit's."""
     builder = SparkSession.builder.appName(app)
