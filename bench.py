@@ -13,7 +13,7 @@ import sys
 import time
 
 from voxlake.catalog import all_queries
-from voxlake.session import local_session
+from voxlake.session import local_session, ship_by_value
 
 HEADLINE = [
     "b04_dashboard_summary",
@@ -53,6 +53,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus, runs = int(os.environ.get("BENCH_CPUS", "8")), int(os.environ.get("BENCH_RUNS", "3"))
     only = [p for p in os.environ.get("BENCH_ONLY", "").split(",") if p]
+    ship_by_value()
     spark = local_session(cpus)
     spark.sparkContext.setLogLevel("ERROR")
     queries, times = all_queries(), {}

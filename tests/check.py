@@ -1,6 +1,6 @@
 """Run registered queries and compare them with their SQL in DuckDB.
 
-python tests/check.py [name part ...]; CHECK_SF picks the tables, CHECK_CHUNK the rows a group
+python tests/check.py [name part ...]; CHECK_SF or CHECK_DIR picks the tables, CHECK_CHUNK the rows a group
 may have before it is cut (small values force the code for oversized groups).
 """
 
@@ -71,7 +71,7 @@ def main() -> int:
     import __spark_entry__ as entry
     from voxlake.session import local_session
 
-    folder = f"/root/testdata/sf{os.environ.get('CHECK_SF', '0.01')}"
+    folder = os.environ.get('CHECK_DIR') or f"/root/testdata/sf{os.environ.get('CHECK_SF', '0.01')}"
     conf = {"spark.voxlake.chunkRows": os.environ["CHECK_CHUNK"]} if "CHECK_CHUNK" in os.environ else {}
     spark = local_session(8, **conf)
     spark.sparkContext.setLogLevel("ERROR")

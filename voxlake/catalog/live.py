@@ -102,12 +102,12 @@ GROUP BY task_id, n"""
 
 @query("i07_sessions", "SELECT task_id, epoch_us(start_ts) AS start_ts, epoch_us(last_ts) AS last_ts, rows FROM sessions", sessions=SESSIONS)
 def _(t: Tables):
-    rows = t.progress.withColumn("ts", F.col("ts").cast("timestamp"))
-    return in_micros(P.stream_sessions(rows, "6 hours", ""))
+    return in_micros(P.sessions(t.progress, 6 * 3600))
 
 
 @query("i07_stream_sessions", "SELECT task_id, epoch_us(start_ts) AS start_ts, epoch_us(last_ts) AS last_ts, rows FROM sessions WHERE last_ts + INTERVAL 6 HOUR <= (SELECT max(ts) FROM progress) - INTERVAL 10 SECOND", sessions=SESSIONS)
 def _(t: Tables):
+    t.spark.conf.set(P.LOCAL_MERGE, "true")
     folder = run(t, P.stream_sessions(progress(t), "6 hours", "10 seconds"), "sessions", "append")
     return in_micros(t.spark.read.parquet(folder).drop("batch"))
 

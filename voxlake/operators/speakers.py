@@ -59,14 +59,40 @@ def merge_map(speakers: DataFrame) -> DataFrame:
     return own.unionByName(listed).groupBy(*SPEAKER).agg(F.max_by("master", "at").alias("master"))
 
 
+def resolve_speakers(speakers: DataFrame) -> DataFrame:
+    """What merging means for each configured or merged speaker.
+
+    (task_id, speaker_id, effective_speaker_id, action, voice_sample).  All look-ups between
+    speakers happen here, on the small side, so segments only need one join.
+    """
+    merges = merge_map(speakers).withColumnRenamed("master", "__master")
+    ids = speakers.select(*SPEAKER).unionByName(merges.select(*SPEAKER)).distinct()
+    out = ids.join(merges, SPEAKER, "left").withColumn("effective_speaker_id", F.coalesce("__master", "speaker_id"))
+    fields = [c for c in ("action", "sample_path") if c in speakers.columns]
+    out = _join(out, _config(speakers, "e", *fields), "e", F.col("effective_speaker_id"))
+    if "sample_path" in fields:
+        out = _join(out, _config(speakers, "w", "sample_path"), "w", F.col("speaker_id"))
+        samples = [F.nullif(c, F.lit("")) for c in ("__sample_pathe", "__sample_pathw")]
+    else:
+        samples = [F.lit(None).cast("string")]
+    return out.select(
+        *SPEAKER, "effective_speaker_id", F.coalesce("__actione", F.lit("dub")).alias("action"),
+        F.coalesce(*samples).alias("voice_sample"),
+    )
+
+
+def _resolved(segments: DataFrame, speakers: DataFrame) -> DataFrame:
+    out = segments.join(resolve_speakers(speakers), SPEAKER, "left")
+    # A speaker nobody configured stays itself.
+    return out.withColumns({
+        "effective_speaker_id": F.coalesce("effective_speaker_id", "speaker_id"),
+        "action": F.coalesce("action", F.lit("dub")),
+    })
+
+
 def effective_speakers(segments: DataFrame, speakers: DataFrame) -> DataFrame:
     """Add the speaker after one hop of merging, and that speaker's action ('dub' where none is set)."""
-    merges = merge_map(speakers).select("task_id", F.col("speaker_id").alias("__idm"), F.col("master").alias("__master"))
-    out = _join(segments, merges, "m", F.col("speaker_id")).withColumn(
-        "effective_speaker_id", F.coalesce("__master", "speaker_id")
-    )
-    out = _join(out, _config(speakers, "e", "action"), "e", F.col("effective_speaker_id"))
-    return out.withColumn("action", F.coalesce("__actione", F.lit("dub"))).drop("__master", "__actione")
+    return _resolved(segments, speakers).drop("voice_sample")
 
 
 def apply_speaker_edits(segments: DataFrame, speakers: DataFrame, mode: str = "merge_first") -> DataFrame:
@@ -76,30 +102,27 @@ def apply_speaker_edits(segments: DataFrame, speakers: DataFrame, mode: str = "m
     the master and drops it if the master is removed.  ``merge_first`` maps first and only
     looks at the final speaker's action.
     """
-    columns = segments.columns
     if mode == "merge_first":
-        out = effective_speakers(segments, speakers).where(F.col("action") != "remove")
-        return out.withColumn("speaker_id", F.col("effective_speaker_id")).select(*columns)
-    if mode != "filter_first":
+        final = resolve_speakers(speakers).select(
+            *SPEAKER, F.col("effective_speaker_id").alias("__final"), (F.col("action") == "remove").alias("__dropped")
+        )
+    elif mode == "filter_first":
+        masters = _config(speakers, "m", "action")
+        own = F.coalesce(F.col("action") == "remove", F.lit(False)) | F.coalesce(F.col("include") == F.lit(False), F.lit(False))
+        final = _join(speakers, masters, "m", F.coalesce("merged_into", "speaker_id")).select(
+            *SPEAKER,
+            F.coalesce("merged_into", "speaker_id").alias("__final"),
+            (own | F.coalesce(F.col("__actionm") == "remove", F.lit(False))).alias("__dropped"),
+        )
+    else:
         raise ValueError(f"unknown mode {mode!r}")
-    out = _join(segments, _config(speakers, "o", "action", "include", "merged_into"), "o", F.col("speaker_id"))
-    dropped = F.coalesce(F.col("__actiono") == "remove", F.lit(False)) | F.coalesce(
-        F.col("__includeo") == F.lit(False), F.lit(False)
-    )
-    out = out.where(~dropped).withColumn("speaker_id", F.coalesce("__merged_intoo", "speaker_id"))
-    removed = speakers.where(F.col("action") == "remove").select(*SPEAKER)
-    return out.join(removed, SPEAKER, "left_anti").select(*columns)
+    out = segments.join(final, SPEAKER, "left").where(~F.coalesce("__dropped", F.lit(False)))
+    return out.withColumn("speaker_id", F.coalesce("__final", "speaker_id")).select(*segments.columns)
 
 
 def voice_sample(segments: DataFrame, speakers: DataFrame) -> DataFrame:
     """Sample of the effective speaker, else of the own speaker, else NULL."""
-    sampled = speakers.where(F.length(F.coalesce("sample_path", F.lit(""))) > 0)
-    out = effective_speakers(segments, speakers)
-    out = _join(out, _config(sampled, "f", "sample_path"), "f", F.col("effective_speaker_id"))
-    out = _join(out, _config(sampled, "w", "sample_path"), "w", F.col("speaker_id"))
-    return out.withColumn("voice_sample", F.coalesce("__sample_pathf", "__sample_pathw")).drop(
-        "__sample_pathf", "__sample_pathw"
-    )
+    return _resolved(segments, speakers)
 
 
 def speaker_stats(segments: DataFrame) -> DataFrame:

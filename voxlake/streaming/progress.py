@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from voxlake.operators.segments import log_tail
+from voxlake.plans.ordered import Ordered
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
 
 def latest_progress(stream: DataFrame) -> DataFrame:
     """The last progress message of each project (update mode).  Partial results combine before the shuffle."""
@@ -21,7 +24,10 @@ def latest_progress(stream: DataFrame) -> DataFrame:
 
 
 def stream_sessions(stream: DataFrame, gap: str = "1 second", watermark: str = "10 seconds", key: str = "task_id") -> DataFrame:
-    """Activity sessions: rows closer than ``gap``; a session is final when the watermark has passed it."""
+    """Activity sessions: rows closer than ``gap``; a session is final when the watermark has passed it.
+
+    With LOCAL_MERGE on, rows of one session meet before the shuffle.
+    """
     rows = stream.withWatermark("ts", watermark) if watermark else stream
     return (
         rows.groupBy(key, F.session_window("ts", gap).alias("w"))
@@ -30,6 +36,20 @@ def stream_sessions(stream: DataFrame, gap: str = "1 second", watermark: str = "
     )
 
 
+def sessions(rows: DataFrame, gap_seconds: float, key: str = "task_id") -> DataFrame:
+    """The sessions of a finished table; a key with very many rows is cut, which a session window would not do."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    ordered = Ordered.of(rows.select(key, "ts"), [key], ["ts"], at).previous("__prev", at)
+    fresh = F.col("__prev").isNull() | (at - F.col("__prev") >= int(gap_seconds * 1_000_000))
+    ordered = ordered.with_column("__new", F.when(fresh, 1).otherwise(0)).running_sum("__session", F.col("__new"))
+    return (
+        ordered.done()
+        .groupBy(key, "__session")
+        .agg(F.min("ts").alias("start_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("rows"))
+        .drop("__session")
+    )
+
+
 def stream_windows(
     stream: DataFrame, length: str = "30 seconds", slide: str | None = None, watermark: str = "10 seconds", key: str = "task_id"
 ) -> DataFrame:
@@ -67,8 +87,18 @@ class _Tail(StatefulProcessor):
 
 
 def stream_log_tail(stream: DataFrame, n: int = 100) -> DataFrame:
-    """The last n log entries of each project that had news in the batch (update mode, RocksDB state)."""
-    return stream.groupBy("task_id").transformWithStateInPandas(
+    """The last n log entries of each project that had news in the batch (update mode, RocksDB state).
+
+    Entries that n newer ones of their Arrow batch displace are dropped before the shuffle, so a
+    project with very many entries sends few of them to its task.
+    """
+
+    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.sort_values("seq").groupby("task_id", sort=False).tail(n)
+
+    entries = stream.select("task_id", "seq", "message", "style")
+    return entries.mapInPandas(thin, entries.schema).groupBy("task_id").transformWithStateInPandas(
         statefulProcessor=_Tail(n),
         outputStructType="task_id bigint, seq bigint, message string, style string",
         outputMode="Update",
