@@ -61,7 +61,7 @@ SELECT l_orderkey AS task_id, concat('step_', CAST(l_linenumber AS STRING)) AS t
   CASE WHEN l_partkey % 3 = 0 THEN concat('out', CAST(l_suppkey AS STRING)) ELSE NULL END AS output_data,
   CASE WHEN l_partkey % 4 = 0 THEN concat('ckpt', CAST(l_suppkey AS STRING)) ELSE NULL END AS checkpoint_data,
   CASE WHEN l_returnflag = 'R' THEN concat('err', CAST(l_suppkey AS STRING)) ELSE NULL END AS error_message
-FROM {lineitem} WHERE l_quantity > 20
+FROM {lineitem}
 """
 
 COMMANDS = """

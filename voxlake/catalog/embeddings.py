@@ -32,7 +32,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     # The neighbours in each recording; a list of all pairs of a group is never made.
-    pairs = t.embeddings.where(F.col("idx") < 19).select("task_id", F.col("idx").alias("left_idx"), (F.col("idx") + 1).alias("right_idx"))
+    pairs = t.embeddings.select("task_id", F.col("idx").alias("left_idx"), (F.col("idx") + 1).alias("right_idx"))
     return V.pair_distances(t.embeddings, pairs).withColumn("distance", F.round("distance", 6))
 
 

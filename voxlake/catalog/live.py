@@ -201,5 +201,5 @@ def _(t: Tables):
 def _(t: Tables):
     folder = scratch(t, "scores")
     rows = t.segments.drop("ts")
-    C.resume_scores(rows.where(F.col("idx") % 2 == 0), folder, upper_provider, ["task_id", "idx"], pause=None)
+    C.resume_scores(rows.where(F.col("status") == "completed"), folder, upper_provider, ["task_id", "idx"], pause=None)
     return C.resume_scores(rows, folder, upper_provider, ["task_id", "idx"], pause=None).select("task_id", "idx", "translated_text", "status")

@@ -60,7 +60,7 @@ def _(t: Tables):
     return six(G.edge_fade(t.samples, 10))
 
 
-RESAMPLE = """SELECT series_id, j AS pos, round(a * (1 - (x - floor(x))) + b * (x - floor(x)), 6) AS value FROM (
+RESAMPLED = """SELECT series_id, j AS pos, a * (1 - (x - floor(x))) + b * (x - floor(x)) AS value FROM (
   SELECT p.*, s.value AS a, coalesce(n.value, s.value) AS b FROM (
     SELECT series_id, j, CASE WHEN j = m - 1 AND m > 1 THEN CAST(length - 1 AS DOUBLE) ELSE j * (CAST(length - 1 AS DOUBLE) / greatest(m - 1, 1)) END AS x
     FROM (SELECT *, unnest(range(m)) AS j FROM (SELECT *, CAST(trunc(length * CAST({ratio} AS DOUBLE)) AS BIGINT) AS m FROM lengths))) p
@@ -68,12 +68,15 @@ RESAMPLE = """SELECT series_id, j AS pos, round(a * (1 - (x - floor(x))) + b * (
   LEFT JOIN samples n ON n.series_id = p.series_id AND n.pos = CAST(floor(p.x) AS BIGINT) + 1)"""
 
 
-@query("e13_resample_up", RESAMPLE.format(ratio=3.0), **LEVELS)
+RESAMPLE = "SELECT series_id, pos, round(value, 6) AS value FROM resampled"
+
+
+@query("e13_resample_up", RESAMPLE, resampled=RESAMPLED.format(ratio=3.0), **LEVELS)
 def _(t: Tables):
     return six(G.resample_linear(t.samples, 3.0))
 
 
-@query("e13_resample_down", RESAMPLE.format(ratio=0.4), **LEVELS)
+@query("e13_resample_down", RESAMPLE, resampled=RESAMPLED.format(ratio=0.4), **LEVELS)
 def _(t: Tables):
     return six(G.resample_linear(t.samples, 0.4))
 
@@ -127,9 +130,9 @@ def _(t: Tables):
     return six(G.mix_tracks(tracks, gains))
 
 
-# Speech of a series runs over the start of its own signal, looped.
+# A series speaks over a shortened copy of itself, looped.
 BACKED = """SELECT s.series_id, s.pos, s.value * pow(10, -6 / CAST(20 AS DOUBLE)) + coalesce(b.value, 0) * pow(10, -20 / CAST(20 AS DOUBLE)) * s.gain AS value
-  FROM gated s JOIN background_length l ON l.series_id = s.series_id LEFT JOIN (SELECT series_id, pos, value FROM samples WHERE pos < 20) b
+  FROM gated s LEFT JOIN background_length l ON l.series_id = s.series_id LEFT JOIN resampled b
   ON b.series_id = s.series_id AND b.pos = s.pos % l.n"""
 
 
@@ -139,11 +142,13 @@ BACKED = """SELECT s.series_id, s.pos, s.value * pow(10, -6 / CAST(20 AS DOUBLE)
     JOIN (SELECT series_id, max(abs(value)) AS peak FROM backed GROUP BY 1) p ON p.series_id = m.series_id""",
     powered=POWER,
     gated=GATED.replace("0.02", "0.0001"),
-    background_length="SELECT series_id, max(pos) + 1 AS n FROM samples WHERE pos < 20 GROUP BY series_id",
+    resampled=RESAMPLED.format(ratio=0.3),
+    background_length="SELECT series_id, max(pos) + 1 AS n FROM resampled GROUP BY series_id",
     backed=BACKED,
+    **LEVELS,
 )
 def _(t: Tables):
-    background = t.samples.where(F.col("pos") < 20)
+    background = G.resample_linear(t.samples, 0.3)
     return six(G.mix_with_background(t.samples, background, rate=100))
 
 

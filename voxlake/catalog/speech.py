@@ -41,7 +41,7 @@ TURN_VIEWS = {"turn_rows": TURN_ROWS, "turns": TURNS, "named_turns": NAMED_TURNS
 EDITS = """SELECT task_id, CAST(idx // 2 AS INT) AS idx, event_id AS seq,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('o', CAST(event_id AS STRING)) END AS original_text,
   concat('t', CAST(event_id AS STRING)) AS translated_text,
-  event_id % 4 <> 1 AS has_original, event_id % 5 <> 1 AS has_translated FROM segments WHERE event_id % 2 = 0"""
+  event_id % 4 <> 1 AS has_original, event_id % 5 <> 1 AS has_translated FROM segments"""
 
 
 def six(name: str):
@@ -258,14 +258,16 @@ def _(t: Tables):
     "c12_lookup_segment",
     """SELECT k.task_id, k.asked, CASE WHEN a.idx IS NOT NULL THEN 'idx' WHEN b.idx IS NOT NULL THEN 'place' END AS matched_by,
     coalesce(a.idx, b.idx) AS idx, CASE WHEN a.idx IS NOT NULL THEN a.event_id ELSE b.event_id END AS event_id
-    FROM (SELECT task_id, idx AS asked FROM segments WHERE event_id % 3 = 0) k
+    FROM (SELECT task_id, idx AS asked FROM segments) k
     LEFT JOIN (SELECT * FROM odd) a ON a.task_id = k.task_id AND a.idx = k.asked
     LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY idx) - 1 AS place FROM odd) b ON b.task_id = k.task_id AND b.place = k.asked""",
-    odd="SELECT * FROM segments WHERE idx % 2 = 1",
+    odd="SELECT * REPLACE (2 * idx + 1 AS idx) FROM segments",
 )
 def _(t: Tables):
-    asked = t.segments.where(F.col("event_id") % 3 == 0).select("task_id", F.col("idx").alias("asked"))
-    return S.lookup_segment(t.segments.where(F.col("idx") % 2 == 1), asked).select("task_id", "asked", "matched_by", "idx", "event_id")
+    # Segments are renumbered 1, 3, 5, so that every second number is only a place in the list.
+    asked = t.segments.select("task_id", F.col("idx").alias("asked"))
+    odd = t.segments.withColumn("idx", F.col("idx") * 2 + 1)
+    return S.lookup_segment(odd, asked).select("task_id", "asked", "matched_by", "idx", "event_id")
 
 
 @query(
@@ -453,12 +455,15 @@ def _(t: Tables):
 
 @query(
     "i11_save_review",
-    """SELECT task_id, idx, original_text FROM segments WHERE task_id % 4 <> 0
-    UNION ALL SELECT task_id, idx, concat('edited ', CAST(event_id AS VARCHAR)) FROM segments WHERE task_id % 4 = 0 AND idx % 2 = 0""",
+    """SELECT task_id, idx, original_text FROM segments WHERE task_id NOT IN (SELECT task_id FROM tasks WHERE status = 'awaiting_validation')
+    UNION ALL SELECT task_id, idx + 1, concat('edited ', CAST(event_id AS VARCHAR)) FROM segments
+    WHERE task_id IN (SELECT task_id FROM tasks WHERE status = 'awaiting_validation') AND speaker_id <> 3""",
 )
 def _(t: Tables):
-    edited = t.segments.where(F.col("idx") % 2 == 0).withColumn("original_text", F.concat(F.lit("edited "), F.col("event_id").cast("string")))
-    reviewed = t.segments.where(F.col("task_id") % 4 == 0)
+    edited = t.segments.where(F.col("speaker_id") != 3).withColumns({
+        "idx": F.col("idx") + 1, "original_text": F.concat(F.lit("edited "), F.col("event_id").cast("string")),
+    })
+    reviewed = t.tasks.where(F.col("status") == "awaiting_validation")
     return L.save_review(t.segments, edited, reviewed).select("task_id", "idx", "original_text")
 
 

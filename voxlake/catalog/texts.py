@@ -104,10 +104,9 @@ def _(t: Tables):
     return t.raw("documents").select("doc_id", X.truncate(F.col("text"), 35).alias("title"))
 
 
-@query("h08_status_label", "SELECT p_partkey, replace(p_type, 'A', ' ') AS label FROM (SELECT p_partkey, replace(p_type, ' ', 'A') AS p_type FROM part)")
+@query("h08_status_label", "SELECT o_orderkey, o_orderpriority AS label FROM orders")
 def _(t: Tables):
-    spaced = F.translate(F.replace("p_type", F.lit(" "), F.lit("A")), "A", "_")
-    return t.raw("part").select("p_partkey", LB.status_label(spaced).alias("label"))
+    return t.raw("orders").select("o_orderkey", LB.status_label(F.translate("o_orderpriority", " ", "_")).alias("label"))
 
 
 @query("h09_web_path",

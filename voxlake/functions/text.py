@@ -14,7 +14,7 @@ SPACE_CHARS = r"\t-\r\x{1c}-\x{20}\x{85}\p{Z}"
 SPACE_TO_FIX = rf"[{SPACE_CHARS}&&[^ ]][{SPACE_CHARS}]*| [{SPACE_CHARS}]+"
 NOT_KEPT = rf"[^\p{{L}}\p{{N}}_{SPACE_CHARS},.?!']"
 NOT_WORD_OR_SPACE = rf"[^\p{{L}}\p{{N}}_{SPACE_CHARS}]"
-STRIPPED = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0  　"
+STRIPPED = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
 
 
 def strip(text: Column) -> Column:
