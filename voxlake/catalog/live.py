@@ -107,8 +107,12 @@ def _(t: Tables):
 
 @query("i07_stream_sessions", "SELECT task_id, epoch_us(start_ts) AS start_ts, epoch_us(last_ts) AS last_ts, rows FROM sessions WHERE last_ts + INTERVAL 6 HOUR <= (SELECT max(ts) FROM progress) - INTERVAL 10 SECOND", sessions=SESSIONS)
 def _(t: Tables):
+    before = t.spark.conf.get(P.LOCAL_MERGE)
     t.spark.conf.set(P.LOCAL_MERGE, "true")
-    folder = run(t, P.stream_sessions(progress(t), "6 hours", "10 seconds"), "sessions", "append")
+    try:
+        folder = run(t, P.stream_sessions(progress(t), "6 hours", "10 seconds"), "sessions", "append")
+    finally:
+        t.spark.conf.set(P.LOCAL_MERGE, before)
     return in_micros(t.spark.read.parquet(folder).drop("batch"))
 
 

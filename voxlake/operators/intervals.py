@@ -156,7 +156,7 @@ def pack_blocks(intervals: DataFrame, budget: float = 30.0, keys: str = "series_
     if rows.cut:
         columns = columns.join(F.broadcast(_entries(columns, keys, kind, budget)), [keys, CHUNK], "left")
     else:
-        columns = columns.withColumns({CHUNK: F.lit(0), "__sum": F.lit(None).cast("double"), "__block": F.lit(0)})
+        columns = columns.withColumns({CHUNK: F.lit(0).cast("bigint"), "__sum": F.lit(None).cast("double"), "__block": F.lit(0)})
     columns = columns.withColumn("__block", F.coalesce("__block", F.lit(0)).cast("bigint"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,7 +197,7 @@ def _entries(rows: DataFrame, keys: str, kind: str, budget: float) -> DataFrame:
 
     effects = (
         rows.where(HOT).select(keys, CHUNK, "start_s", "end_s", "__dur").groupBy(keys, CHUNK).applyInPandas(
-            effect, f"{keys} {kind}, {CHUNK} int, heads array<double>, ends array<double>, breaks array<bigint>"
+            effect, f"{keys} {kind}, {CHUNK} bigint, heads array<double>, ends array<double>, breaks array<bigint>"
         )
     )
 
@@ -221,7 +221,7 @@ def _entries(rows: DataFrame, keys: str, kind: str, budget: float) -> DataFrame:
             yield pd.DataFrame(out, columns=[keys, CHUNK, "__sum", "__block"])
 
     return effects.repartition(keys).sortWithinPartitions(keys, CHUNK).mapInPandas(
-        chain, f"{keys} {kind}, {CHUNK} int, __sum double, __block bigint"
+        chain, f"{keys} {kind}, {CHUNK} bigint, __sum double, __block bigint"
     )
 
 

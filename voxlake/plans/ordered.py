@@ -5,13 +5,12 @@ for one that holds a large share of all rows, so ``Ordered`` checks group sizes
 aggregate first.  Where every group is small it uses plain windows.  Where some are not, their
 rows are cut into consecutive chunks by position, windows run inside a chunk, and what a chunk
 needs from the earlier ones (a running total, the last row) comes from a summary with one row
-per chunk.  A group is only listed when it has more than ``rows`` rows, so there are at most
-total / rows such groups and about twice as many chunks: the summaries are small by counting.
+per chunk.  A group is only listed when it has more rows than the limit, so there are at most
+total / limit such groups and about twice as many chunks: the summaries are small by counting.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 CHUNK_CONF = "spark.voxlake.chunkRows"
 CHUNK_ROWS = 1 << 18
+LEVELS = 8
 CHUNK = "__chunk"
 HOT = "__hot"
 
@@ -36,39 +36,57 @@ def oversized(df: DataFrame, keys: list[str]) -> bool:
     return len(df.groupBy(*keys).count().where(F.col("count") > rows).take(1)) > 0
 
 
-def _cut(df: DataFrame, keys: list[str], pos: Column) -> DataFrame | None:
-    """``df`` with chunk numbers for oversized groups, or None where there are none."""
-    rows = chunk_rows(df)
-    if rows <= 0 or df.isStreaming:
-        return None
+def _dense(df: DataFrame, by: list[str], limit: int):
+    """Rows, first and last position of the groups with more than ``limit`` rows: at most total / limit lines."""
     sized = (
-        df.select(*keys, pos.cast("double").alias("__pos"))
-        .groupBy(*keys)
+        df.groupBy(*by)
         .agg(F.count("*").alias("__n"), F.min("__pos").alias("__lo"), F.max("__pos").alias("__hi"))
-        .where(F.col("__n") > rows)
+        .where((F.col("__n") > limit) & (F.col("__hi") > F.col("__lo")))
     )
-    found = sized.toArrow()  # at most total rows / chunk rows lines
-    if found.num_rows == 0:
-        return None
-    # Positions are rarely even, so aim below the limit.
-    hot = F.broadcast(
-        df.sparkSession.createDataFrame(found, sized.schema).select(
-            *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-            "__lo",
-            "__hi",
-            F.ceil(F.col("__n") * 2.0 / rows).alias("__chunks"),
-        )
+    found = sized.toArrow()
+    return df.sparkSession.createDataFrame(found, sized.schema) if found.num_rows else None
+
+
+def _divide(df: DataFrame, by: list[str], found: DataFrame, rows: int) -> DataFrame:
+    """Divide the found groups evenly between their first and last position; chunk numbers keep the order."""
+    pieces = F.ceil(F.col("__n") * 2.0 / rows)  # positions are rarely even, so aim below the limit
+    most = found.agg(F.max(pieces)).first()[0]
+    renamed = F.broadcast(
+        found.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(by)], "__lo", "__hi", pieces.alias("__pieces"))
     )
-    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    step = (pos.cast("double") - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)) * F.col("__chunks")
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(by)]
+    step = (F.col("__pos") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * F.col("__pieces")
+    piece = F.coalesce(F.least(F.floor(step), F.col("__pieces") - 1), F.lit(0))
     return (
-        df.join(hot, on, "left")
-        .withColumn(CHUNK, F.coalesce(F.least(F.floor(step), F.col("__chunks") - 1), F.lit(0)).cast("int"))
-        .withColumn(HOT, F.col("__chunks").isNotNull())
-        .drop("__lo", "__hi", "__chunks", *[f"__k{i}" for i in range(len(keys))])
+        df.join(renamed, on, "left")
+        .withColumn(CHUNK, F.col(CHUNK) * int(most) + piece)
+        .withColumn(HOT, F.col(HOT) | F.col("__pieces").isNotNull())
+        .drop("__lo", "__hi", "__pieces", *[f"__k{i}" for i in range(len(by))])
     )
 
 
+def _cut(df: DataFrame, keys: list[str], pos: Column) -> DataFrame | None:
+    """``df`` with chunk numbers for oversized groups, or None where there are none.
+
+    Chunks that are still too dense are divided again, up to LEVELS times.
+    """
+    rows = chunk_rows(df)
+    if rows <= 0 or df.isStreaming:
+        return None
+    placed = df.withColumn("__pos", pos.cast("double"))
+    found = _dense(placed, keys, rows)
+    if found is None:
+        return None
+    zero = F.lit(0).cast("bigint")
+    placed = _divide(placed.withColumns({CHUNK: zero, HOT: F.lit(False)}), keys, found, rows)
+    for _ in range(LEVELS - 1):
+        found = _dense(placed.where(HOT), [*keys, CHUNK], 2 * rows)
+        if found is None:
+            break
+        placed = _divide(placed, [*keys, CHUNK], found, rows)
+    return placed.drop("__pos")
+
+
 @dataclass(frozen=True)
 class Ordered:
     """Rows in groups ``keys``, ordered by ``order`` inside each group."""
@@ -167,7 +185,3 @@ class Ordered:
 def parts(position: Column, size: int) -> Column:
     """Number of the part of ``size`` rows a 0-based position falls into."""
     return F.floor(position / size).cast("int")
-
-
-def even_chunks(total: int, size: int) -> int:
-    return max(1, math.ceil(total / size))
