@@ -48,10 +48,14 @@ def local_session(cpus: int = 8, **conf: str) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", "")
+    """The cluster's shared folder in spark.checkpoint.dir. A local session without one gets a temporary
+    folder; a cluster whose machines share no such folder can't work and is told so."""
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
     if not configured:
-        configured = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(configured)
     return configured
