@@ -7,16 +7,57 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import pii, sharding
-from voxlake.llm.tables import documents
+from voxlake.llm import automata, leaks, licenses, packing, pii, quality, sharding, suffixes
+from voxlake.llm.tables import documents, vocabulary
+from voxlake.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_substring_automata(spark: SparkSession, folder: str) -> DataFrame:
+    cut = automata.remove_earlier_passages(documents(spark, folder), span=50, keep_text=False)
+    return cut.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256", "n_spans")
+
+
+def op3_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    cut = suffixes.remove_repeated_bytes(documents(spark, folder), span=400, keep_text=False)
+    return cut.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_by_bytes(documents(spark, folder), shards=40, overhead=16)
 
 
+def op5_quality_trees(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return quality.rate_quality(docs, quality.fit_quality(docs, load(spark, folder, "labels")))
+
+
+def op6_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.find_leaks(documents(spark, folder), load(spark, folder, "benchmark"))
+
+
+def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.best_fit_packing(documents(spark, folder), vocabulary("word_bpe_49k.json"), length=4096, end_id=1)
+
+
+def op9_license_templates(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan_licenses(documents(spark, folder))
+    at = F.transform("places", lambda p: p["word"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    base, own = F.transform("places", lambda p: p["label"]), F.transform("spans", lambda s: s["label"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(at).alias("first_word"),
+        F.array_max(at).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.concat(base, own)).alias("labels"),
+        F.when(F.size("spans") > 0, 1.0).when(F.size("places") > 0, 0.5).otherwise(0.0).alias("score"),
+    )
+
+
 def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find_pii(documents(spark, folder).select("doc_id", "text"))
     of = lambda kind: F.filter("pii", lambda s: s["kind"] == kind)
@@ -32,8 +73,8 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_byte_shards, op10_pii)}
+    return {f.__name__: f for f in (op1_substring_automata, op3_suffix_repeats, op4_byte_shards, op5_quality_trees, op6_benchmark_leaks, op8_best_fit_packing, op9_license_templates, op10_pii)}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {"op6_benchmark_leaks": leaks.SQL}
