@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import re
-from itertools import groupby
+from functools import cached_property
+from itertools import compress, groupby
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 
 from voxlake.llm.repeats import Ranges, Unit, find_repeats
-
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+from voxlake.llm.wordcodes import word_codes
 
 
 class SuffixAutomaton:
@@ -98,25 +96,29 @@ def earlier_matches(span: int):
     return match
 
 
-def word_unit(span: int, gram: int) -> Unit:
-    known: dict[str, int] = {}
+class _Words:
+    """A text's bytes, and its words where they are asked for."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
 
-    def read(text: str) -> tuple[np.ndarray, list[str]]:
-        words = WORD.findall(text)
-        if len(known) > 500_000:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), words
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.data.split()  # white space of bytes is \x20 and \x09-\x0D
 
-    def join(words: list[str], keep: np.ndarray | None) -> bytes:
-        rest = words if keep is None else [words[i] for i in np.nonzero(keep)[0]]
-        return " ".join(rest).encode("utf-8", "surrogatepass")
+    def join(self, keep: np.ndarray | None) -> bytes:
+        return b" ".join(self.words if keep is None else compress(self.words, keep.tolist()))
+
+
+def word_unit(span: int, gram: int) -> Unit:
+    def read(text: str) -> tuple[np.ndarray, _Words]:
+        data = text.encode("utf-8", "surrogatepass")
+        return word_codes(data), _Words(data)
 
-    return Unit(span, gram, read, lambda words, a, b: " ".join(words[a:b]).encode("utf-8", "surrogatepass"), join)
+    return Unit(span, gram, read, lambda parsed, a, b: b" ".join(parsed.words[a:b]), lambda parsed, keep: parsed.join(keep))
 
 
-def remove_earlier_passages(docs: DataFrame, span: int = 50, gram: int = 10, hot: int = 512, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def remove_earlier_passages(docs: DataFrame, span: int = 50, gram: int = 10, hot: int = 16384, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """One row per document: ``id_col, n_units`` (words), ``n_removed, n_spans, kept_sha256, removed`` and, with
     ``keep_text``, ``kept``: its words without those in strings of ``span`` words that also occur in a document
     with a smaller id, joined by single spaces (null where nothing is removed).

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import automata, leaks, licenses, packing, pii, quality, sharding, suffixes
+from voxlake.llm import automata, leaks, licenses, ngrams, packing, pii, quality, sharding, suffixes, toxicity
 from voxlake.llm.tables import documents, vocabulary
 from voxlake.sources.tables import load
 
@@ -19,6 +19,12 @@ def op1_substring_automata(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256", "n_spans")
 
 
+def op2_noisy_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, toxicity.learn_toxicity(docs, load(spark, folder, "labels")), "score")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
     cut = suffixes.remove_repeated_bytes(documents(spark, folder), span=400, keep_text=False)
     return cut.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
@@ -37,6 +43,10 @@ def op6_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.find_leaks(documents(spark, folder), load(spark, folder, "benchmark"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return ngrams.near_duplicates(documents(spark, folder), percent=80, n=5)
+
+
 def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit_packing(documents(spark, folder), vocabulary("word_bpe_49k.json"), length=4096, end_id=1)
 
@@ -73,7 +83,7 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_automata, op3_suffix_repeats, op4_byte_shards, op5_quality_trees, op6_benchmark_leaks, op8_best_fit_packing, op9_license_templates, op10_pii)}
+    return {f.__name__: f for f in (op1_substring_automata, op2_noisy_toxicity, op3_suffix_repeats, op4_byte_shards, op5_quality_trees, op6_benchmark_leaks, op7_ngram_jaccard, op8_best_fit_packing, op9_license_templates, op10_pii)}
 
 
 def llm_oracles() -> dict[str, str]:

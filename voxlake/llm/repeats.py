@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.llm.tables import saved, whole
+from voxlake.llm.wordcodes import mixed
 
 SLICE = 1 << 20
 FIRST, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)  # odd multipliers
@@ -38,12 +39,6 @@ class Unit:
     join: Callable[[object, np.ndarray | None], bytes]
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(31))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
 def rolled(codes: np.ndarray, n: int, factor: np.uint64) -> np.ndarray:
     """The polynomial hash of every ``n`` neighbours, by doubling."""
     size, power, h = 1, factor, codes
@@ -222,7 +217,7 @@ def _left(unit: Unit) -> Callable:
 
 def find_repeats(
     docs: DataFrame, unit: Unit, matcher: Callable[[list[tuple[int, int, bytes]]], list[Ranges]],
-    earlier: bool, by_lead: bool, hot: int = 512, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False,
+    earlier: bool, by_lead: bool, hot: int = 16384, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False,
 ) -> DataFrame:
     """One row per document: id, ``n_units, n_removed, n_spans, kept_sha256, removed`` (ranges of units) and, on
     request, the ``kept`` text (null where nothing was removed).

@@ -7,9 +7,8 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame
 
-from voxlake.llm.repeats import Ranges, Unit, find_repeats
-
-CODES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
+from voxlake.llm.repeats import FIRST, SECOND, Ranges, Unit, find_repeats, rolled
+from voxlake.llm.wordcodes import CODES
 
 
 def multikey_quicksort(strings: list[bytes], token: int = 8) -> list[int]:
@@ -52,26 +51,45 @@ def _best_neighbour(strings: list[bytes]) -> np.ndarray:
     return best
 
 
-def _shared(strings: list[bytes]):
-    """A function that gives the prefix that string i shares with every string."""
-    width = max(map(len, strings)) + 1
-    sizes = np.array([len(s) for s in strings])
-    table = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in strings), np.uint8).reshape(len(strings), width)
-
-    def of(i: int) -> np.ndarray:
-        same = table == table[i]
-        same[:, -1] = False
-        return np.minimum(np.minimum(same.argmin(axis=1), sizes), sizes[i])
-
-    return of
+def _repeated_starts(keys: list[tuple[int, bytes]], span: int) -> list[np.ndarray]:
+    """For each context the starts of its strings of ``span`` bytes that another context holds at the same
+    distance from the anchor, by sorting all of them (128-bit hashes): linear in the contexts, not in pairs."""
+    own, shift, one, two = [], [], [], []
+    for i, (at, body) in enumerate(keys):
+        n = len(body) - span + 1
+        if n <= 0:
+            continue
+        codes = CODES[np.frombuffer(body, np.uint8)]
+        with np.errstate(over="ignore"):
+            one.append(rolled(codes, span, FIRST))
+            two.append(rolled(codes, span, SECOND))
+        own.append(np.full(n, i, np.int32))
+        shift.append(np.arange(n, dtype=np.int32) - at)
+    found = [np.zeros(0, np.int64)] * len(keys)
+    if not own:
+        return found
+    own, shift, one, two = (np.concatenate(x) for x in (own, shift, one, two))
+    order = np.lexsort((shift, two, one))  # the same place may stand in two contexts, but not at one distance
+    same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]) & (shift[order][1:] == shift[order][:-1])
+    hit = np.zeros(len(order), bool)
+    hit[order[1:][same]] = hit[order[:-1][same]] = True
+    rows = np.nonzero(hit)[0]
+    for i, starts in zip(*_grouped(own[rows], shift[rows])):
+        found[i] = starts + keys[i][0]
+    return found
+
+
+def _grouped(own: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    ids, first = np.unique(own, return_index=True)
+    return ids.tolist(), np.split(values, first[1:]) if len(ids) else []
 
 
 def repeated_bytes(span: int):
     """A matcher: the ranges of bytes in strings of ``span`` bytes that another context of the anchor holds.
 
     The suffixes from the anchor and the reversed prefixes before it are sorted; where the best neighbours of
-    a context don't add up to ``span`` bytes, no string is repeated. Else every pair of what it shares to
-    the left and to the right with one other context, if long enough, is a maximal repeat."""
+    a context don't add up to ``span`` bytes, none of its strings is repeated. What the two sides share may be
+    with different contexts, so for the others the strings themselves are compared."""
 
     def match(contexts: list[tuple[int, int, bytes]]) -> list[Ranges]:
         count = Counter((at, body) for _, at, body in contexts)
@@ -79,16 +97,12 @@ def repeated_bytes(span: int):
         found: dict[tuple[int, bytes], Ranges] = {k: [(0, len(k[1]))] if count[k] > 1 and len(k[1]) >= span else [] for k in keys}
         if len(keys) > 1:
             right, left = [body[at:] for at, body in keys], [body[:at][::-1] for at, body in keys]
-            hopeful = np.nonzero(_best_neighbour(right) + _best_neighbour(left) >= span)[0]
-            if len(hopeful):
-                to_right, to_left = _shared(right), _shared(left)
-                for i in hopeful.tolist():
-                    if found[keys[i]]:
-                        continue
-                    r, b = to_right(i), to_left(i)
-                    r[i] = b[i] = 0
-                    at = keys[i][0]
-                    found[keys[i]] = [(at - x, at + y) for x, y in {(int(b[j]), int(r[j])) for j in np.nonzero(r + b >= span)[0]}]
+            hopeful = np.nonzero(_best_neighbour(right) + _best_neighbour(left) >= span)[0].tolist()
+            own = [keys[i] for i in hopeful]
+            for key, starts in zip(own, _repeated_starts(own, span)):
+                if not found[key] and len(starts):
+                    cuts = np.nonzero(np.diff(starts) > 1)[0] + 1
+                    found[key] = [(int(x[0]), int(x[-1]) + span) for x in np.split(starts, cuts)]
         return [found[at, body] for _, at, body in contexts]
 
     return match
@@ -105,7 +119,7 @@ def byte_unit(span: int, gram: int) -> Unit:
     return Unit(span, gram, read, lambda data, a, b: data[a:b], join)
 
 
-def remove_repeated_bytes(docs: DataFrame, span: int = 400, gram: int = 64, hot: int = 512, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, span: int = 400, gram: int = 64, hot: int = 16384, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """One row per document: ``id_col, n_units`` (UTF-8 bytes), ``n_removed, n_spans, kept_sha256, removed`` and,
     with ``keep_text``, ``kept``: the text without the bytes in strings of ``span`` bytes that also start at any
     other place (null where nothing is removed; cut characters read as U+FFFD).
