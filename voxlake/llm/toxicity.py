@@ -1,7 +1,5 @@
 """Toxicity of texts after undoing disguises."""
 
-from __future__ import annotations
-
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -58,8 +56,9 @@ class Reader:
         found = Counter(low.split())
         if len(self.known) > 400_000:
             self.known.clear()
-        for t in found.keys() - self.known.keys():
-            self.known[t] = self._read(t)
+        for t in found:
+            if t not in self.known:
+                self.known[t] = self._read(t)
         return found, self.restorer.spaced(low)
 
     def terms(self, text: str) -> set[str]:
@@ -168,10 +167,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, out: str = "toxicity",
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         reader = Reader(sent.value.letters, sent.value.weights)
         for texts in batches:
             x = np.array([reader.features(t or "") for t in texts], float).reshape(len(texts), N_FEATURES)
             yield pd.Series(sent.value.trees.score(x))
 
-    return docs.withColumn(out, F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(F.col(text_col)))
+    return docs.withColumn(out, score(F.col(text_col)))
