@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
@@ -24,11 +26,14 @@ class ChunkEncoder:
     """Token ids as little-endian bytes. The tokenizer drops white space and joins nothing across it, so texts
     are encoded chunk by chunk, and chunks seen before come from a cache of bounded size."""
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 64) -> None:
+    def __init__(self, path: str, most: int = 1_000_000, longest: int = 64) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.most, self.longest = Tokenizer.from_file(path), {}, most, longest
+        # A special token's string parts a text before anything else is done to it, so many chunks go in one call.
+        self.mark_id, mark = max(self.tokenizer.get_added_tokens_decoder().items())
+        self.mark = mark.content
 
     def encode(self, texts: list[str]) -> list[bytes]:
         chunks = [CHUNK.findall(t) for t in texts]
@@ -36,10 +41,18 @@ class ChunkEncoder:
             self.known.clear()
         known = self.known
         new = list({c for own in chunks for c in own if c not in known})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for chunk, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[chunk] = np.array(coded.ids, "<u4").tobytes()
+        plain = [c for c in new if "<|" not in c]
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
+            data, begin = ids.tobytes(), 0
+            for chunk, end in zip(part, ends, strict=True):
+                known[chunk] = data[4 * begin : 4 * end]
+                begin = end + 1
+        for chunk in new:
+            if "<|" in chunk:  # may hold a special token's string
+                known[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         out = [b"".join(map(known.__getitem__, own)) for own in chunks]
         for chunk in new:
             if len(chunk) > self.longest:
@@ -47,12 +60,22 @@ class ChunkEncoder:
         return out
 
 
+def worker_encoder(path: str) -> ChunkEncoder:
+    """The encoder of this Python worker. Functions travel by value, so globals are new in every task; what the
+    tasks of a worker share has to live in its module table."""
+    shared = sys.modules.setdefault("voxlake_worker_state", ModuleType("voxlake_worker_state"))
+    encoders = shared.__dict__.setdefault("encoders", {})
+    if path not in encoders:
+        encoders[path] = ChunkEncoder(path)
+    return encoders[path]
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc, piece, start, length, ids_crc32): the tokens of every document and the closing id, cut only
     where a document is longer than a sequence. Null texts have the closing id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, close = ChunkEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, close = worker_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         step = 4 * length
         for batch in batches:
             for begin in range(0, batch.num_rows, 64):
