@@ -8,7 +8,7 @@ from itertools import compress, groupby
 import numpy as np
 from pyspark.sql import DataFrame
 
-from voxlake.llm.repeats import Ranges, Unit, find_repeats
+from voxlake.llm.repeats import Context, Ranges, Unit, find_repeats
 from voxlake.llm.wordcodes import word_codes
 
 
@@ -69,9 +69,9 @@ def earlier_matches(span: int):
     """A matcher: for the contexts (document, anchor, words) of an anchor, the ranges of words in strings of
     ``span`` words that a smaller document's contexts hold. The shard's automaton grows document by document."""
 
-    def match(contexts: list[tuple[int, int, bytes]]) -> list[Ranges]:
+    def match(contexts: list[Context]) -> list[Ranges]:
         first: dict[bytes, int] = {}
-        for doc, _, body in contexts:
+        for doc, _, body, _ in contexts:
             first[body] = min(doc, first.get(body, doc))
         shard, known = SuffixAutomaton(), 0
         out: list[Ranges] = [[] for _ in contexts]

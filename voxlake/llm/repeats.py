@@ -26,6 +26,8 @@ from voxlake.llm.wordcodes import mixed
 SLICE = 1 << 20
 FIRST, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)  # odd multipliers
 Ranges = list[tuple[int, int]]
+#: Document, distance of the anchor, text, and at how many places of the document it stands.
+Context = tuple[int, int, bytes, int]
 
 
 @dataclass(frozen=True)
@@ -134,18 +136,22 @@ def _contexts(unit: Unit) -> Callable:
                     codes, parsed = unit.read(text)
                     places, hashes = anchors(codes, unit.span, unit.gram)
                     own = np.isin(hashes, np.array(wanted, np.int64))
+                    lows: dict[tuple[int, int, bytes], list[int]] = {}  # periodic text has one context at many places
+                    lead: dict[int, int] = {}
                     for p, h in zip(places[own].tolist(), hashes[own].tolist()):
                         low, high = max(0, p - reach), min(len(codes), p + unit.span)
-                        lead = int.from_bytes(unit.body(parsed, p, min(high, p + 8))[:8].ljust(8, b"\0"), "big", signed=False) >> 1
-                        rows.append((h, lead, doc, mark, low, p - low, unit.body(parsed, low, high)))
+                        lows.setdefault((h, p - low, unit.body(parsed, low, high)), []).append(low)
+                        if h not in lead:
+                            lead[h] = int.from_bytes(unit.body(parsed, p, min(high, p + 8))[:8].ljust(8, b"\0"), "big", signed=False) >> 1
+                    rows += [(h, lead[h], doc, mark, at, own_lows, body) for (h, at, body), own_lows in lows.items()]
                 columns = zip(*rows) if rows else [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, CONTEXT.types)], schema=CONTEXT)
 
     return run
 
 
-CONTEXT = pa.schema([("hash", pa.int64()), ("lead", pa.int64()), ("doc", pa.int64()), ("print", pa.binary()), ("low", pa.int64()), ("at", pa.int64()), ("body", pa.binary())])
-CONTEXT_SQL = "hash long, lead long, doc long, print binary, low long, at long, body binary"
+CONTEXT = pa.schema([("hash", pa.int64()), ("lead", pa.int64()), ("doc", pa.int64()), ("print", pa.binary()), ("at", pa.int64()), ("lows", pa.list_(pa.int64())), ("body", pa.binary())])
+CONTEXT_SQL = "hash long, lead long, doc long, print binary, at long, lows array<long>, body binary"
 RANGE_SQL = "doc long, print binary, low long, high long"
 
 
@@ -170,17 +176,19 @@ def _strings(unit: Unit) -> Callable:
     return run
 
 
-def _matched(unit: Unit, matcher: Callable[[list[tuple[int, int, bytes]]], list[Ranges]]) -> Callable:
+def _matched(unit: Unit, matcher: Callable[[list[Context]], list[Ranges]]) -> Callable:
     """Runs the matcher on every anchor's contexts, which stand together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        parts = (batch.slice(begin, 256) for batch in batches for begin in range(0, batch.num_rows, 256))
+        rows = (row for part in parts for row in zip(*(c.to_pylist() for c in part.columns)))
         out: list[tuple[int, bytes, int, int]] = []
         for _, group in groupby(rows, key=lambda r: r[0]):
             own = list(group)
-            if len(own) > 1:
-                found = matcher([(r[2], r[5], r[6]) for r in own])
-                out += [(r[2], r[3], r[4] + a, r[4] + b) for r, ranges in zip(own, found) for a, b in ranges]
+            if len(own) > 1 or len(own[0][5]) > 1:
+                found = matcher([(r[2], r[4], r[6], len(r[5])) for r in own])
+                for r, ranges in zip(own, found):
+                    out += [(r[2], r[3], a, b) for a, b in merged([(low + a, low + b) for low in r[5] for a, b in ranges])]
             if len(out) >= 4096:
                 yield _range_batch(out)
                 out = []
@@ -216,7 +224,7 @@ def _left(unit: Unit) -> Callable:
 
 
 def find_repeats(
-    docs: DataFrame, unit: Unit, matcher: Callable[[list[tuple[int, int, bytes]]], list[Ranges]],
+    docs: DataFrame, unit: Unit, matcher: Callable[[list[Context]], list[Ranges]],
     earlier: bool, by_lead: bool, hot: int = 16384, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False,
 ) -> DataFrame:
     """One row per document: id, ``n_units, n_removed, n_spans, kept_sha256, removed`` (ranges of units) and, on
@@ -251,7 +259,7 @@ def find_repeats(
 
     contexts = found.filter(F.size("cold") > 0).select("doc", "print", "text", "cold").mapInArrow(_contexts(unit), CONTEXT_SQL)
     dealt = contexts.repartitionByRange("lead", "hash") if by_lead else contexts.repartition("hash")
-    cold = dealt.sortWithinPartitions("lead", "hash", "doc", "low").mapInArrow(_matched(unit, matcher), RANGE_SQL)
+    cold = dealt.sortWithinPartitions("lead", "hash", "doc").mapInArrow(_matched(unit, matcher), RANGE_SQL)
 
     strings = saved(
         found.filter(F.size("hot") > 0).select("doc", "print", "text", "hot")

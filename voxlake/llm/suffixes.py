@@ -7,10 +7,13 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame
 
-from voxlake.llm.repeats import FIRST, SECOND, Ranges, Unit, find_repeats, rolled
+from voxlake.llm.repeats import FIRST, SECOND, Context, Ranges, Unit, find_repeats, rolled
 from voxlake.llm.wordcodes import CODES
 
 
+COLUMNS = 32
+
+
 def multikey_quicksort(strings: list[bytes], token: int = 8) -> list[int]:
     """Indexes of the strings in order: three-way partitions by one token of bytes at a time. Strings that agree
     so far are only compared from the next token on."""
@@ -53,35 +56,30 @@ def _best_neighbour(strings: list[bytes]) -> np.ndarray:
 
 def _repeated_starts(keys: list[tuple[int, bytes]], span: int) -> list[np.ndarray]:
     """For each context the starts of its strings of ``span`` bytes that another context holds at the same
-    distance from the anchor, by sorting all of them (128-bit hashes): linear in the contexts, not in pairs."""
-    own, shift, one, two = [], [], [], []
+    distance from the anchor, by sorting all of them (128-bit hashes): linear in the contexts, not in pairs.
+    Distances are taken COLUMNS at a time, which bounds what the sort needs."""
+    before = max((at for at, _ in keys), default=0)
+    width = max((len(body) - span + 1 + before - at for at, body in keys), default=0)
+    if width <= 0:
+        return [np.zeros(0, np.int64)] * len(keys)
+    one, two = (np.zeros((len(keys), width), np.uint64) for _ in range(2))
+    valid, hit = (np.zeros((len(keys), width), bool) for _ in range(2))
     for i, (at, body) in enumerate(keys):
         n = len(body) - span + 1
-        if n <= 0:
-            continue
-        codes = CODES[np.frombuffer(body, np.uint8)]
-        with np.errstate(over="ignore"):
-            one.append(rolled(codes, span, FIRST))
-            two.append(rolled(codes, span, SECOND))
-        own.append(np.full(n, i, np.int32))
-        shift.append(np.arange(n, dtype=np.int32) - at)
-    found = [np.zeros(0, np.int64)] * len(keys)
-    if not own:
-        return found
-    own, shift, one, two = (np.concatenate(x) for x in (own, shift, one, two))
-    order = np.lexsort((shift, two, one))  # the same place may stand in two contexts, but not at one distance
-    same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]) & (shift[order][1:] == shift[order][:-1])
-    hit = np.zeros(len(order), bool)
-    hit[order[1:][same]] = hit[order[:-1][same]] = True
-    rows = np.nonzero(hit)[0]
-    for i, starts in zip(*_grouped(own[rows], shift[rows])):
-        found[i] = starts + keys[i][0]
-    return found
-
-
-def _grouped(own: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
-    ids, first = np.unique(own, return_index=True)
-    return ids.tolist(), np.split(values, first[1:]) if len(ids) else []
+        if n > 0:
+            codes, own = CODES[np.frombuffer(body, np.uint8)], slice(before - at, before - at + n)
+            with np.errstate(over="ignore"):
+                one[i, own], two[i, own] = rolled(codes, span, FIRST), rolled(codes, span, SECOND)
+            valid[i, own] = True
+    for begin in range(0, width, COLUMNS):
+        row, shift = np.nonzero(valid[:, begin : begin + COLUMNS])
+        shift += begin
+        x, y = one[row, shift], two[row, shift]
+        order = np.lexsort((shift, y, x))  # the same place may stand in two contexts, but not at one distance
+        row, shift, x, y = row[order], shift[order], x[order], y[order]
+        same = np.flatnonzero((x[1:] == x[:-1]) & (y[1:] == y[:-1]) & (shift[1:] == shift[:-1]))
+        hit[row[same], shift[same]] = hit[row[same + 1], shift[same + 1]] = True
+    return [np.flatnonzero(h) - before + at for h, (at, _) in zip(hit, keys)]
 
 
 def repeated_bytes(span: int):
@@ -91,8 +89,10 @@ def repeated_bytes(span: int):
     a context don't add up to ``span`` bytes, none of its strings is repeated. What the two sides share may be
     with different contexts, so for the others the strings themselves are compared."""
 
-    def match(contexts: list[tuple[int, int, bytes]]) -> list[Ranges]:
-        count = Counter((at, body) for _, at, body in contexts)
+    def match(contexts: list[Context]) -> list[Ranges]:
+        count: Counter = Counter()
+        for _, at, body, places in contexts:
+            count[at, body] += places
         keys = list(count)
         found: dict[tuple[int, bytes], Ranges] = {k: [(0, len(k[1]))] if count[k] > 1 and len(k[1]) >= span else [] for k in keys}
         if len(keys) > 1:
@@ -103,7 +103,7 @@ def repeated_bytes(span: int):
                 if not found[key] and len(starts):
                     cuts = np.nonzero(np.diff(starts) > 1)[0] + 1
                     found[key] = [(int(x[0]), int(x[-1]) + span) for x in np.split(starts, cuts)]
-        return [found[at, body] for _, at, body in contexts]
+        return [found[at, body] for _, at, body, _ in contexts]
 
     return match
 
