@@ -43,7 +43,7 @@ def test_query_is_brute_force(spark, tokenizer):
     assert used <= -(-total // 4096) * 1.02 + 1
 
 
-STRANGE = [(100, "<|endoftext|> a<|startoftext|>b"), (101, "a b c d\x1ce\x85f"), (102, "é ́x İI"), (103, "it's I'll we'd\r\nx\tY"), (104, "the " * 9000), (105, "x" * 30000), (106, "١٢3½ ...!!")]
+STRANGE = [(100, "<|endoftext|> a<|startoftext|>b"), (101, "a b c d\x1ce\x85f"), (102, "é ́x İI"), (103, "it's I'll we'd\r\nx\tY"), (104, "the " * 9000), (105, "x" * 30000), (106, "١٢3½ ...!!"), (107, "a\xa0b\u2003c\u2028d!\x1c!\x1fe f\x0bg\x0ch")]
 
 
 def test_awkward_rows(spark, tokenizer):
