@@ -54,3 +54,23 @@ def test_oversized(df, chunked):
         assert oversized(df, ["k"])
     with chunked(700):
         assert not oversized(df, ["k"])
+
+
+@pytest.mark.parametrize("limit", [4, 30])
+@pytest.mark.parametrize("falling", [False, True])
+def test_missing_and_endless_positions(spark, chunked, limit, falling):
+    """NULL, NaN, infinities and equal keys come in the order of an uncut window."""
+    rng = random.Random(6)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 3.0]
+    df = spark.createDataFrame([(1, rng.choice(odd) if rng.random() < 0.3 else rng.random() * 9, i) for i in range(300)], "k int, p double, i int")
+    order, pos = ([F.col("p").desc(), "i"], -F.col("p")) if falling else (["p", "i"], None)
+
+    def numbered():
+        o = Ordered.of(df, ["k"], order, pos)
+        return o.cut, sorted((r.i, r.n, r.s) for r in o.row_number("n").running_sum("s", F.col("i")).done().collect())
+
+    with chunked(0):
+        _, plain = numbered()
+    with chunked(limit):
+        cut, got = numbered()
+    assert cut and got == plain

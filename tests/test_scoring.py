@@ -103,9 +103,63 @@ def test_resume_scores_only_what_is_missing(rows, folder):
     assert results(out, "translated_text") == [("a",), ("bad!",), (None,), (None,), ("c!",)]
 
 
+def test_a_stopped_call_goes_on(spark, folder):
+    path, schema = f"{folder}/done", "task_id bigint, idx int, original_text string"
+    df = spark.createDataFrame([(i, 0, f"t{i}") for i in range(100)], schema)
+
+    def dying():
+        def call(text):
+            if text == "t95":
+                raise SystemExit("out of memory")  # not an error of the row: the task dies
+            return text + "!"
+        return call
+
+    with pytest.raises(Exception):
+        C.resume_scores(df, path, dying, ["task_id", "idx"], batches=8, pause=None)
+    held = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    kept = {r.task_id for r in held.collect()}
+    assert "t95" not in kept
+
+    def only_new():
+        def call(text):
+            assert int(text[1:]) not in kept
+            return text + "?"
+        return call
+
+    out = {r.task_id: r.translated_text for r in C.resume_scores(df, path, only_new, ["task_id", "idx"], batches=8, pause=None).collect()}
+    assert out == {i: f"t{i}" + ("!" if i in kept else "?") for i in range(100)}
+
+
+def test_an_empty_folder_and_failed_rows(spark, folder):
+    import os
+
+    path = f"{folder}/done"
+    os.makedirs(path)
+    df = spark.createDataFrame([(1, 0, "x"), (2, 0, "y")], "task_id bigint, idx int, original_text string")
+
+    def fails_on_x():
+        def call(text):
+            if text == "x":
+                raise ValueError("no")
+            return text + "1"
+        return call
+
+    options = {"batches": 2, "pause": None, "on_fail": "error", "max_retries": 1}
+    first = {r.task_id: r.status for r in C.resume_scores(df, path, fails_on_x, ["task_id", "idx"], **options).collect()}
+    assert first == {1: "failed", 2: "translated"}
+    fine = lambda: lambda text: text + "2"
+    again = {r.task_id: r.translated_text for r in C.resume_scores(df, path, fine, ["task_id", "idx"], **options).collect()}
+    assert again == {1: None, 2: "y1"}
+    retried = {r.task_id: r.translated_text for r in C.resume_scores(df, path, fine, ["task_id", "idx"], retry_failed=True, **options).collect()}
+    assert retried == {1: "x2", 2: "y1"}
+
+
 def test_analysis(spark):
     df = spark.createDataFrame([(1, 0, "x"), (1, 1, "y"), (2, 0, "z")], "task_id bigint, idx int, original_text string")
     out = C.analyze(df, "meeting_report", lambda: lambda prompt: prompt.split("TEXT:")[1]).orderBy("task_id").collect()
     assert [r.analysis for r in out] == ["x y", "z"]
+    long = spark.createDataFrame([(1, i, f"w{i}") for i in range(12_000)], "task_id bigint, idx int, original_text string")
+    one = C.analyze(long, "summary", lambda: lambda prompt: prompt.split("TEXT:\n")[1]).collect()
+    assert len(one) == 1 and one[0].analysis == " ".join(f"w{i}" for i in range(12_000))
     bad = C.analyze(df, "poem", lambda: lambda prompt: prompt).collect()
     assert {(r.analysis, r.error) for r in bad} == {(None, "Unknown mode")}

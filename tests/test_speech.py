@@ -151,3 +151,13 @@ def test_review_replaces_only_given_lists(spark):
     edits = spark.createDataFrame([(1, 4, "A"), (2, 0, "ignored")], "task_id bigint, idx int, original_text string")
     reviewed = spark.createDataFrame([(1,), (3,)], "task_id bigint")
     assert {tuple(r) for r in L.save_review(base, edits, reviewed).collect()} == {(1, 4, "A"), (2, 0, "b")}
+
+
+def test_an_edit_changes_the_first_of_equal_indexes(spark):
+    from voxlake.operators import segments as S
+
+    segments = spark.createDataFrame([(1, 0, 5.0, "b", None), (1, 0, 2.0, "a", None), (1, 1, 0.0, "c", None)],
+                                     "task_id bigint, idx int, start_s double, original_text string, translated_text string")
+    edits = spark.createDataFrame([(1, 0, 1, "new", None, True, False)],
+                                  "task_id bigint, idx int, seq int, original_text string, translated_text string, has_original boolean, has_translated boolean")
+    assert sorted(r.original_text for r in S.merge_edits(segments, edits).collect()) == ["b", "c", "new"]

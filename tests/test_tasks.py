@@ -75,11 +75,54 @@ def test_phase_chain(spark):
 ])
 def test_commands(spark, phase, status, command, target, expected):
     tasks = spark.createDataFrame([(1, phase, status, False, 40.0)], "task_id bigint, phase string, status string, was_running_at_shutdown boolean, progress double")
-    commands = spark.createDataFrame([(1, 1, "cancel", None), (1, 2, command, target)], "task_id bigint, seq int, command string, from_phase string")
+    commands = spark.createDataFrame([(1, 2, command, target)], "task_id bigint, seq int, command string, from_phase string")
     row = L.apply_commands(tasks, commands).first()
     assert (row.phase, row.status, row.was_running_at_shutdown, row.command_note) == expected
 
 
+LOG = "task_id bigint, seq int, command string, from_phase string"
+TASK = "task_id bigint, phase string, status string, was_running_at_shutdown boolean, progress double"
+
+
+@pytest.mark.parametrize("limit", [0, 3])
+@pytest.mark.parametrize("commands,expected,notes", [
+    ([("confirm_speakers", None), ("pause", None)], ("transcribing", "paused", False), ["applied", "applied"]),
+    ([("restart", "translating"), ("start", None)], ("translating", "queued", True), ["applied", "applied"]),
+    ([("start", None), ("confirm_speakers", None), ("start", None)], ("transcribing", "queued", True), ["refused", "applied", "applied"]),
+    ([("pause", None), ("resume", None)], ("awaiting_speaker_validation", "awaiting_validation", False), ["applied", "applied"]),
+    ([("restart", None), ("start", None), ("confirm_audio", None), ("resume", None)], ("recomposing", "queued", True), ["applied", "refused", "applied", "applied"]),
+    ([("cancel", None), ("restart", "nowhere"), (None, None)], ("awaiting_speaker_validation", "cancelled", False), ["applied", "refused", "applied"]),
+])
+def test_commands_follow_each_other(spark, chunked, limit, commands, expected, notes):
+    tasks = spark.createDataFrame([(1, "awaiting_speaker_validation", "awaiting_validation", False, 40.0), (2, None, None, None, 1.0)], TASK)
+    log = spark.createDataFrame([(1, i, *c) for i, c in enumerate(commands)] + [(9, 1, "pause", None)], LOG)
+    with chunked(limit):
+        row = {r.task_id: r for r in L.apply_commands(tasks, log).collect()}
+        said = [r.command_note for r in L.replay_commands(tasks, log).orderBy("seq").collect()]
+    assert (row[1].phase, row[1].status, row[1].was_running_at_shutdown) == expected and said == notes and row[1].command_note == notes[-1]
+    assert (row[2].phase, row[2].status, row[2].command_note) == (None, None, None)
+
+
+def test_a_long_log_on_cut_chunks(spark, chunked):
+    import random
+
+    rng = random.Random(2)
+    names = ["start", "pause", "resume", "cancel", "restart", "confirm_speakers", "confirm_transcription", "confirm_translation", "confirm_audio"]
+    log = spark.createDataFrame([(1, i, rng.choice(names), rng.choice([None, "translating", "nowhere"])) for i in range(400)], LOG)
+    tasks = spark.createDataFrame([(1, "init", "pending", False, 0.0)], TASK)
+    rows = lambda: [tuple(r) for r in L.replay_commands(tasks, log).select("seq", "phase_before", "status_before", "command_note").orderBy("seq").collect()]
+    with chunked(0):
+        plain = rows()
+    with chunked(9):
+        assert rows() == plain and len(plain) == 400
+
+
+def test_both_names_of_the_language_in_one_update(spark):
+    tasks = spark.createDataFrame([(1, "a")], "task_id bigint, tgt_lang string")
+    updates = spark.createDataFrame([(1, 1, {"tgt_lang": "fr", "target_language": "de"})], "task_id bigint, seq int, fields map<string,string>")
+    assert L.update_tasks(tasks, updates).first().tgt_lang == "de"
+
+
 def test_step_updates(spark, steps):
     base = steps.withColumns({"started_at": F.lit(None).cast("timestamp"), "error_message": F.lit("old")})
     at = [datetime(2024, 1, d) for d in (1, 2, 3)]

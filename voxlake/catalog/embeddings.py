@@ -174,12 +174,19 @@ def _(t: Tables):
 
 @query(
     "j08_analyze",
-    """SELECT task_id, upper('You are an expert summarizer. Summarize the following text concisely.' || E'\\n\\nTEXT:\\n' || string_agg(regexp_replace(original_text, '[^a-zA-Z .,]', '', 'g'), ' ' ORDER BY idx)) AS analysis
-    FROM transcripts GROUP BY task_id""",
+    """SELECT task_id, CAST(length(prompt) AS VARCHAR) || ':' || md5(prompt) AS analysis FROM (
+      SELECT task_id, 'You are an expert summarizer. Summarize the following text concisely.' || E'\\n\\nTEXT:\\n' || string_agg(original_text, ' ' ORDER BY idx) AS prompt
+      FROM transcripts GROUP BY task_id)""",
 )
 def _(t: Tables):
-    texts = t.transcripts.withColumn("original_text", F.regexp_replace("original_text", "[^a-zA-Z .,]", ""))
-    return C.analyze(texts, "summary", upper_provider_plain).select("task_id", "analysis")
+    return C.analyze(t.transcripts, "summary", digest_provider).select("task_id", "analysis")
+
+
+def digest_provider():
+    """Stands for a model: an answer that depends on every character of the prompt."""
+    from hashlib import md5
+
+    return lambda prompt: f"{len(prompt)}:{md5(prompt.encode()).hexdigest()}"
 
 
 @query("j08_unknown_mode", "SELECT DISTINCT task_id, 'Unknown mode' AS error FROM transcripts")

@@ -184,8 +184,8 @@ def _(t: Tables):
 
 @query(
     "a05_export_markdown",
-    """SELECT CAST(task_id AS BIGINT) AS task_id, count(*) AS lines FROM (
-      SELECT task_id, unnest(string_split(value, E'\\n')) FROM (
+    """SELECT CAST(task_id AS BIGINT) AS task_id, count(*) AS lines, md5(string_agg(line, E'\\n' ORDER BY line)) AS content FROM (
+      SELECT task_id, unnest(string_split(value, E'\\n')) AS line FROM (
         SELECT task_id, '**' || speaker_name || E'**:\\n' || text || E'\\n' AS value FROM named_turns
         UNION ALL SELECT DISTINCT task_id, E'# Transcription Export\\n\\n*Generated on today*\\n\\n---\\n' FROM named_turns)) GROUP BY task_id""",
     **TURN_VIEWS,
@@ -193,7 +193,8 @@ def _(t: Tables):
 def _(t: Tables):
     folder = scratch(t, "markdown")
     X.export_markdown(speaker_turns(t.segments, t.speakers), folder, F.lit("today"))
-    return t.spark.read.text(folder).groupBy(F.col("task_id").cast("bigint").alias("task_id")).agg(F.count("*").alias("lines"))
+    return t.spark.read.text(folder).groupBy(F.col("task_id").cast("bigint").alias("task_id")).agg(
+        F.count("*").alias("lines"), F.md5(F.array_join(F.array_sort(F.collect_list("value")), "\n")).alias("content"))
 
 
 @query(

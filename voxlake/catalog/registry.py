@@ -14,21 +14,25 @@ ORACLES: dict[str, str] = {}
 
 
 def checked_by(sql: str, **extra: str) -> str:
-    """The SQL with the views it names in front; ``extra`` adds views of its own, in order."""
+    """The SQL with the views it names in front; ``extra`` adds views of its own, in order. A view may name itself."""
     named = {**CTES, **extra}
     wanted: list[str] = []
 
-    def need(text: str) -> None:
+    def names(name: str, text: str) -> bool:
+        return re.search(rf"\b(FROM|JOIN)\s+{name}\b", text) is not None
+
+    def need(text: str, within: tuple[str, ...] = ()) -> None:
         for name in named:
-            if name not in wanted and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
-                need(named[name])
+            if name not in wanted and name not in within and names(name, text):
+                need(named[name], (*within, name))
                 wanted.append(name)
 
     need(sql)
     if not wanted:
         return sql.strip()
     views = ",\n".join(f"{name} AS (\n{named[name].strip()}\n)" for name in wanted)
-    return f"WITH {views}\n{sql.strip()}"
+    recursive = "RECURSIVE " if any(names(name, named[name]) for name in wanted) else ""
+    return f"WITH {recursive}{views}\n{sql.strip()}"
 
 
 def query(name: str, sql: str | None = None, **extra: str):

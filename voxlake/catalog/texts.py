@@ -177,7 +177,7 @@ def _(t: Tables):
     return t.raw("documents").select(
         "doc_id", F.array_join(F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), 3), " ").alias("tail"),
         F.coalesce(F.try_element_at(config, F.col("lang")), F.lit("none")).alias("looked_up"),
-        F.when(F.col("lang") == "en", updated["en"]).otherwise(updated["en"]).alias("updated"),
+        updated["en"].alias("updated"),
     )
 
 

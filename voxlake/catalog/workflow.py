@@ -85,9 +85,10 @@ def _(t: Tables):
     return T.task_status(t.tasks).select("task_id", "status", "progress", "message", "filename")
 
 
-@query("b05_step_lookup", "SELECT task_id, task_name, task_order, status FROM steps WHERE task_name = 'step_3' AND task_id = 17")
+@query("b05_step_lookup", "SELECT task_id, task_name, task_order, status FROM steps WHERE task_name = 'step_' || CAST(task_id % 4 AS VARCHAR)")
 def _(t: Tables):
-    found = t.steps.where((F.col("task_id") == 17) & (F.col("task_name") == "step_3"))
+    # Every project asks for one of its steps by name.
+    found = t.steps.where(F.col("task_name") == F.concat(F.lit("step_"), (F.col("task_id") % 4).cast("string")))
     return found.select("task_id", "task_name", "task_order", "status")
 
 
@@ -371,27 +372,36 @@ def _(t: Tables):
     )
 
 
+# Every command in its turn: a recursion over the whole log of each project.
+REPLAY = f"""
+    SELECT t.task_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, coalesce(phase, 'init') AS ph, coalesce(status, 'pending') AS st,
+      was_running_at_shutdown AS running, progress, CAST(NULL AS VARCHAR) AS note FROM tasks t
+    UNION ALL
+    SELECT r.task_id, c.n, c.seq,
+      CASE WHEN c.command = 'restart' AND c.tg IN {IN_PHASES} THEN c.tg
+        WHEN c.command = 'confirm_speakers' THEN 'transcribing' WHEN c.command = 'confirm_transcription' THEN 'translating'
+        WHEN c.command = 'confirm_translation' THEN 'synthesizing' WHEN c.command = 'confirm_audio' THEN 'recomposing' ELSE r.ph END,
+      CASE WHEN c.command = 'cancel' THEN 'cancelled' WHEN c.command = 'pause' THEN 'paused'
+        WHEN c.command = 'resume' AND r.ph = 'complete' THEN 'completed' WHEN c.command = 'resume' AND r.ph IN {INTERACTION} THEN 'awaiting_validation'
+        WHEN c.command = 'resume' THEN 'queued' WHEN c.command = 'restart' AND c.tg = 'init' THEN 'awaiting_validation'
+        WHEN c.command = 'restart' AND c.tg IN {IN_PHASES} THEN 'queued' WHEN c.command LIKE 'confirm%' THEN 'queued' ELSE r.st END,
+      CASE WHEN c.command = 'start' AND r.ph NOT IN {REVIEWS} AND r.st NOT IN ('awaiting_validation', 'completed') THEN TRUE
+        WHEN c.command = 'resume' THEN r.ph NOT IN {INTERACTION} WHEN c.command LIKE 'confirm%' THEN TRUE
+        WHEN c.command = 'restart' AND c.tg IN {IN_PHASES} THEN c.tg <> 'init' WHEN c.command IN ('cancel', 'pause') THEN FALSE ELSE r.running END,
+      CASE WHEN c.command = 'restart' AND c.tg IN {IN_PHASES} THEN CAST(0 AS DOUBLE) ELSE r.progress END,
+      CASE WHEN c.command = 'start' AND (r.ph IN {REVIEWS} OR r.st IN ('awaiting_validation', 'completed')) THEN 'refused'
+        WHEN c.command = 'restart' AND c.tg NOT IN {IN_PHASES} THEN 'refused' ELSE 'applied' END
+    FROM replay r JOIN (SELECT *, coalesce(from_phase, 'init') AS tg,
+      row_number() OVER (PARTITION BY task_id ORDER BY seq, command, from_phase) AS n FROM commands) c ON c.task_id = r.task_id AND c.n = r.n + 1
+"""
+
+
 @query(
     "i03_apply_commands",
-    f"""SELECT task_id,
-    CASE WHEN command = 'restart' AND tg IN {IN_PHASES} THEN tg
-      WHEN command = 'confirm_speakers' THEN 'transcribing' WHEN command = 'confirm_transcription' THEN 'translating'
-      WHEN command = 'confirm_translation' THEN 'synthesizing' WHEN command = 'confirm_audio' THEN 'recomposing' ELSE phase END AS phase,
-    CASE WHEN command = 'cancel' THEN 'cancelled' WHEN command = 'pause' THEN 'paused'
-      WHEN command = 'resume' AND ph = 'complete' THEN 'completed' WHEN command = 'resume' AND ph IN {INTERACTION} THEN 'awaiting_validation'
-      WHEN command = 'resume' THEN 'queued' WHEN command = 'restart' AND tg = 'init' THEN 'awaiting_validation'
-      WHEN command = 'restart' AND tg IN {IN_PHASES} THEN 'queued' WHEN command LIKE 'confirm%' THEN 'queued' ELSE status END AS status,
-    CASE WHEN command = 'start' AND NOT asks AND st <> 'completed' THEN TRUE
-      WHEN command = 'resume' THEN ph NOT IN {INTERACTION} WHEN command LIKE 'confirm%' THEN TRUE
-      WHEN command = 'restart' AND tg IN {IN_PHASES} THEN tg <> 'init' WHEN command IN ('cancel', 'pause') THEN FALSE
-      ELSE was_running_at_shutdown END AS was_running_at_shutdown,
-    CASE WHEN command = 'restart' AND tg IN {IN_PHASES} THEN CAST(0 AS DOUBLE) ELSE progress END AS progress,
-    CASE WHEN command IS NULL THEN NULL WHEN command = 'start' AND (asks OR st = 'completed') THEN 'refused'
-      WHEN command = 'restart' AND tg NOT IN {IN_PHASES} THEN 'refused' ELSE 'applied' END AS command_note
-    FROM (SELECT t.*, c.command, coalesce(c.from_phase, 'init') AS tg, coalesce(phase, 'init') AS ph, coalesce(status, 'pending') AS st,
-      coalesce(phase, 'init') IN {REVIEWS} OR coalesce(status, 'pending') = 'awaiting_validation' AS asks
-      FROM tasks t LEFT JOIN (SELECT task_id, command, from_phase FROM commands QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY seq DESC) = 1) c
-      ON c.task_id = t.task_id)""",
+    """SELECT r.task_id, CASE WHEN t.phase IS NULL AND r.ph = 'init' THEN NULL ELSE r.ph END AS phase, CASE WHEN t.status IS NULL AND r.st = 'pending' THEN NULL ELSE r.st END AS status,
+    r.running AS was_running_at_shutdown, r.progress, r.note AS command_note FROM replay r JOIN tasks t ON t.task_id = r.task_id
+    QUALIFY row_number() OVER (PARTITION BY r.task_id ORDER BY r.n DESC) = 1""",
+    replay=REPLAY,
 )
 def _(t: Tables):
     return L.apply_commands(t.tasks, t.commands).select(
@@ -399,6 +409,16 @@ def _(t: Tables):
     )
 
 
+@query(
+    "i03_replay_commands",
+    """SELECT r.task_id, r.seq, b.ph AS phase_before, b.st AS status_before, r.note AS command_note
+    FROM replay r JOIN replay b ON b.task_id = r.task_id AND b.n = r.n - 1""",
+    replay=REPLAY,
+)
+def _(t: Tables):
+    return L.replay_commands(t.tasks, t.commands).select("task_id", "seq", "phase_before", "status_before", "command_note")
+
+
 @query(
     "i04_update_tasks",
     """SELECT t.task_id, CASE WHEN u.task_id IS NOT NULL THEN 'msg ' || u.seq ELSE t.error_message END AS error_message,
@@ -411,7 +431,7 @@ def _(t: Tables):
     seq = F.col("seq").cast("string")
     fields = F.create_map(
         F.lit("error_message"), F.concat(F.lit("msg "), seq), F.lit("separate_audio"), F.when(F.col("seq") % 2 == 0, "Yes").otherwise("no"),
-        F.lit("target_language"), F.lit("de"), F.lit("note"), seq,
+        F.lit("tgt_lang"), F.lit("fr"), F.lit("target_language"), F.lit("de"), F.lit("note"), seq,
     )
     tasks = t.tasks.withColumn("data", F.create_map(F.lit("old_note"), F.lit("kept"), F.lit("note"), F.lit(None).cast("string")))
     out = L.update_tasks(tasks, t.commands.select("task_id", "seq", fields.alias("fields")))

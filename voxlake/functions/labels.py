@@ -36,15 +36,6 @@ def normalize_phase(phase: Column) -> Column:
     return F.when(phase.isin(*K.RESTART_PHASES), phase).otherwise("init")
 
 
-def phase_ordinal(phase: Column) -> Column:
-    """0-based place in the workflow, NULL where unknown."""
-    return F.try_element_at(_map({name: i for i, (name, _) in enumerate(K.PHASES)}), phase)
-
-
-def is_interaction(phase: Column) -> Column:
-    return F.coalesce(phase.isin(*[name for name, kind in K.PHASES if kind == "interaction"]), F.lit(False))
-
-
 def language_name(code: Column, short: bool = False) -> Column:
     """Display name; an unknown code is shown as it is."""
     rows = K.LANGUAGES[: K.SHORT_LANGUAGE_LIST] if short else K.LANGUAGES

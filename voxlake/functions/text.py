@@ -26,11 +26,6 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(strip(text) == "", F.lit(True))
 
 
-def has_text(text: Column) -> Column:
-    """Neither NULL nor empty; whitespace counts as text."""
-    return F.coalesce(F.length(text) > 0, F.lit(False))
-
-
 def clean_text(text: Column) -> Column:
     """Readable punctuation, single spaces, no symbols, a closing mark; NULL becomes ''."""
     out = F.coalesce(text, F.lit(""))

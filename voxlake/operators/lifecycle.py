@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxlake import constants as K
 from voxlake.operators.tasks import INTERACTION, REVIEWS
+from voxlake.plans.ordered import Ordered
 
 # The state each confirmation leads to.
 CONFIRMATIONS = {
@@ -86,65 +87,86 @@ def apply_step_updates(steps: DataFrame, updates: DataFrame) -> DataFrame:
     return out.select(*steps.columns)
 
 
-def apply_commands(tasks: DataFrame, commands: DataFrame) -> DataFrame:
-    """Projects after their last command (task_id, seq, command, from_phase).
+def _at_last_change(log: DataFrame, change: str, start: str, name: str) -> DataFrame:
+    """``log`` with ``name``: the value that the last row before it with a ``change`` has set, else ``start``.
 
-    ``start`` does nothing while a person is asked, or on a completed project; ``resume`` on a
-    phase that waits for a person only restores the matching status.  A rejected command
-    leaves the row alone and gives a note.
+    The rows with a change are numbered, and every row looks up the one before it by that number, so a project
+    with very many commands is spread over tasks like any other.
     """
-    last = (
-        commands.groupBy("task_id")
-        .agg(F.max_by(F.struct("command", "from_phase"), "seq").alias("c"))
-        .select("task_id", F.col("c.command").alias("__command"), F.col("c.from_phase").alias("__from"))
-    )
-    joined = tasks.join(last, "task_id", "left")
-    command = F.coalesce("__command", F.lit(""))
-    phase = F.coalesce("phase", F.lit("init"))
-    status = F.coalesce("status", F.lit("pending"))
-    asks = phase.isin(*REVIEWS) | (status == "awaiting_validation")
-    target = F.coalesce(F.nullif("__from", F.lit("")), F.lit("init"))
-    waits = phase.isin(*INTERACTION)
+    order = ["seq", "command", "from_phase"]
+    numbered = Ordered.of(log, ["task_id"], order).running_sum("__n", F.col(change).isNotNull().cast("long"), before=True).done()
+    set_by = numbered.where(F.col(change).isNotNull()).select("task_id", (F.col("__n") + 1).alias("__n"), F.col(change).alias(name))
+    found = numbered.join(set_by, ["task_id", "__n"], "left")
+    return found.withColumn(name, F.coalesce(name, start)).drop("__n")
+
+
+def replay_commands(tasks: DataFrame, commands: DataFrame) -> DataFrame:
+    """Every command (task_id, seq, command, from_phase) of a known project in its turn.
 
-    starts = (command == "start") & ~asks & (status != "completed")
+    Adds ``phase_before`` and ``status_before``, which earlier commands have left, ``phase_set``,
+    ``status_set`` and ``running_set`` (NULL where the command leaves them), ``restarts`` and ``command_note``.
+    ``start`` is refused while a person is asked or on a completed project, ``restart`` to an unknown phase;
+    ``resume`` on a phase that waits for a person only restores the matching status.  Commands with
+    one ``seq`` follow each other by name.
+    """
+    command = F.coalesce("command", F.lit(""))
+    target = F.coalesce(F.nullif("from_phase", F.lit("")), F.lit("init"))
     restarts = (command == "restart") & target.isin(*K.RESTART_PHASES)
-    refused = ((command == "start") & ~starts) | ((command == "restart") & ~restarts)
-    new_phase, new_status = F.col("phase"), F.col("status")
     confirmed = command.isin(*CONFIRMATIONS)
     confirm_map = F.create_map(*[F.lit(v) for kv in CONFIRMATIONS.items() for v in kv])
-    new_phase = (
-        F.when(restarts, target)
-        .when(confirmed, F.try_element_at(confirm_map, command))
-        .otherwise(new_phase)
-    )
-    new_status = (
+    first = tasks.select("task_id", F.coalesce("phase", F.lit("init")).alias("__phase"), F.coalesce("status", F.lit("pending")).alias("__status"))
+    log = commands.select("task_id", "seq", "command", "from_phase").join(first, "task_id").withColumns({
+        "restarts": restarts,
+        "phase_set": F.when(restarts, target).when(confirmed, F.try_element_at(confirm_map, command)),
+    })
+    log = _at_last_change(log, "phase_set", "__phase", "phase_before")
+    phase = F.col("phase_before")
+    waits = phase.isin(*INTERACTION)
+    log = log.withColumn(
+        "status_set",
         F.when(command == "cancel", "cancelled")
         .when(command == "pause", "paused")
         .when((command == "resume") & (phase == "complete"), "completed")
         .when((command == "resume") & waits, "awaiting_validation")
         .when(command == "resume", "queued")
         .when(restarts & target.isin(*INTERACTION), "awaiting_validation")
-        .when(restarts | confirmed, "queued")
-        .otherwise(new_status)
+        .when(restarts | confirmed, "queued"),
     )
+    log = _at_last_change(log, "status_set", "__status", "status_before")
+    asks = phase.isin(*REVIEWS) | (F.col("status_before") == "awaiting_validation")
+    starts = (command == "start") & ~asks & (F.col("status_before") != "completed")
+    refused = ((command == "start") & ~starts) | ((command == "restart") & ~restarts)
     # Queued work is picked up at once and then counts as running.
-    runs = starts | ((command == "resume") & ~waits) | (
-        (confirmed | restarts) & (F.coalesce(F.try_element_at(confirm_map, command), target) != "init")
-    )
+    runs = starts | ((command == "resume") & ~waits) | ((confirmed | restarts) & (F.col("phase_set") != "init"))
     stops = command.isin("cancel", "pause") | ((command == "resume") & waits) | (restarts & (target == "init"))
+    return log.withColumns({
+        "running_set": F.when(runs, True).when(stops, False),
+        "command_note": F.when(refused, "refused").otherwise("applied"),
+    }).drop("__phase", "__status")
+
+
+def apply_commands(tasks: DataFrame, commands: DataFrame) -> DataFrame:
+    """Projects after all their commands in the order of ``seq`` (see ``replay_commands``).
+
+    ``command_note`` is that of the last command, NULL without one.  What no command has set stays as it was.
+    """
+    log = replay_commands(tasks, commands)
+    turn = F.struct("seq", "command", "from_phase")
+    last = lambda name: F.max_by(F.col(name), F.when(F.col(name).isNotNull(), turn))
+    folded = log.groupBy("task_id").agg(
+        last("phase_set").alias("__phase"),
+        last("status_set").alias("__status"),
+        last("running_set").alias("__running"),
+        F.bool_or("restarts").alias("__restarted"),
+        F.max_by("command_note", turn).alias("command_note"),
+    )
     return (
-        joined.withColumns({
-            "__phase": new_phase,
-            "__status": new_status,
-            "__running": F.when(runs, True).when(stops, False).otherwise(F.col("was_running_at_shutdown")),
-            "__progress": F.when(restarts, 0.0).otherwise(F.col("progress")),
-        })
+        tasks.join(folded, "task_id", "left")
         .withColumns({
-            "phase": F.col("__phase"),
-            "status": F.col("__status"),
-            "was_running_at_shutdown": F.col("__running"),
-            "progress": F.col("__progress"),
-            "command_note": F.when(refused, "refused").when(F.col("__command").isNotNull(), "applied"),
+            "phase": F.coalesce("__phase", "phase"),
+            "status": F.coalesce("__status", "status"),
+            "was_running_at_shutdown": F.coalesce("__running", "was_running_at_shutdown"),
+            "progress": F.when(F.col("__restarted"), 0.0).otherwise(F.col("progress")),
         })
         .select(*tasks.columns, "command_note")
     )
@@ -161,17 +183,19 @@ def update_tasks(tasks: DataFrame, updates: DataFrame, now: Column | None = None
     """Apply a field map per project (task_id, fields map<string,string>, seq).
 
     Names of table columns set the column (cast to its type, flags by their loose words); other
-    names go into ``data``.  ``target_language`` and ``tgt_lang`` are the same field.
+    names go into ``data``.  ``target_language`` and ``tgt_lang`` are the same field; where one update gives
+    both, ``target_language`` counts.
     """
     from voxlake.functions.convert import to_bool
 
     direct = [c for c in tasks.columns if c not in ("task_id", "data", "updated_at")]
-    renamed = F.transform_keys("fields", lambda k, _: F.when(k == "target_language", "tgt_lang").otherwise(k))
+    other_name = F.col("name") == "target_language"
     flat = (
-        updates.withColumn("fields", renamed)
-        .select("task_id", "seq", F.explode("fields").alias("name", "value"))
+        updates.select("task_id", "seq", F.explode("fields").alias("name", "value"))
+        .withColumn("turn", F.struct("seq", other_name.alias("other")))
+        .withColumn("name", F.when(other_name, "tgt_lang").otherwise(F.col("name")))
         .groupBy("task_id", "name")
-        .agg(F.max_by("value", "seq").alias("value"))
+        .agg(F.max_by("value", "turn").alias("value"))
         .groupBy("task_id")
         .agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("__fields"))
     )

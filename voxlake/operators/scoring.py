@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,7 @@ from voxlake import constants as K
 from voxlake.functions import text as X
 from voxlake.functions.convert import backoff
 from voxlake.operators.segments import concat_text
+from voxlake.session import checkpoint_dir
 
 Provider = Callable[[], Callable[[str], object]]
 
@@ -178,26 +179,51 @@ def route_scores(
     return df.mapInPandas(run, schema)
 
 
-def resume_scores(df: DataFrame, path: str, provider: Provider | None, keys: list[str], **options) -> DataFrame:
+def resume_scores(
+    df: DataFrame, path: str, provider: Provider | None, keys: list[str], batches: int = 16, retry_failed: bool = False, **options,
+) -> DataFrame:
     """Score only the rows that the table at ``path`` does not hold yet, add them to it, return the table.
 
-    Each call appends what it finished, so a stopped run goes on where it ended.
+    Rows are dealt by the hash of their keys to ``batches`` batches, and each batch is committed to a folder of
+    its own before the next begins: a stopped call loses one batch at most, and the next call scores the
+    rest.  With ``retry_failed`` rows that ended as failed are scored again; of a row's results the latest counts.
     """
     spark = df.sparkSession
-    pending = df
-    try:
-        done = spark.read.parquet(path)
-        pending = df.join(done.select(*keys), keys, "left_anti")
-    except Exception as problem:
-        if "PATH_NOT_FOUND" not in str(problem):
-            raise
-    score(pending, provider, **options).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    schema = T.StructType([*score(df, provider, **options).schema, T.StructField("saved_at", T.LongType())])
+
+    def table() -> DataFrame:
+        # A folder that a stopped call left without any file has no schema to infer.
+        held = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+        newest = held.groupBy(*keys).agg(F.max("saved_at").alias("saved_at"))
+        return held.join(newest, [*keys, "saved_at"], "left_semi")
+
+    done = table().where(F.coalesce(F.col("status") != "failed", F.lit(True))) if retry_failed else table()
+    turn = time.time_ns()
+    # The rows to do are fixed before the first batch changes the table.
+    pending = df.join(done.select(*keys), keys, "left_anti").withColumn("__batch", F.pmod(F.xxhash64(*keys), F.lit(batches)))
+    checkpoint_dir(spark)
+    pending = pending.checkpoint()
+    for batch in range(batches):
+        rows = pending.where(F.col("__batch") == batch).drop("__batch")
+        if retry_failed and "status" in df.columns:
+            rows = rows.withColumn("status", F.nullif("status", F.lit("failed")))
+        scored = score(rows, provider, **options).withColumn("saved_at", F.lit(turn))
+        scored.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{turn}-{batch}")
+    return table().drop("saved_at")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def analyze(segments: DataFrame, mode: str, provider: Provider | None, **options) -> DataFrame:
-    """Transcript of each recording, the prompt for ``mode`` and the provider's answer."""
-    texts = concat_text(segments)
+    """Whole transcript of each recording, the prompt for ``mode`` and the provider's one answer to it.
+
+    A prompt is one value, so the parts of a long recording's text are put together again, in order.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("part", "text")))
+    texts = concat_text(segments).groupBy("task_id").agg(F.array_join(F.transform(listed, lambda p: p["text"]), " ").alias("text"))
     prompted = texts.withColumns({
         "prompt": X.analysis_prompt(F.col("text"), F.lit(mode)),
         "error": X.analysis_error(F.lit(mode)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake import constants as K
@@ -82,7 +82,8 @@ def merge_edits(segments: DataFrame, edits: DataFrame) -> DataFrame:
     """Review edits by (task_id, idx): the last edit of a segment wins, field by field.
 
     An edit (task_id, idx, seq, original_text, translated_text, has_original, has_translated)
-    sets a text only where its has_ flag is true; a set NULL overwrites.
+    sets a text only where its has_ flag is true; a set NULL overwrites.  Where segments share an
+    index, the first of them (by time, then text) changes.
     """
     def last(name: str, flag: str) -> Column:
         given = F.coalesce(flag, F.lit(False))
@@ -91,12 +92,16 @@ def merge_edits(segments: DataFrame, edits: DataFrame) -> DataFrame:
     folded = edits.groupBy("task_id", "idx").agg(
         last("original_text", "has_original").alias("__o"), last("translated_text", "has_translated").alias("__t")
     )
+    turn = [c for c in ("start_s", "end_s", "original_text", "translated_text") if c in segments.columns]
+    first = F.row_number().over(Window.partitionBy("task_id", "idx").orderBy(*turn)) == 1
+
+    def edited(change: str, text: str) -> Column:
+        return F.when(F.col("__first") & F.col(change).isNotNull(), F.col(f"{change}.v")).otherwise(F.col(text))
+
     return (
         segments.join(folded, ["task_id", "idx"], "left")
-        .withColumns({
-            "original_text": F.when(F.col("__o").isNotNull(), F.col("__o.v")).otherwise(F.col("original_text")),
-            "translated_text": F.when(F.col("__t").isNotNull(), F.col("__t.v")).otherwise(F.col("translated_text")),
-        })
+        .withColumn("__first", first)
+        .withColumns({"original_text": edited("__o", "original_text"), "translated_text": edited("__t", "translated_text")})
         .select(*segments.columns)
     )
 
@@ -192,10 +197,3 @@ def finalize_status(segments: DataFrame) -> DataFrame:
         .when(silent, F.coalesce(soft, F.lit(K.SILENT_TEXT)))
         .otherwise(soft),
     })
-
-
-def attach_prompts(segments: DataFrame, language: Column, short: bool = False) -> DataFrame:
-    from voxlake.functions.labels import language_name
-
-    name = language if short else language_name(language)
-    return segments.withColumn("prompt", X.translation_prompt(F.col("original_text"), name, short))

@@ -103,16 +103,12 @@ def attach_segments(tasks: DataFrame, segments: DataFrame, page_size: int = 1000
               if c in segments.columns]
     shown = _in("phase", ["translating", "recomposing", "complete"])
     pages = (
-        segments.withColumn("page", parts(F.col("idx"), page_size))
+        segments.join(tasks.where(shown).select("task_id"), "task_id", "left_semi")
+        .withColumn("page", parts(F.col("idx"), page_size))
         .groupBy("task_id", "page")
         .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("segments"))
     )
-    return (
-        tasks.withColumn("__shown", F.when(shown, F.col("task_id")))
-        .join(pages.withColumnRenamed("task_id", "__shown"), "__shown", "left")
-        .drop("__shown")
-        .fillna(0, ["page"])
-    )
+    return tasks.join(pages, "task_id", "left").fillna(0, ["page"])
 
 
 def task_summary(enriched: DataFrame) -> DataFrame:

@@ -63,8 +63,3 @@ def range_join(
         .where((F.col(pos) >= F.col(low)) & (F.col(pos) < F.col(high)))
         .drop(BLOCK)
     )
-
-
-def truncate_to_long(value: Column) -> Column:
-    """Toward zero, as a whole number."""
-    return value.cast("bigint")

@@ -1,25 +1,14 @@
-"""Joins against per-group results without moving the large side."""
+"""Joins against per-group results."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-BROADCAST_CONF = "spark.voxlake.broadcastRows"
-BROADCAST_ROWS = 500_000
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join ``stats`` (one narrow row per group) to ``df``.
+    """Join ``stats`` (one row per group) to ``df``.
 
-    The number of stats rows is checked by fetching one more than the limit.  Up to the limit
-    they are sent to every task and ``df`` is not shuffled; above it both sides are shuffled on
-    the keys, where AQE splits an oversized group of ``df``.
+    Nothing runs while the plan is built. Adaptive execution sends ``stats`` to every task where its real
+    size in bytes allows, and splits an oversized group of ``df`` else.
     """
-    limit = int(df.sparkSession.conf.get(BROADCAST_CONF, str(BROADCAST_ROWS)))
-    if limit > 0 and not df.isStreaming:
-        fetched = stats.limit(limit + 1).toArrow()
-        if fetched.num_rows <= limit:
-            small = df.sparkSession.createDataFrame(fetched, stats.schema)
-            return df.join(F.broadcast(small), keys, how)
     return df.join(stats, keys, how)

@@ -5,8 +5,11 @@ for one that holds a large share of all rows, so ``Ordered`` checks group sizes
 aggregate first.  Where every group is small it uses plain windows.  Where some are not, their
 rows are cut into consecutive chunks by position, windows run inside a chunk, and what a chunk
 needs from the earlier ones (a running total, the last row) comes from a summary with one row
-per chunk.  A group is only listed when it has more rows than the limit, so there are at most
-total / limit such groups and about twice as many chunks: the summaries are small by counting.
+per chunk.  Only groups with more rows than the limit are listed; the list and the summaries are
+joined like any table, so the optimizer sends them to all tasks only where they are small.
+
+Positions follow the order of the rows: NULLs lie where the first order column puts them, NaN above
+every number, infinities at the ends.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxlake.session import checkpoint_dir
+
 CHUNK_CONF = "spark.voxlake.chunkRows"
 CHUNK_ROWS = 1 << 18
 LEVELS = 8
@@ -36,44 +41,51 @@ def oversized(df: DataFrame, keys: list[str]) -> bool:
     return len(df.groupBy(*keys).count().where(F.col("count") > rows).take(1)) > 0
 
 
-def _dense(df: DataFrame, by: list[str], limit: int):
-    """Rows, first and last position of the groups with more than ``limit`` rows: at most total / limit lines."""
+def _dense(df: DataFrame, by: list[str], limit: int) -> DataFrame | None:
+    """Rows, first and last position of the groups with more than ``limit`` rows; None where there are none."""
     sized = (
         df.groupBy(*by)
         .agg(F.count("*").alias("__n"), F.min("__pos").alias("__lo"), F.max("__pos").alias("__hi"))
         .where((F.col("__n") > limit) & (F.col("__hi") > F.col("__lo")))
     )
-    found = sized.toArrow()
-    return df.sparkSession.createDataFrame(found, sized.schema) if found.num_rows else None
+    if not sized.take(1):
+        return None
+    checkpoint_dir(df.sparkSession)
+    return sized.checkpoint()
 
 
 def _divide(df: DataFrame, by: list[str], found: DataFrame, rows: int) -> DataFrame:
     """Divide the found groups evenly between their first and last position; chunk numbers keep the order."""
     pieces = F.ceil(F.col("__n") * 2.0 / rows)  # positions are rarely even, so aim below the limit
     most = found.agg(F.max(pieces)).first()[0]
-    renamed = F.broadcast(
-        found.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(by)], "__lo", "__hi", pieces.alias("__pieces"))
-    )
+    renamed = found.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(by)], "__lo", "__hi", pieces.alias("__pieces"))
     on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(by)]
     step = (F.col("__pos") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * F.col("__pieces")
-    piece = F.coalesce(F.least(F.floor(step), F.col("__pieces") - 1), F.lit(0))
+    inner = F.least(F.floor(step), F.col("__pieces") - 1)
+    piece = F.when(F.col("__side") < 0, 0).when(F.col("__side") > 0, F.col("__pieces") - 1).otherwise(inner)
     return (
         df.join(renamed, on, "left")
-        .withColumn(CHUNK, F.col(CHUNK) * int(most) + piece)
+        .withColumn(CHUNK, F.col(CHUNK) * int(most) + F.coalesce(piece, F.lit(0)))
         .withColumn(HOT, F.col(HOT) | F.col("__pieces").isNotNull())
         .drop("__lo", "__hi", "__pieces", *[f"__k{i}" for i in range(len(by))])
     )
 
 
-def _cut(df: DataFrame, keys: list[str], pos: Column) -> DataFrame | None:
+def _cut(df: DataFrame, keys: list[str], pos: Column, first: Column) -> DataFrame | None:
     """``df`` with chunk numbers for oversized groups, or None where there are none.
 
-    Chunks that are still too dense are divided again, up to LEVELS times.
+    Chunks that are still too dense are divided again, up to LEVELS times.  ``first`` is the first order
+    column: it tells on which side NULL and NaN stand.
     """
     rows = chunk_rows(df)
     if rows <= 0 or df.isStreaming:
         return None
-    placed = df.withColumn("__pos", pos.cast("double"))
+    place, shown = pos.cast("double"), str(first)
+    falling = "DESC" in shown
+    nulls = 1 if "NULLS LAST" in shown else -1
+    endless = F.abs(place) == float("inf")
+    side = F.when(place.isNull(), nulls).when(F.isnan(place), -1 if falling else 1).when(endless, F.signum(place).cast("int")).otherwise(0)
+    placed = df.withColumns({"__side": side, "__pos": F.when(side == 0, place)})
     found = _dense(placed, keys, rows)
     if found is None:
         return None
@@ -84,7 +96,7 @@ def _cut(df: DataFrame, keys: list[str], pos: Column) -> DataFrame | None:
         if found is None:
             break
         placed = _divide(placed, [*keys, CHUNK], found, rows)
-    return placed.drop("__pos")
+    return placed.drop("__pos", "__side")
 
 
 @dataclass(frozen=True)
@@ -100,7 +112,7 @@ class Ordered:
     def of(cls, df: DataFrame, keys: list[str], order: list[str | Column], pos: Column | None = None) -> Ordered:
         """``pos`` is a number that never decreases along ``order``; the first order column by default."""
         columns = [F.col(c) if isinstance(c, str) else c for c in order]
-        chunked = _cut(df, keys, columns[0] if pos is None else pos)
+        chunked = _cut(df, keys, columns[0] if pos is None else pos, columns[0])
         if chunked is None:
             return cls(df, list(keys), columns, False)
         return cls(chunked, list(keys), columns, True)
@@ -127,7 +139,7 @@ class Ordered:
         for i, key in enumerate(on):
             renamed = renamed.withColumnRenamed(key, f"__k{i}")
         match = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(on)]
-        return self.df.join(F.broadcast(renamed), match, "left").drop(*[f"__k{i}" for i in range(len(on))])
+        return self.df.join(renamed, match, "left").drop(*[f"__k{i}" for i in range(len(on))])
 
     def running_sum(self, name: str, value: Column, before: bool = False) -> Ordered:
         """Running total of ``value`` up to this row, or up to the row before it."""

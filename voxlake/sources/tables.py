@@ -8,8 +8,3 @@ from pyspark.sql import DataFrame, SparkSession
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of ``folder``; filters and column choices reach the Parquet scan."""
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-
-
-def save_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int, mode: str = "overwrite") -> None:
-    """Save as a table bucketed and sorted by ``keys``: later joins and aggregates on them need no shuffle."""
-    df.write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)

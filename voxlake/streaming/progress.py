@@ -149,9 +149,3 @@ def start_refresh(stream: DataFrame, path: str, checkpoint: str, every: str = "1
         .trigger(**trigger)
         .start()
     )
-
-
-def tail_batches(path: str, n: int = 100) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink for logs without state: each batch keeps at most n new entries per project."""
-    write = append_changes(path)
-    return lambda batch, batch_id: write(log_tail(batch, n), batch_id)
