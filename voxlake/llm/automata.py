@@ -132,3 +132,28 @@ def remove_earlier_passages(docs: DataFrame, span: int = 50, gram: int = 10, hot
     another, and a missing id counts as the largest; repeated rows give repeated rows; an empty table none.
     """
     return find_repeats(docs, word_unit(span, gram), earlier_matches(span), True, False, hot, id_col, text_col, keep_text)
+
+
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h
+  FROM d, LATERAL (SELECT unnest(range(1, len(w) - 48)) AS i) WHERE len(w) >= 50
+), firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS p
+  FROM (SELECT doc_id, i FROM windows JOIN firsts USING (h) WHERE first < doc_id), (SELECT unnest(range(0, 50)) AS k)
+), words AS (
+  SELECT doc_id, p, w[p] AS word, g.p IS NOT NULL AS removed
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d) LEFT JOIN gone g USING (doc_id, p)
+), runs AS (
+  SELECT *, removed AND NOT coalesce(lag(removed) OVER (PARTITION BY doc_id ORDER BY p), FALSE) AS begins FROM words
+), sums AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE removed) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans,
+    sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT removed), '')) AS kept_sha256
+  FROM runs GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans
+FROM documents LEFT JOIN sums USING (doc_id)
+"""

@@ -87,4 +87,6 @@ def llm_queries() -> dict[str, Query]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op6_benchmark_leaks": leaks.SQL}
+    """SQL for what DuckDB can say; the others learn models, need look-around in patterns, checksums or bytes, and are
+    tested against brute force in tests/llm."""
+    return {"op1_substring_automata": automata.SQL, "op6_benchmark_leaks": leaks.SQL, "op7_ngram_jaccard": ngrams.SQL}
