@@ -189,6 +189,11 @@ def digest_provider():
     return lambda prompt: f"{len(prompt)}:{md5(prompt.encode()).hexdigest()}"
 
 
+@query("j01_copy_same_language", "SELECT task_id, idx, original_text AS translated_text, 'translated' AS status FROM segments")
+def _(t: Tables):
+    return C.copy_texts(t.segments).select("task_id", "idx", "translated_text", "status")
+
+
 @query("j08_unknown_mode", "SELECT DISTINCT task_id, 'Unknown mode' AS error FROM transcripts")
 def _(t: Tables):
     return C.analyze(t.transcripts, "poem", upper_provider_plain).select("task_id", "error")

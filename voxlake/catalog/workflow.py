@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxlake import constants as K
 from voxlake import schemas
 from voxlake.catalog.bindings import Tables, micros
 from voxlake.catalog.registry import query
@@ -479,3 +480,27 @@ def _(t: Tables):
 def _(t: Tables):
     counted = T.enrich_tasks(t.tasks, t.steps)
     return T.phase_percent(counted, "phase", "completed", "total").select("task_id", "overall_percent")
+
+
+SHARE = """SELECT t.task_id, phase, coalesce(CAST(completed AS DOUBLE) / total, CAST(0 AS DOUBLE)) AS share
+  FROM tasks t LEFT JOIN (SELECT task_id, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) AS total FROM steps GROUP BY 1) p ON p.task_id = t.task_id"""
+
+
+@query(
+    "e09_one_pass_percent",
+    """SELECT task_id, CASE phase WHEN 'translating' THEN 40 + CAST(trunc(share * 20) AS INT) WHEN 'synthesizing' THEN 65 + CAST(trunc(share * 15) AS INT) END AS overall_percent FROM shares""",
+    shares=SHARE,
+)
+def _(t: Tables):
+    counted = T.enrich_tasks(t.tasks, t.steps)
+    return T.phase_percent(counted, "phase", "completed", "total", K.ONE_PASS_SPANS).select("task_id", "overall_percent")
+
+
+@query(
+    "e09_review_percent",
+    "SELECT task_id, CASE phase WHEN 'translating' THEN 20 + CAST(trunc(share * 50) AS INT) END AS overall_percent FROM shares",
+    shares=SHARE,
+)
+def _(t: Tables):
+    counted = T.enrich_tasks(t.tasks, t.steps)
+    return T.phase_percent(counted, "phase", "completed", "total", K.REVIEW_SPANS).select("task_id", "overall_percent")

@@ -38,6 +38,10 @@ PHASE_SPANS = [
     ("recomposing", 88, 4),
 ]
 
+# The ranges of the one-pass dubbing, and of the translation before a review.
+ONE_PASS_SPANS = [("translating", 40, 20), ("synthesizing", 65, 15)]
+REVIEW_SPANS = [("translating", 20, 50)]
+
 # Status shown to people.
 STATUS_LABELS = {
     "awaiting_input": "Needs Input",

@@ -120,6 +120,12 @@ def score(
     return df.mapInPandas(run, schema)
 
 
+def copy_texts(df: DataFrame, in_col: str = "original_text", out_col: str = "translated_text") -> DataFrame:
+    """The result where source and target language are the same: every row, also an empty or failed one, takes its
+    input and counts as translated."""
+    return df.withColumns({out_col: F.col(in_col), "status": F.lit("translated")})
+
+
 def route_scores(
     df: DataFrame,
     registry: dict[str, Provider],

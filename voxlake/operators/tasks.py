@@ -330,10 +330,16 @@ def evolve(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
-def phase_percent(df: DataFrame, phase: str = "phase", current: str = "current", total: str = "total") -> DataFrame:
-    """Overall percent of a project inside one computing phase; NULL for other phases."""
-    base = F.create_map(*[F.lit(v) for p, b, _ in K.PHASE_SPANS for v in (p, b)])
-    width = F.create_map(*[F.lit(v) for p, _, w in K.PHASE_SPANS for v in (p, w)])
+def phase_percent(
+    df: DataFrame, phase: str = "phase", current: str = "current", total: str = "total", spans: list[tuple[str, int, int]] | None = None,
+) -> DataFrame:
+    """Overall percent of a project inside one computing phase; NULL for other phases.
+
+    ``spans`` has (phase, start percent, width); by default those of the full workflow.
+    """
+    listed = K.PHASE_SPANS if spans is None else spans
+    base = F.create_map(*[F.lit(v) for p, b, _ in listed for v in (p, b)])
+    width = F.create_map(*[F.lit(v) for p, _, w in listed for v in (p, w)])
     share = F.coalesce(F.try_divide(F.col(current).cast("double"), F.col(total).cast("double")), F.lit(0.0))
     moved = (share * F.try_element_at(width, F.col(phase))).cast("int")
     return df.withColumn("overall_percent", F.try_element_at(base, F.col(phase)) + moved)
