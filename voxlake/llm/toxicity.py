@@ -105,8 +105,8 @@ def learn_toxicity(
 
     Half of the sample gives the terms: words and beginnings of words that at least ``least_docs`` toxic
     texts have, ``least_ratio`` times as often as the others. Equal texts count once. The other half fits the
-    trees over the evidence, which can only rise with more of it. A sample without toxic texts gives a
-    constant score."""
+    trees over the evidence, which can only rise with more of it. A sample without toxic texts, or
+    without any, gives a constant low score."""
     letters = learn_letters(docs, text_col)
     chosen = (
         labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).dropna().filter(~held_out(F.col("id")))
@@ -141,7 +141,7 @@ def learn_toxicity(
     model = ToxicityModel(letters, weights)
     got = _evidence(sample.filter("not first").select("id", "text", "y"), model).toPandas().sort_values(["id", "y"], kind="stable")
     x = np.array(got["x"].tolist(), float).reshape(len(got), N_FEATURES)
-    model.trees = fit_trees(x, got["y"].to_numpy(float), np.ones(N_FEATURES), trees=60, depth=3)
+    model.trees = fit_trees(x, got["y"].to_numpy(float), np.ones(N_FEATURES), trees=60, depth=3, without_rows=0.0)
     return model
 
 

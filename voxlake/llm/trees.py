@@ -35,13 +35,14 @@ class FlatTrees:
 
 def fit_trees(
     x: np.ndarray, y: np.ndarray, monotone: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, least: int = 20, ridge: float = 1.0,
+    without_rows: float = 1.0,
 ) -> FlatTrees:
     """Boosted trees for 0/1 labels under the logistic loss. ``monotone`` has 1 (may only raise the score), -1
     (may only lower it) or 0 for each feature; a split that breaks its constraint is not taken, and the leaves
-    below a constrained split stay on their side of its middle. Without rows, or with one label only, the
-    score is constant."""
+    below a constrained split stay on their side of its middle. With one label only the score is constant, and
+    so it is without rows, near ``without_rows``."""
     n, k = x.shape
-    mean = min(max(float(y.mean()) if n else 1.0, 1e-3), 1 - 1e-3)
+    mean = min(max(float(y.mean()) if n else without_rows, 1e-3), 1 - 1e-3)
     base = float(np.log(mean / (1 - mean)))
     nodes: list[list] = []
     roots: list[int] = []
