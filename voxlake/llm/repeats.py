@@ -80,9 +80,10 @@ def anchors(codes: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.nda
             if len(part) < span:
                 continue
             h = rolled(part, gram, FIRST)
-            least = sliding(h, width, np.minimum)
-            edge = np.zeros(width - 1, np.uint64)
-            p = np.nonzero(sliding(np.concatenate([edge, least, edge]), width, np.maximum) == h)[0]
+            key = (h >> np.uint64(32)).astype(np.uint32)  # half the bytes for the minima; of equal keys all are anchors
+            least = sliding(key, width, np.minimum)
+            edge = np.zeros(width - 1, np.uint32)
+            p = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), width, np.maximum) == key)
             p = p[(p + begin >= at) & (p + begin < at + SLICE)]
             places.append(p + begin)
             hashes.append(h[p].view(np.int64))
