@@ -37,6 +37,19 @@ def test_plain_words_pass(letters):
     assert r.words("x" * 500) == ([], False) or r.words("x" * 500)[0]
 
 
+def test_long_disguises(letters):
+    r = noisy.Restorer(letters)
+    sentence = "other people told the idiot that the moron was worthless".replace(" ", "")
+    assert "stupid" in r.words("stu" + "u" * 70 + "pid")[0] and r.words("!d" + "i" * 80 + "ot")[0] == ["idiot"]
+    assert ["stupid"] in r.spaced("s t " + "u " * 200 + "p i d")
+    for sign in ".-":
+        for n in (1, 3):
+            assert {"moron", "worthless"} <= set(r.words(sign.join(sentence * n))[0])
+    reader = toxicity.Reader(letters, {"worthless": 2.0, "moron": 3.0})
+    assert reader.features(".".join(sentence))[:4] == [2.0, 3.0, 2.0, 5.0]
+    assert reader.features("m" + "o" * 90 + "ron")[:2] == [1.0, 3.0]
+
+
 def test_query_columns(spark):
     got = op2_noisy_toxicity(spark, FOLDER).collect()
     assert len(got) == len(table_docs())

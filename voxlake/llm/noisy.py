@@ -15,11 +15,13 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou",
 }
-SEPARATED = re.compile(r"\S(?:[._\-~/,:;']\S){3,}[.,;:!?]*")
+SEPARATED = re.compile(r"\S(?:[._\-~/,:;']\S){3,}+[.,;:!?]*+")
 SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 TRIPLE = re.compile(r"(.)\1\1")
+LONG_RUN = re.compile(r"(.)\1{3,}", re.S)
 EDGES = ".,;:?!\"'()[]{}<>«»“”„…-_*~`"
 KEPT_EDGES = ".,;:?\"'[]«»“”„…-_~`"
+#: Letters of a stretch that are new; longer strings are decoded in stretches of twice as many, so none is left out.
 LONGEST = 64
 
 _TABLE = np.full(0x250, OTHER, np.int64)
@@ -99,24 +101,46 @@ class Restorer:
         ends = [(s + float(self.model[a, b, 0]), path) for (a, b), (s, path) in states.items()]
         return max(ends)[1]
 
-    def words(self, token: str) -> tuple[list[str], bool]:
-        """The plain words of a token of lower-case text, and whether it had to be restored."""
+    def stretches(self, chars: str, edges: bool = False) -> list[str]:
+        """The best paths of a string of any length. Runs of more than three read like three; what is then still
+        longer than LONGEST is decoded in overlapping stretches, in which words may end anywhere."""
+        chars = LONG_RUN.sub(r"\1\1\1", chars)
+        if len(chars) <= LONGEST:
+            return [self.decode(chars, edges)]
+        return [self.decode(chars[i : i + 2 * LONGEST], True) for i in range(0, len(chars), LONGEST)]
+
+    def _split(self, chars: str, edges: bool = False) -> list[str]:
+        return list(dict.fromkeys(w for path in self.stretches(chars, edges) for w in path.split()))
+
+    def read(self, token: str) -> tuple[list[list[str]], bool]:
+        """The words of a token of lower-case text, each with its readings, and whether it had to be restored.
+        Letters set apart and strings longer than LONGEST can hold several words."""
         plain = token.strip(EDGES)
         if plain.isalpha() and not TRIPLE.search(plain):
             bare = token.strip(KEPT_EDGES)
             if bare == plain or bare.strip("!()*<{}>") == plain and len(bare) - len(plain) > 1:
-                return [plain], False
-            return ([plain, self.decode(bare)], True) if bare[0] in LEET and len(bare) <= LONGEST else ([plain], False)
+                return [[plain]], False
+            return (self._joined([plain], bare), True) if bare[0] in LEET else ([[plain]], False)
         bare = token.strip(KEPT_EDGES)
-        if not bare or len(bare) > LONGEST or not any(c in self.number for c in bare):
+        if not bare or not any(c in self.number for c in bare):
             return [], False
         if SEPARATED.fullmatch(bare):
-            return self.decode(re.sub(r"[._\-~/,:;']", "", bare), True).split(), True
-        found = [self.decode(bare)]
-        if bare.rstrip("!") != bare:  # an exclamation mark or an i
-            found.append(self.decode(bare.rstrip("!")))
+            return [[w] for w in self._split(re.sub(r"[._\-~/,:;']", "", bare), True)], True
         parts = [p for p in re.split(r"[^\w@$!|+*]+", bare) if p.isalpha()]
-        return found + parts, True
+        if bare.rstrip("!") != bare:  # an exclamation mark or an i
+            return self._joined(parts, bare, bare.rstrip("!")), True
+        return self._joined(parts, bare), True
+
+    def _joined(self, parts: list[str], *spellings: str) -> list[list[str]]:
+        """Readings of one word, or the words of a long string and its parts one by one."""
+        words = list(dict.fromkeys(w for s in spellings for w in self._split(s)))
+        long = any(len(LONG_RUN.sub(r"\1\1\1", s)) > LONGEST for s in spellings)
+        return [[w] for w in dict.fromkeys(words + parts)] if long else [words + parts]
+
+    def words(self, token: str) -> tuple[list[str], bool]:
+        """The plain words of a token of lower-case text, and whether it had to be restored."""
+        found, restored = self.read(token)
+        return [w for readings in found for w in readings], restored
 
     def spaced(self, text: str) -> list[list[str]]:
         """The words behind runs of single characters; long runs in overlapping stretches."""
@@ -124,5 +148,5 @@ class Restorer:
         for run in SPACED.findall(text):
             chars = run.replace(" ", "")
             if len(set(chars)) > 2:
-                out += [self.decode(chars[i : i + 2 * LONGEST], True).split() for i in range(0, len(chars), LONGEST)]
+                out += [path.split() for path in self.stretches(chars, True)]
         return out

@@ -45,11 +45,11 @@ class Reader:
         self.known: dict[str, tuple] = {}
 
     def _read(self, token: str) -> tuple:
-        words, restored = self.restorer.words(token)
+        words, restored = self.restorer.read(token)
         if self.weights is None:
-            return tuple({t for w in words for t in terms(w)})
-        best = max((self.weights.get(t, 0.0) for w in words for t in terms(w)), default=0.0)
-        return best, restored
+            return tuple({t for readings in words for w in readings for t in terms(w)})
+        best = (max((self.weights.get(t, 0.0) for w in readings for t in terms(w)), default=0.0) for readings in words)
+        return tuple(b for b in best if b > 0), restored
 
     def tokens(self, text: str) -> tuple[Counter, list[list[str]]]:
         low = text.lower()
@@ -68,7 +68,7 @@ class Reader:
     def features(self, text: str) -> list[float]:
         """Evidence: words found, their weights, their share of the text, and how many were disguised."""
         found, spaced = self.tokens(text)
-        hits = [(self.known[t], n) for t, n in found.items() if self.known[t][0] > 0]
+        hits = [((best, self.known[t][1]), n) for t, n in found.items() for best in self.known[t][0]]
         hits += [((best, True), 1) for run in spaced for w in run if (best := max(self.weights.get(t, 0.0) for t in terms(w))) > 0]
         own = sorted((w for (w, _), _ in hits), reverse=True)
         total, words = sum(n for _, n in hits), sum(found.values())
@@ -160,9 +160,9 @@ def _evidence(rows: DataFrame, model: ToxicityModel) -> DataFrame:
 def score_toxicity(docs: DataFrame, model: ToxicityModel, out: str = "toxicity", text_col: str = "text") -> DataFrame:
     """``docs`` with a column ``out``: the probability that the text is toxic, from the whole text alone.
 
-    Tokens in which letters are replaced, repeated or set apart, and runs of single letters, are decoded by
-    Viterbi over their lattice of readings under the character model; the evidence of the restored words goes
-    through the trees. Null and empty texts have no evidence. Every row stays, repeated ones too; other
+    Tokens in which letters are replaced, repeated or set apart, and runs of single letters, are decoded at any
+    length by Viterbi over their lattice of readings under the character model; the evidence of the restored words
+    goes through the trees. Null and empty texts have no evidence. Every row stays, repeated ones too; other
     columns pass unchanged; an empty table gives an empty one. Nothing is shuffled.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
