@@ -50,6 +50,21 @@ def test_long_disguises(letters):
     assert reader.features("m" + "o" * 90 + "ron")[:2] == [1.0, 3.0]
 
 
+@pytest.mark.parametrize("token,word", [
+    ("you-1d10t", "idiot"), ("other/1d10t", "idiot"), ("l0ser,1d10t", "idiot"), ("l0ser,1d10t", "loser"), ("you_1d10t", "idiot"), ("you_idiot", "idiot"),
+    ("stuupid", "stupid"), ("iidiot,", "idiot"), ("you-moroon", "moron"), ("story-$tup1d!!", "stupid"), ("the:m000r0n", "moron"),
+])
+def test_joined_and_doubled(letters, token, word):
+    assert word in noisy.Restorer(letters).words(token)[0]
+
+
+def test_joined_words_count_one_by_one(letters):
+    reader = toxicity.Reader(letters, {"idiot": 2.0, "loser": 3.0, "worthless": 1.0})
+    assert reader.features("l0ser,1d10t")[:4] == [2.0, 3.0, 2.0, 5.0] and reader.features("id-iot")[:2] == [1.0, 2.0]
+    assert reader.features("i.i.d.i.i.o.t")[:2] == [1.0, 2.0] and reader.features("w o r t h l e s s")[:4] == [1.0, 1.0, 0.0, 1.0]
+    assert reader.features("worthless,")[6] == 0 and reader.features("iidiot")[6] == 1
+
+
 def test_query_columns(spark):
     got = op2_noisy_toxicity(spark, FOLDER).collect()
     assert len(got) == len(table_docs())

@@ -18,6 +18,10 @@ LEET = {
 SEPARATED = re.compile(r"\S(?:[._\-~/,:;']\S){3,}+[.,;:!?]*+")
 SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 TRIPLE = re.compile(r"(.)\1\1")
+DOUBLE = re.compile(r"(.)\1", re.S)
+REPEATED = re.compile(r"(.)\1\1+", re.S)
+CUTS = re.compile(r"(?:[^\w@$!|+*]|_)+")
+PLAIN_CUTS = re.compile(r"(?:[^\w@$!|+*(<{€£¡]|_)+")
 LONG_RUN = re.compile(r"(.)\1{3,}", re.S)
 EDGES = ".,;:?!\"'()[]{}<>«»“”„…-_*~`"
 KEPT_EDGES = ".,;:?\"'[]«»“”„…-_~`"
@@ -59,7 +63,7 @@ class Restorer:
         self.number = {c: i + 1 for i, c in enumerate(LETTERS)}
         self.leet_cost, self.repeat_cost, self.edge_cost = leet_cost, repeat_cost, edge_cost
 
-    def _lattice(self, chars: str, edges: bool) -> list[list[tuple[str, float]]]:
+    def _lattice(self, chars: str, edges: bool, halve: bool) -> list[list[tuple[str, float]]]:
         """For every run of one character the strings it may stand for, with the channel's costs; '' drops it."""
         steps, i = [], 0
         while i < len(chars):
@@ -77,16 +81,19 @@ class Restorer:
                     options += [(x, cost + self.repeat_cost), (x * 2, cost + self.repeat_cost)]
                 else:
                     options.append((x * n, cost))
+                    if n == 2 and halve and x:
+                        options.append((x, cost + self.repeat_cost))
             if edges:  # a word may end after the run
                 options += [(x + " ", cost + self.edge_cost) for x, cost in options]
             steps.append(options)
             i = j
         return steps
 
-    def decode(self, chars: str, edges: bool = False) -> str:
-        """The best path through the lattice by Viterbi; a state is the last two letters."""
+    def decode(self, chars: str, edges: bool = False, halve: bool = True) -> str:
+        """The best path through the lattice by Viterbi; a state is the last two letters. With ``halve`` two equal
+        signs may stand for one letter."""
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for options in self._lattice(chars, edges):
+        for options in self._lattice(chars, edges, halve):
             nxt: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, path) in states.items():
                 for text, cost in options:
@@ -101,41 +108,77 @@ class Restorer:
         ends = [(s + float(self.model[a, b, 0]), path) for (a, b), (s, path) in states.items()]
         return max(ends)[1]
 
-    def stretches(self, chars: str, edges: bool = False) -> list[str]:
-        """The best paths of a string of any length. Runs of more than three read like three; what is then still
-        longer than LONGEST is decoded in overlapping stretches, in which words may end anywhere."""
-        chars = LONG_RUN.sub(r"\1\1\1", chars)
-        if len(chars) <= LONGEST:
-            return [self.decode(chars, edges)]
-        return [self.decode(chars[i : i + 2 * LONGEST], True) for i in range(0, len(chars), LONGEST)]
-
-    def _split(self, chars: str, edges: bool = False) -> list[str]:
-        return list(dict.fromkeys(w for path in self.stretches(chars, edges) for w in path.split()))
+    def apart(self, chars: str) -> list[list[str]]:
+        """The words of a string of any length in which words may end anywhere, each with its readings. Runs of more
+        than three read like three; what is then longer than LONGEST is decoded in overlapping stretches. Two equal
+        signs may be two letters, of two words too, or one; words that begin alike are readings of one."""
+        chars, out = LONG_RUN.sub(r"\1\1\1", chars), []
+        for i in range(0, len(chars), LONGEST) if len(chars) > LONGEST else [0]:
+            part = chars[i : i + 2 * LONGEST]
+            words = [[w] for w in self.decode(part, True, False).split()]
+            more = self.decode(part, True).split() if DOUBLE.search(part) else []
+            for w in dict.fromkeys(more):
+                same = next((own for own in words if own[0][:4] == w[:4]), None)
+                if same is None:
+                    words.append([w])
+                elif w not in same:
+                    same.append(w)
+            out += words
+        return out
 
     def read(self, token: str) -> tuple[list[list[str]], bool]:
         """The words of a token of lower-case text, each with its readings, and whether it had to be restored.
-        Letters set apart and strings longer than LONGEST can hold several words."""
-        plain = token.strip(EDGES)
+        Letters set apart, joined parts and strings longer than LONGEST can hold several words."""
+        plain, bare = token.strip(EDGES), token.strip(KEPT_EDGES)
         if plain.isalpha() and not TRIPLE.search(plain):
-            bare = token.strip(KEPT_EDGES)
-            if bare == plain or bare.strip("!()*<{}>") == plain and len(bare) - len(plain) > 1:
-                return [[plain]], False
-            return (self._joined([plain], bare), True) if bare[0] in LEET else ([[plain]], False)
-        bare = token.strip(KEPT_EDGES)
-        if not bare or not any(c in self.number for c in bare):
+            found = self._word(plain)
+            if bare != plain and (bare.strip("!()*<{}>") != plain or len(bare) - len(plain) < 2) and bare[0] in LEET:
+                return self._merged(found, self._word(bare)), True
+            return found, found != [[plain]]
+        if not bare or not self._legible(bare):
             return [], False
         if SEPARATED.fullmatch(bare):
-            return [[w] for w in self._split(re.sub(r"[._\-~/,:;']", "", bare), True)], True
-        parts = [p for p in re.split(r"[^\w@$!|+*]+", bare) if p.isalpha()]
-        if bare.rstrip("!") != bare:  # an exclamation mark or an i
-            return self._joined(parts, bare, bare.rstrip("!")), True
-        return self._joined(parts, bare), True
-
-    def _joined(self, parts: list[str], *spellings: str) -> list[list[str]]:
-        """Readings of one word, or the words of a long string and its parts one by one."""
-        words = list(dict.fromkeys(w for s in spellings for w in self._split(s)))
-        long = any(len(LONG_RUN.sub(r"\1\1\1", s)) > LONGEST for s in spellings)
-        return [[w] for w in dict.fromkeys(words + parts)] if long else [words + parts]
+            return self._once(self.apart(re.sub(r"[._\-~/,:;']", "", bare))), True
+        parts: list[list[str]] = []
+        for piece in filter(None, PLAIN_CUTS.split(bare)):
+            own = self._word(piece)
+            for part in filter(None, CUTS.split(piece)):
+                own = own if part == piece else self._merged(own, self._word(part), False)
+            parts += own
+        whole = self._word(bare)
+        return (self._merged(whole, parts) if parts else whole), True
+
+    def _legible(self, chars: str) -> bool:
+        return any(c in self.number for c in chars)
+
+    def _word(self, chars: str) -> list[list[str]]:
+        """The readings of one word, or the words of a long string."""
+        own = [chars] if chars.isalpha() else []
+        if not self._legible(chars) or own and not DOUBLE.search(chars):
+            return [own] if own else []
+        found = []
+        for s in dict.fromkeys((LONG_RUN.sub(r"\1\1\1", chars), LONG_RUN.sub(r"\1\1\1", chars.rstrip("!")))):  # an exclamation mark or an i
+            if len(s) > LONGEST:
+                return self._once([own] * bool(own) + self.apart(s))
+            if not own or TRIPLE.search(s):
+                found.append(self.decode(s, halve=False))
+            if DOUBLE.search(REPEATED.sub(" ", s)):
+                found.append(self.decode(s))
+        return [list(dict.fromkeys(filter(None, own + found)))]
+
+    @staticmethod
+    def _once(words: list[list[str]]) -> list[list[str]]:
+        return [list(own) for own in dict.fromkeys(map(tuple, words))]
+
+    @staticmethod
+    def _merged(whole: list[list[str]], parts: list[list[str]], apart: bool = True) -> list[list[str]]:
+        """Words of a string and of its parts. The first part begins like the whole, so both are one word, and unless
+        they stand ``apart`` all parts are; a long string's words are one each."""
+        if len(whole) > 1:
+            return Restorer._once(whole + parts)
+        joined = whole + parts
+        kept = 2 if apart else len(joined)
+        return [list(dict.fromkeys(w for own in joined[:kept] for w in own)), *joined[kept:]]
 
     def words(self, token: str) -> tuple[list[str], bool]:
         """The plain words of a token of lower-case text, and whether it had to be restored."""
@@ -143,10 +186,10 @@ class Restorer:
         return [w for readings in found for w in readings], restored
 
     def spaced(self, text: str) -> list[list[str]]:
-        """The words behind runs of single characters; long runs in overlapping stretches."""
+        """The words behind runs of single characters, each with its readings; long runs in overlapping stretches."""
         out = []
         for run in SPACED.findall(text):
             chars = run.replace(" ", "")
             if len(set(chars)) > 2:
-                out += [path.split() for path in self.stretches(chars, True)]
+                out += self.apart(chars)
         return out

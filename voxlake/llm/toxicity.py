@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.noisy import SIZE, Restorer, language_model, trigram_counts
+from voxlake.llm.noisy import KEPT_EDGES, SIZE, Restorer, language_model, trigram_counts
 from voxlake.llm.tables import saved
 from voxlake.llm.trees import FlatTrees, fit_trees
 
@@ -49,7 +49,10 @@ class Reader:
         if self.weights is None:
             return tuple({t for readings in words for w in readings for t in terms(w)})
         best = (max((self.weights.get(t, 0.0) for w in readings for t in terms(w)), default=0.0) for readings in words)
-        return tuple(b for b in best if b > 0), restored
+        found = tuple(b for b in best if b > 0)
+        if restored and found and (plain := token.strip(KEPT_EDGES)).isalpha():  # a doubled letter may be the plain word's own
+            restored = max(self.weights.get(t, 0.0) for t in terms(plain)) < max(found)
+        return found, restored
 
     def tokens(self, text: str) -> tuple[Counter, list[list[str]]]:
         low = text.lower()
@@ -63,13 +66,13 @@ class Reader:
 
     def terms(self, text: str) -> set[str]:
         found, spaced = self.tokens(text)
-        return {x for t in found for x in self.known[t]} | {x for run in spaced for w in run for x in terms(w)}
+        return {x for t in found for x in self.known[t]} | {x for readings in spaced for w in readings for x in terms(w)}
 
     def features(self, text: str) -> list[float]:
         """Evidence: words found, their weights, their share of the text, and how many were disguised."""
         found, spaced = self.tokens(text)
         hits = [((best, self.known[t][1]), n) for t, n in found.items() for best in self.known[t][0]]
-        hits += [((best, True), 1) for run in spaced for w in run if (best := max(self.weights.get(t, 0.0) for t in terms(w))) > 0]
+        hits += [((best, True), 1) for readings in spaced if (best := max(self.weights.get(t, 0.0) for w in readings for t in terms(w))) > 0]
         own = sorted((w for (w, _), _ in hits), reverse=True)
         total, words = sum(n for _, n in hits), sum(found.values())
         return [
