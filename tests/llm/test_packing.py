@@ -63,3 +63,11 @@ def test_grouping_packs_tightly():
     used = sum(c * n for c, n in packing.configurations(sizes, counts, 4096))
     assert (used <= counts).all() and used.sum() > 550
     assert packing.pack(np.array([4096, 4096, 1]), 4096).tolist() == [0, 1, 2]
+
+
+def test_grouping_counts_on_ties():
+    lengths = np.repeat([2000, 1000], [60, 60])
+    plain, rooms = np.zeros(len(lengths), np.int64), []
+    packing.best_fit(np.arange(len(lengths)), lengths, rooms, plain, 4096)
+    bins = packing.pack(lengths, 4096)
+    assert bins.max() + 1 == len(rooms) and (bins != plain).any()

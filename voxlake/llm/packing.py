@@ -161,7 +161,8 @@ def pack(lengths: np.ndarray, room: int, groups: int = 12, large: float = 0.2) -
     Linear grouping: items above ``large * room`` form ``groups`` groups of equal cardinality, each rounded up
     to its longest member; the few sizes left are packed by ``configurations``, actual items take the places,
     and what rounding left over goes with the small items to where it fits best. Plain best fit of everything
-    stands beside it, and whichever needs fewer bins counts, as rounding costs room where small items are rare.
+    stands beside it and counts only where it needs fewer bins, as rounding costs room where small items are rare, or
+    where there are fewer than four large items a group.
     """
     n = len(lengths)
     plain, plain_rooms = np.zeros(n, np.int64), []
@@ -181,7 +182,7 @@ def pack(lengths: np.ndarray, room: int, groups: int = 12, large: float = 0.2) -
                     bins[own] = len(rooms)
                     rooms.append(room - int(lengths[own].sum()))
         best_fit(np.nonzero(bins < 0)[0], lengths, rooms, bins, room)
-    return bins if heads >= 4 * groups and len(rooms) < len(plain_rooms) else plain
+    return bins if heads >= 4 * groups and len(rooms) <= len(plain_rooms) else plain
 
 
 PACKED = "doc long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
