@@ -71,3 +71,10 @@ def test_grouping_counts_on_ties():
     packing.best_fit(np.arange(len(lengths)), lengths, rooms, plain, 4096)
     bins = packing.pack(lengths, 4096)
     assert bins.max() + 1 == len(rooms) and (bins != plain).any()
+
+
+def test_equal_rows_are_spread(spark):
+    rows = [(7, "one two three", "s")] * 200 + [(None, "four five", "s")] * 200
+    got = packing.best_fit_packing(frame(spark, rows), vocabulary("word_bpe_49k.json"), 4096, unit_rows=40).collect()
+    sizes = np.bincount([r.sequence_id >> 32 for r in got], minlength=10)
+    assert len(got) == 400 and sizes.max() < 100 and (sizes > 0).all()

@@ -194,12 +194,12 @@ def best_fit_packing(
     """One row per piece: ``id_col, piece, start, length, ids_crc32, sequence_id, offset``.
 
     Documents are tokenized where they are read and only narrow rows (no ids, no texts) move. The pieces are
-    dealt by hash to units of about ``unit_rows`` pieces, each packed by ``pack`` in one task; the number of
+    dealt by hash, equal ones too, to units of about ``unit_rows`` pieces, each packed by ``pack`` in one task; the number of
     units grows with the input, a unit doesn't, and what a unit wastes is part of its last sequences. Within a
     sequence pieces follow each other without gaps. Null and empty texts hold the closing id alone; documents
     with one id and equal texts are packed one by one; an empty table gives no rows.
     """
-    pieces = saved(token_pieces(docs, tokenizer, length, end_id, id_col, text_col), "pieces")
+    pieces = saved(token_pieces(docs, tokenizer, length, end_id, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pieces")
     units = max(1, -(-pieces.count() // unit_rows))
 
     def unit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -209,5 +209,5 @@ def best_fit_packing(
         pdf["offset"] = pdf.groupby("sequence_id")["length"].cumsum() - pdf["length"]
         return pdf
 
-    dealt = pieces.withColumn("unit", F.pmod(F.xxhash64("doc", "piece", "ids_crc32"), F.lit(units)))
+    dealt = pieces.withColumn("unit", F.pmod(F.xxhash64("doc", "piece", "ids_crc32", "row"), F.lit(units))).drop("row")
     return dealt.groupBy("unit").applyInPandas(unit, PACKED).withColumnRenamed("doc", id_col)
