@@ -1,4 +1,4 @@
-"""The ten queries of this subpackage, bound to the given tables."""
+"""The queries of this subpackage, bound to the given tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import automata, leaks, licenses, ngrams, packing, pii, quality, sharding, suffixes, toxicity
+from voxlake.llm import automata, leaks, licenses, ngrams, packing, pii, quality, sharding, snapshots, suffixes, toxicity
 from voxlake.llm.tables import documents, vocabulary
 from voxlake.sources.tables import load
 
@@ -82,11 +82,15 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return snapshots.exact_duplicates(documents(spark, folder), batches=3).drop("first_batch")
+
+
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_automata, op2_noisy_toxicity, op3_suffix_repeats, op4_byte_shards, op5_quality_trees, op6_benchmark_leaks, op7_ngram_jaccard, op8_best_fit_packing, op9_license_templates, op10_pii)}
+    return {f.__name__: f for f in (op1_substring_automata, op2_noisy_toxicity, op3_suffix_repeats, op4_byte_shards, op5_quality_trees, op6_benchmark_leaks, op7_ngram_jaccard, op8_best_fit_packing, op9_license_templates, op10_pii, op11_exact_dedup)}
 
 
 def llm_oracles() -> dict[str, str]:
     """SQL for what DuckDB can say; the others learn models, need look-around in patterns, checksums or bytes, and are
     tested against brute force in tests/llm."""
-    return {"op1_substring_automata": automata.SQL, "op6_benchmark_leaks": leaks.SQL, "op7_ngram_jaccard": ngrams.SQL}
+    return {"op1_substring_automata": automata.SQL, "op6_benchmark_leaks": leaks.SQL, "op7_ngram_jaccard": ngrams.SQL, "op11_exact_dedup": snapshots.SQL}
