@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import automata, leaks, licenses, ngrams, packing, pii, quality, sharding, snapshots, suffixes, toxicity
+from voxlake.llm import automata, leaks, licenses, manifest, ngrams, packing, pii, quality, sharding, simplex, snapshots, suffixes, toxicity
 from voxlake.llm.tables import documents, vocabulary
 from voxlake.sources.tables import load
 
@@ -86,11 +86,20 @@ def op11_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return snapshots.exact_duplicates(documents(spark, folder), batches=3).drop("first_batch")
 
 
+def op12_simplex_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return simplex.centroid_clusters(load(spark, folder, "embeddings"), clusters=8, rounds=10, size=64).drop("compared")
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return manifest.merkle_manifest(documents(spark, folder), tampered).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_automata, op2_noisy_toxicity, op3_suffix_repeats, op4_byte_shards, op5_quality_trees, op6_benchmark_leaks, op7_ngram_jaccard, op8_best_fit_packing, op9_license_templates, op10_pii, op11_exact_dedup)}
+    return {f.__name__: f for f in (op1_substring_automata, op2_noisy_toxicity, op3_suffix_repeats, op4_byte_shards, op5_quality_trees, op6_benchmark_leaks, op7_ngram_jaccard, op8_best_fit_packing, op9_license_templates, op10_pii, op11_exact_dedup, op12_simplex_clusters, op13_merkle_manifest)}
 
 
 def llm_oracles() -> dict[str, str]:
     """SQL for what DuckDB can say; the others learn models, need look-around in patterns, checksums or bytes, and are
     tested against brute force in tests/llm."""
-    return {"op1_substring_automata": automata.SQL, "op6_benchmark_leaks": leaks.SQL, "op7_ngram_jaccard": ngrams.SQL, "op11_exact_dedup": snapshots.SQL}
+    return {"op1_substring_automata": automata.SQL, "op6_benchmark_leaks": leaks.SQL, "op7_ngram_jaccard": ngrams.SQL, "op11_exact_dedup": snapshots.SQL, "op12_simplex_clusters": simplex.sql(), "op13_merkle_manifest": manifest.sql()}
