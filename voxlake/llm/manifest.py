@@ -7,6 +7,7 @@ the nodes of the next level. Going down again, every node passes its way to the
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 
 from voxlake.llm.tables import saved
 
+SMALL_LEVEL = 1 << 16  # levels of at most so many nodes (100 bytes each) are sent to all tasks; larger ones are shuffled
+SMALL_WAYS = 1 << 12  # the same for ways to the root, which hold two digests a level
+SAVE_EVERY = 4
 STEP_SQL = "array<struct<before: binary, after: binary>>"
 
 
@@ -48,13 +52,13 @@ def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     return placed.join(F.broadcast(counts), "__part").withColumn(name, F.col("__before") + F.col("__nth")).drop("__part", "__nth", "__before")
 
 
-def with_siblings(level: DataFrame, fanout: int) -> DataFrame:
+def with_siblings(level: DataFrame, fanout: int, small: bool) -> DataFrame:
     """A level (``tree, idx, n, node``) with the digests of the siblings before and after each node, put together."""
     slot, run = F.col("idx") % fanout, F.col("idx") - F.col("idx") % fanout
     out, others = level, []
     for shift in range(1, fanout):
         other = level.select("tree", F.col("idx").alias("__sibling"), F.col("node").alias(f"__s{shift}"))
-        out = out.withColumn("__sibling", run + (slot + shift) % fanout).join(other, ["tree", "__sibling"], "left").drop("__sibling")
+        out = out.withColumn("__sibling", run + (slot + shift) % fanout).join(F.broadcast(other) if small else other, ["tree", "__sibling"], "left").drop("__sibling")
         others.append((shift, F.coalesce(F.col(f"__s{shift}"), none())))
     # By their slots: shifts past the last slot come round to the first ones.
     before = [F.when(slot + shift >= fanout, d).otherwise(none()) for shift, d in others]
@@ -62,38 +66,52 @@ def with_siblings(level: DataFrame, fanout: int) -> DataFrame:
     return out.select("tree", "idx", "n", "node", F.concat(*before).alias("before"), F.concat(*after).alias("after"))
 
 
-def grow(leaves: DataFrame, fanout: int) -> list[DataFrame]:
-    """The levels of all trees, leaves (``tree, idx, n, node``; n: nodes of the tree) first, each saved. Trees with one
-    node left have it in the last level that holds them; the last level has nothing but such."""
+@dataclass(frozen=True)
+class Level:
+    """Nodes of trees that go on (``tree, idx, n, node, before, after``), saved, and their number; the nodes of
+    trees that end here (``tree, node``)."""
+
+    nodes: DataFrame | None
+    size: int
+    ended: DataFrame
+
+
+def grow(leaves: DataFrame, fanout: int) -> list[Level]:
+    """The levels of all trees, leaves (``tree, idx, n, node``; n: nodes of the tree) first. A tree ends in the level
+    in which it has one node; in the last level all do."""
     levels, level = [], leaves
-    most = leaves.agg(F.max("n")).first()[0] or 0
-    while most > 1:
+    most, size = leaves.agg(F.max("n"), F.count(F.lit(1))).first()
+    while (most or 0) > 1:
         most = -(-most // fanout)
-        joined = saved(with_siblings(level.filter("n > 1"), fanout), "manifest-level")
-        levels.append(joined.unionByName(level.filter("n = 1").select("*", none().alias("before"), none().alias("after"))))
-        level = joined.filter(F.col("idx") % fanout == 0).select(
+        nodes = saved(with_siblings(level.filter("n > 1"), fanout, size <= SMALL_LEVEL), "manifest-level")
+        size = nodes.count()
+        levels.append(Level(nodes, size, level.filter("n = 1").select("tree", "node")))
+        level = nodes.filter(F.col("idx") % fanout == 0).select(
             "tree", F.expr(f"idx div {fanout}").alias("idx"), F.expr(f"(n + {fanout - 1}) div {fanout}").alias("n"),
             digest(text_of("node"), text_of("after")).alias("node"))
-    return [*levels, level]
+    return [*levels, Level(None, 0, level.select("tree", "node"))]
 
 
-def roots(levels: list[DataFrame]) -> DataFrame:
-    """The last node of every tree (``tree, node``)."""
-    return reduce(DataFrame.unionAll, [level.filter("n = 1").select("tree", "node") for level in levels])
+def roots(levels: list[Level]) -> DataFrame:
+    """The last node of every tree (``tree, node, level``: where it ends)."""
+    return reduce(DataFrame.unionAll, [level.ended.withColumn("level", F.lit(i)) for i, level in enumerate(levels)])
 
 
-def ways(levels: list[DataFrame], above: DataFrame, fanout: int) -> DataFrame:
+def ways(levels: list[Level], tops: DataFrame, fanout: int) -> DataFrame:
     """For every leaf (``tree, idx``) its ``steps``: the siblings before and after it on each level, upwards, then those
-    of its tree's root (``above``: ``tree, steps``)."""
+    of its tree's root (``tops``: ``tree, level, steps``)."""
     known = None
-    for level in reversed(levels):
-        tops = level.filter("n = 1").select("tree", "idx").join(above, "tree").select("tree", "idx", "steps")
-        if known is None:
-            known = tops
+    for i, level in reversed(list(enumerate(levels))):
+        ended = tops.filter(F.col("level") == i).select("tree", F.lit(0).cast("long").alias("idx"), "steps")
+        if level.nodes is None:
+            known = ended
             continue
         parents = known.withColumnRenamed("idx", "__parent")
-        inner = level.filter("n > 1").withColumn("__parent", F.expr(f"idx div {fanout}")).join(parents, ["tree", "__parent"])
-        known = tops.unionByName(inner.select("tree", "idx", F.concat(F.array(F.struct("before", "after")), F.col("steps")).alias("steps")))
+        inner = level.nodes.withColumn("__parent", F.expr(f"idx div {fanout}")).join(
+            F.broadcast(parents) if level.size <= SMALL_WAYS else parents, ["tree", "__parent"])  # not more parents than children
+        known = ended.unionByName(inner.select("tree", "idx", F.concat(F.array(F.struct("before", "after")), F.col("steps")).alias("steps")))
+        if i and (len(levels) - i) % SAVE_EVERY == 0:
+            known = saved(known, "ways")
     return known
 
 
@@ -141,13 +159,14 @@ def merkle_manifest(
     subroots = saved(roots(levels), "subroots")
     groups_n = subroots.count()
     upper = grow(subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("idx"), F.lit(groups_n).alias("n"), "node"), fanout)
-    last = roots(upper).first()  # one digest
+    top = roots(upper)
+    last = top.first()  # one digest
     root = F.lit(bytes(last["node"]) if last else b"")
-    above = ways(upper, roots(upper).select("tree", F.array().cast(STEP_SQL).alias("steps")), fanout).select(F.col("idx").alias("tree"), "steps")
-    top = saved(above.join(subroots.withColumnRenamed("node", "subroot"), "tree"), "tops")
+    above = ways(upper, top.select("tree", "level", F.array().cast(STEP_SQL).alias("steps")), fanout).select(F.col("idx").alias("tree"), "steps")
+    tops = saved(above.join(subroots.withColumnRenamed("node", "subroot"), "tree"), "tops")
 
-    steps = ways(levels, top.select("tree", "steps"), fanout)
-    out = base.join(steps, ["tree", "idx"]).join(top.select("tree", "subroot"), "tree")
+    steps = ways(levels, tops.select("tree", "level", "steps"), fanout)
+    out = base.join(steps, ["tree", "idx"]).join(tops.select("tree", "subroot"), "tree")
     reached = F.coalesce(F.col("wrong"), F.col("node"))
     out = out.withColumn("folded", folded(reached, F.col("steps")))
     return out.select(
