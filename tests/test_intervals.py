@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,37 @@ def test_pack_blocks_equals_a_loop(spark, chunked, rows_per_chunk):
         assert got[s] == [(i, *b) for i, b in enumerate(blocks(rows, 30.0))]
 
 
+@pytest.mark.parametrize("rows_per_chunk", [0, 900])
+def test_pack_blocks_over_many_batches(spark, chunked, rows_per_chunk):
+    """Series longer than an Arrow batch; whole numbers, where a total may equal the budget; lengths that rounding moves."""
+    rng = random.Random(4)
+    data = {1: [(float(i), float(i + rng.choice([1, 2, 10]))) for i in range(23_000)], 2: [(i / 10, i / 10 + 0.1) for i in range(12_000)], 3: [(i * 1.0, i + rng.random() * 9) for i in range(9_000)]}
+    df = spark.createDataFrame([(s, a, b) for s, rows in data.items() for a, b in rows], "series_id bigint, start_s double, end_s double")
+    with chunked(rows_per_chunk):
+        out = I.pack_blocks(df, 30.0).orderBy("series_id", "block_no").collect()
+    for s, rows in data.items():
+        assert [(r.start_s, r.end_s, r.intervals) for r in out if r.series_id == s] == blocks(rows, 30.0)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_successors_equal_a_loop(seed):
+    rng = random.Random(seed)
+    d = np.array([rng.choice([0.0, 0.1, 0.2, 1.0, 7.3, 31.0] + [-1.0] * (seed == 4)) for _ in range(400)])
+    ends = np.array([150] * 150 + [400] * 250)
+    got = I.successors(d, ends, 30.0)
+    for i in range(400):
+        total, j = d[i], i + 1
+        while j < ends[i] and not total + d[j] > 30.0:
+            total, j = total + d[j], j + 1
+        assert got[i] == j
+
+
+def test_missing_lengths_count_as_none(spark):
+    df = spark.createDataFrame([(1, 0.0, 20.0), (1, 1.0, None), (1, 2.0, 12.0), (1, 3.0, 13.0), (None, 0.0, 5.0), (None, 1.0, 40.0)], "series_id bigint, start_s double, end_s double")
+    got = sorted((r.series_id or 0, r.block_no, r.start_s, r.intervals) for r in I.pack_blocks(df, 30.0).collect())
+    assert got == [(0, 0, 0.0, 1), (0, 1, 1.0, 1), (1, 0, 0.0, 3), (1, 1, 3.0, 1)]
+
+
 @pytest.mark.parametrize("rows_per_chunk", [0, 3])
 def test_speech_segments(spark, chunked, rows_per_chunk):
     frames = [(1, t / 10, 0.9) for t in range(5, 20)] + [(1, t / 10, 0.9) for t in range(25, 40)]  # 0.6 s of silence is bridged
@@ -113,3 +145,23 @@ def test_slice_samples_equals_a_theta_join(spark):
     expected = {i: sum(max(0, int(a * 16000)) <= p < int(b * 16000) for p in positions) for i, (_, a, b) in enumerate(bounds)}
     assert got == {i: n for i, n in expected.items() if n}
     assert I.slice_samples(samples, intervals, 16000, min_samples=1600).select("n").distinct().count() == 3
+
+
+def test_range_join_of_intervals_of_all_lengths(spark):
+    """Against a theta join; what is compared stays near what is found."""
+    from voxlake.plans import grid
+
+    rng = random.Random(5)
+    intervals = []
+    for i in range(300):
+        low = rng.randrange(-50, 200_000)
+        intervals.append((1 + i % 2, low, low + rng.choice([0, 1, 63, 64, 65, 300, 5_000, 70_000, -5]), i))
+    points = [(s, p) for s in (1, 2, 3) for p in sorted(rng.sample(range(200_000), 2_000))]
+    left = spark.createDataFrame(points, "s int, pos bigint")
+    right = spark.createDataFrame(intervals, "s int, low bigint, high bigint, n int")
+    got = sorted((r.s, r.pos, r.n) for r in grid.range_join(left, right, ["s"], "pos", "low", "high").collect())
+    assert got == sorted((s, p, n) for s, p in points for t, a, b, n in intervals if s == t and a <= p < b)
+    size = F.lit(64) * F.pow(F.lit(2.0), grid.length_class(F.col("high") - F.col("low")) * 2)
+    cells = right.where("high > low").select((F.floor((F.col("high") - 1) / size) - F.floor(F.col("low") / size) + 1).alias("cells"), (size / (F.col("high") - F.col("low"))).alias("share"), "high", "low")
+    assert cells.agg(F.max("cells")).first()[0] <= 2 and cells.where("high - low > 64").agg(F.max("share")).first()[0] < 4
+    assert grid.range_join(left, right.limit(0), ["s"], "pos", "low", "high").collect() == []

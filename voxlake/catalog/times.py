@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxlake.catalog.bindings import Tables
 from voxlake.catalog.registry import query
 from voxlake.operators import intervals as I
+from voxlake.plans.lookup import attach
 
 
 def rounded(df, *names):
@@ -92,17 +93,23 @@ def _(t: Tables):
     return rounded(out.select("task_id", "idx", "start_s", "end_s"), "start_s", "end_s")
 
 
+# Intervals anywhere in their series, and some past its ends; every 40th is a good part of it long.
+SLICES = """SELECT user_id AS series_id, event_id, CAST(event_id * 7919 % (2 * n + 20) - 10 AS DOUBLE) / 2 AS start_s,
+  CAST(event_id * 7919 % (2 * n + 20) - 10 AS DOUBLE) / 2 + CASE WHEN event_id % 40 = 0 THEN n / 3.0D ELSE value / 10 END AS end_s
+FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM {events})"""
+
+
 @query(
     "c10_slice_samples",
     """SELECT s.series_id, i.event_id, s.pos, s.pos - i.low AS slice_pos, round(s.value, 6) AS value FROM samples s
-    JOIN (SELECT user_id AS series_id, event_id, greatest(0, CAST(trunc((event_id % 50 - 3) * 2.0) AS BIGINT)) AS low,
-      CAST(trunc(CAST(event_id % 50 - 3 + value / 10 AS DOUBLE) * 2) AS BIGINT) AS high FROM events) i
+    JOIN (SELECT series_id, event_id, greatest(0, CAST(trunc(start_s * 2) AS BIGINT)) AS low, CAST(trunc(end_s * 2) AS BIGINT) AS high FROM slices) i
     ON i.series_id = s.series_id AND s.pos >= i.low AND s.pos < i.high""",
+    slices=SLICES.replace("{events}", "events").replace("3.0D", "CAST(3 AS DOUBLE)"),
 )
 def _(t: Tables):
-    low = (F.col("event_id") % 50 - 3).cast("double")
-    intervals = t.raw("events").select(
-        F.col("user_id").alias("series_id"), "event_id", low.alias("start_s"), (low + F.col("value") / 10).alias("end_s")
-    )
+    events = t.raw("events")
+    sizes = events.groupBy("user_id").agg(F.count("*").alias("n"))
+    counted = attach(events, sizes, ["user_id"])
+    intervals = t.spark.sql(SLICES.replace("(SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM {events})", "{counted}"), counted=counted)
     out = I.slice_samples(t.samples, intervals, 2)
     return rounded(out.select("series_id", "event_id", "pos", "slice_pos", "value"), "value")

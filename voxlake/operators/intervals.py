@@ -88,24 +88,78 @@ def sliding_chunks(meta: DataFrame, length: float = 30.0, overlap: float = 1.0)
     )
 
 
-def _pack_rows(ids, chunks, durations, entry_sum, entry_block, budget, carry):
-    """Block number of each row of a batch; ``carry`` is the state left by the batch before."""
-    blocks = np.empty(len(ids), dtype=np.int64)
-    key, total, block = carry
-    for i in range(len(ids)):
-        here = (ids[i], chunks[i])
-        if here != key:
-            key, total, block = here, entry_sum[i], entry_block[i]
-        duration = durations[i]
-        if total is None or total != total:  # nothing in the block yet
-            total = 0.0 + duration
-        elif total + duration > budget:
-            block += 1
-            total = duration
-        else:
-            total += duration
-        blocks[i] = block
-    return blocks, (key, total, block)
+def successors(durations: np.ndarray, ends: np.ndarray, budget: float) -> np.ndarray:
+    """For each row the first later one that no longer fits a block which it begins, at most ``ends`` (of its series).
+
+    A binary search on the running sums. A block's total is its durations added one after the other; where the
+    running sums are too close to ``budget`` to tell, these additions are made, for all such rows at once.
+    """
+    at, run = np.arange(len(durations)), np.cumsum(durations)
+    base = run - durations
+    found = np.minimum(np.maximum(np.searchsorted(run, base + budget, side="right"), at + 1), ends)
+    unsure = np.ones(len(durations), bool)
+    if not (durations < 0).any():
+        near = budget + np.array([-1, 1]) * 1e-9 * max(1.0, float(run[-1]) if len(run) else 0.0, budget)
+        inside = run[found - 1] - base
+        beyond = np.where(found < ends, run[np.minimum(found, len(run) - 1)] - base, np.inf)
+        unsure = ((found > at + 1) & (inside > near[0])) | (beyond < near[1])
+    rows = np.flatnonzero(unsure)
+    total, place = durations[rows].astype(float), rows + 1
+    found[rows] = ends[rows]
+    while len(rows):
+        going = place < ends[rows]
+        rows, total, place = rows[going], total[going], place[going]
+        total = total + durations[place]
+        over = total > budget
+        found[rows[over]] = place[over]
+        rows, total, place = rows[~over], total[~over], place[~over] + 1
+    return found
+
+
+def chained(first: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """Rows that the ``first`` ones (true) lead to over their links, by doubling the distance covered."""
+    reached, jump = np.append(first, False), np.append(links, len(links))
+    while True:
+        further = reached.copy()
+        further[jump[reached]] = True
+        if (further[:-1] == reached[:-1]).all():
+            return reached[:-1]
+        reached, jump = further, jump[jump]
+
+
+def first_break(total: float, durations: np.ndarray, budget: float) -> int:
+    """The first row that no longer fits a block whose total is ``total`` before them; their number if all fit."""
+    over = np.cumsum(np.concatenate([[total], durations]))[1:] > budget
+    return int(over.argmax()) if over.any() else len(durations)
+
+
+def _pack_rows(keys: np.ndarray, durations: np.ndarray, entry_sum: np.ndarray, entry_block: np.ndarray, budget: float, carry: tuple) -> tuple[np.ndarray, tuple]:
+    """Block number of each row of a batch whose rows of one key stand together; ``carry`` is the key, open total and
+    block left by the batch before. A missing duration counts as none."""
+    n = len(keys)
+    durations = np.nan_to_num(durations)
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    lengths = np.diff(np.append(begin, n))
+    opened, block = entry_sum[begin].copy(), entry_block[begin].copy()
+    if carry[0] == keys[0]:
+        opened[0], block[0] = carry[1:]
+    first = np.zeros(n, bool)
+    fresh = np.isnan(opened)  # nothing in the block yet: the first row goes there whatever its length
+    first[begin[fresh]] = True
+    for i in np.flatnonzero(~fresh):
+        own = durations[begin[i] : begin[i] + lengths[i]]
+        at = first_break(opened[i], own, budget)
+        if at < len(own):
+            first[begin[i] + at] = True
+    ends = np.repeat(begin + lengths, lengths)
+    links = successors(durations, ends, budget)
+    starts = chained(first, np.where(links == ends, n, links))  # a series' last block leads nowhere
+    counted = np.cumsum(starts)
+    before = counted[begin] - starts[begin] + fresh
+    blocks = np.repeat(block - before, lengths) + counted
+    last = np.flatnonzero(starts[begin[-1] :])
+    tail = durations[begin[-1] + last[-1] :] if len(last) else np.concatenate([opened[-1:], durations[begin[-1] :]])
+    return blocks, (keys[-1], float(np.cumsum(tail)[-1]), int(blocks[-1]))
 
 
 def _chunk_effect(durations: np.ndarray, budget: float) -> tuple[list[float], list[float], list[int]]:
@@ -114,38 +168,26 @@ def _chunk_effect(durations: np.ndarray, budget: float) -> tuple[list[float], li
     The first break can only happen on the leading rows that fit one block.  For each of them:
     its duration, and the open total and number of breaks at the chunk's end if it breaks there.
     """
-    heads, total = [], 0.0
-    for duration in durations:
-        heads.append(float(duration))
-        total += duration
-        if total > budget:
-            break
-    ends: dict[int, tuple[float, int]] = {}
-    for first in range(len(heads) - 1, -1, -1):
-        path, start = [], first
-        while start not in ends:
-            path.append(start)
-            total, nxt = durations[start], start + 1
-            while nxt < len(durations) and not total + durations[nxt] > budget:
-                total += durations[nxt]
-                nxt += 1
-            if nxt == len(durations):
-                ends[start] = (float(total), 0)
-                path.pop()
-                break
-            start = nxt
-        total, breaks = ends[start]
-        for back in reversed(path):
-            breaks += 1
-            ends[back] = (total, breaks)
-    return heads, [ends[i][0] for i in range(len(heads))], [ends[i][1] + 1 for i in range(len(heads))]
+    durations = np.nan_to_num(durations)
+    n = len(durations)
+    heads = min(first_break(0.0, durations, budget) + 1, n)
+    links = successors(durations, np.full(n, n), budget)
+    # The last block begun and the breaks on the way there: distances double until every row has arrived.
+    jump, steps = np.append(links, n), np.append(np.ones(n, np.int64), 0)
+    last = np.where(jump == n, np.arange(n + 1), jump)
+    steps = np.where(jump == n, 0, steps)
+    while (last[last] != last).any():
+        steps, last = steps + steps[last], last[last]
+    totals = {i: float(np.cumsum(durations[i:])[-1]) for i in np.unique(last[:heads]).tolist()}
+    return durations[:heads].tolist(), [totals[i] for i in last[:heads].tolist()], (steps[:heads] + 1).tolist()
 
 
 def pack_blocks(intervals: DataFrame, budget: float = 30.0, keys: str = "series_id") -> DataFrame:
     """Greedy blocks of intervals in time order: a new one starts when the next would pass ``budget``.
 
-    The total counts the intervals only, so a block may span more time than ``budget``.  The fold
-    streams over rows sorted by series.  An oversized series is folded chunk by chunk: one pass
+    The total counts the intervals only, so a block may span more time than ``budget``.  Rows stream
+    sorted by series; where a block begun at a row would end is a binary search on running sums, and the rows
+    that do begin one are found by following these links at doubled distances.  An oversized series is folded chunk by chunk: one pass
     finds what each chunk does to the block open at its start, those effects are chained, and the
     second pass folds all chunks at once, each from its own start state.
     """
@@ -154,23 +196,30 @@ def pack_blocks(intervals: DataFrame, budget: float = 30.0, keys: str = "series_
     columns = rows.df.withColumn("__dur", F.col("end_s") - F.col("start_s"))
     kind = dict(intervals.dtypes)[keys]
     if rows.cut:
-        columns = columns.join(F.broadcast(_entries(columns, keys, kind, budget)), [keys, CHUNK], "left")
+        columns = columns.join(_entries(columns, keys, kind, budget), [keys, CHUNK], "left")
     else:
         columns = columns.withColumns({CHUNK: F.lit(0).cast("bigint"), "__sum": F.lit(None).cast("double"), "__block": F.lit(0)})
     columns = columns.withColumn("__block", F.coalesce("__block", F.lit(0)).cast("bigint"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry = (None, None, 0)
+        carry = (None, float("nan"), 0)
         for batch in batches:
             if len(batch) == 0:
                 continue
+            # Equal neighbours have one code; the key itself tells whether the first of them goes on from the batch before.
+            run = (batch[keys].ne(batch[keys].shift()) & ~(batch[keys].isna() & batch[keys].shift().isna())) | batch[CHUNK].ne(batch[CHUNK].shift())
+            codes = run.cumsum().to_numpy()
+            here = (None if pd.isna(batch[keys].iloc[0]) else batch[keys].iloc[0], batch[CHUNK].iloc[0])
+            if carry[0] == here:
+                carry = (codes[0], *carry[1:])
+            else:
+                carry = (-1, float("nan"), 0)
             blocks, carry = _pack_rows(
-                batch[keys].tolist(), batch[CHUNK].tolist(), batch["__dur"].tolist(),
-                batch["__sum"].tolist(), batch["__block"].tolist(), budget, carry,
-            )
+                codes, batch["__dur"].to_numpy(float), batch["__sum"].to_numpy(float), batch["__block"].to_numpy(np.int64), budget, carry)
+            carry = ((None if pd.isna(batch[keys].iloc[-1]) else batch[keys].iloc[-1], batch[CHUNK].iloc[-1]), *carry[1:])
             # One line per block and batch, so that only blocks are shuffled.
             batch = batch.assign(block_no=blocks)
-            grouped = batch.groupby([keys, "block_no"], sort=False)
+            grouped = batch.groupby([keys, "block_no"], sort=False, dropna=False)
             yield grouped.agg(start_s=("start_s", "first"), last_start=("start_s", "last"), end_s=("end_s", "last"),
                               intervals=("end_s", "size")).reset_index()
 
@@ -209,15 +258,15 @@ def _entries(rows: DataFrame, keys: str, kind: str, budget: float) -> DataFrame:
                 if key != series:
                     series, total, block = key, None, 0
                 out.append((key, chunk, total, block))
-                for i, duration in enumerate(heads):
-                    if total is None:
-                        # The first row of a series opens block 0, as a break would, without counting one.
-                        total, block = ends[0], block + breaks[0] - 1
-                        break
-                    if total + duration > budget:
-                        total, block = ends[i], block + breaks[i]
-                        break
-                    total += duration
+                if total is None:
+                    # The first row of a series opens block 0, as a break would, without counting one.
+                    total, block = ends[0], block + breaks[0] - 1
+                    continue
+                at = first_break(total, np.asarray(heads), budget)
+                if at < len(heads):
+                    total, block = ends[at], block + breaks[at]
+                else:
+                    total = float(np.cumsum(np.concatenate([[total], heads]))[-1])
             yield pd.DataFrame(out, columns=[keys, CHUNK, "__sum", "__block"])
 
     return effects.repartition(keys).sortWithinPartitions(keys, CHUNK).mapInPandas(
