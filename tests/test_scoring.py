@@ -163,3 +163,58 @@ def test_analysis(spark):
     assert len(one) == 1 and one[0].analysis == " ".join(f"w{i}" for i in range(12_000))
     bad = C.analyze(df, "poem", lambda: lambda prompt: prompt).collect()
     assert {(r.analysis, r.error) for r in bad} == {(None, "Unknown mode")}
+
+
+def in_lists():
+    """Takes lists; notes the size of each call in its answers, and fails on texts with an x until the third call."""
+    calls = []
+
+    @C.lists
+    def call(texts):
+        calls.append(len(texts))
+        if "all" in texts:
+            raise RuntimeError("whole call")
+        return [ValueError("busy") if "x" in t and len(calls) < 3 else f"{t}:{len(calls)}/{len(texts)}" for t in texts]
+
+    return call
+
+
+def test_lists_and_one_retry_queue(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "x1", "b", "x2", "", None])], "idx int, original_text string").coalesce(1)
+    out = C.score(df, in_lists, pause=None)
+    assert results(out, "translated_text", "attempts") == [("a:1/4", 1), ("x1:3/2", 3), ("b:1/4", 1), ("x2:3/2", 3), (None, 0), (None, 0)]
+    small = C.score(df.where("idx < 4"), in_lists, pause=None, list_size=3, on_fail="error", max_retries=1)
+    assert results(small, "translated_text", "status", "error") == [
+        ("a:1/3", "translated", None), (None, "failed", "busy"), ("b:1/3", "translated", None), (None, "failed", "busy")]
+
+
+def test_a_call_that_fails_or_answers_short_fails_its_texts():
+    assert C.ask(in_lists(), ["all", "a"]) == [(None, "whole call")] * 2
+    assert C.ask(C.lists(lambda texts: texts[1:]), ["a", "b"]) == [(None, "1 results for 2 texts")] * 2
+    gate = lambda result: 1 / 0 if result == "a" else "short" if len(result) < 2 else None
+    found = C.attempts(C.lists(lambda texts: list(texts)), ["a", "b", "cc"], [0.0], gate)
+    assert found == [(None, "division by zero", 2), (None, "short", 2), ("cc", None, 1)]
+
+
+def test_one_pause_for_all_that_failed(monkeypatch):
+    pauses = []
+    monkeypatch.setattr(C.time, "sleep", pauses.append)
+    found = C.attempts(lambda text: 1 / 0, [str(i) for i in range(50)], [2.0, 4.0])
+    assert pauses == [2.0, 4.0] and found == [(None, "division by zero", 3)] * 50
+
+
+def test_routing_asks_engine_by_engine(spark):
+    rows = [(0, "a", "bark"), (1, "b", "f5"), (2, "c", "bark"), (3, "boom", "f5"), (4, "d", "broken")]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "idx int, translated_text string, engine string, voice_sample string").coalesce(1)
+
+    def engine(name):
+        def build():
+            if name == "broken":
+                raise RuntimeError("no weights")
+            return C.lists(lambda texts: [RuntimeError("illegal instruction") if t == "boom" and name == "f5" else f"{name}:{t}:{len(texts)}" for t in texts])
+        return build
+
+    out = C.route_scores(df, {n: engine(n) for n in ("bark", "f5", "fishspeech", "broken")}, fallback={"f5": "fishspeech"})
+    assert results(out, "result", "engine_used", "status", "error") == [
+        ("bark:a:2", "bark", "ok", None), ("f5:b:2", "f5", "ok", None), ("bark:c:2", "bark", "ok", None), ("fishspeech:boom:1", "fishspeech", "ok", None),
+        (None, "broken", "error", "no weights")]

@@ -110,3 +110,36 @@ def test_segments_without_embedding_get_speaker_zero(spark):
     segments = spark.createDataFrame([(6, i) for i in range(27)] + [(99, 0)], "task_id bigint, idx int")
     out = {(r.task_id, r.idx): r.speaker_id for r in V.assign_speakers(segments, frame(spark, {6: CASES[6]})).collect()}
     assert out[(6, 26)] == out[(99, 0)] == 0 and len({out[(6, i)] for i in range(25)}) == 4
+
+
+def ties(seed, n):
+    """Vectors with many equal distances: few directions, whole copies, a zero vector."""
+    rng = np.random.default_rng(seed)
+    rows = rng.integers(-1, 2, (n, 3)).astype(float)
+    rows[0], rows[-1] = 0.0, rows[1]
+    return rows
+
+
+def test_ties_fall_alike_on_both_sides_of_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(B, "SLICE_ROWS", 9)
+    original = B.cluster_large
+    monkeypatch.setattr(B, "cluster_large", lambda *a: original(*a, block_rows=5))
+    cases = {t: ties(t, n) for t, n in enumerate([3, 13, 14, 20])}
+    whole = labels_of(V.cluster_speakers(frame(spark, cases), floor=-1.0, margin=0.0))
+    assert labels_of(V.cluster_speakers(frame(spark, cases), floor=-1.0, margin=0.0, local_rows=13)) == whole
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_remembered_neighbours_give_the_tree_of_a_full_search(seed):
+    x = np.random.default_rng(seed).normal(size=(60, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = V.average_link(x, np.ones(60))
+    for k in (2, 3, 7, 20):
+        assert V.cut_tree(60, *tree, k).tolist() == brute_tree(x, k).tolist()
+
+
+def test_rows_without_a_vector_have_no_speaker(spark):
+    rows = [(1, 0, None), (1, 1, [1.0, 0.0]), (1, 2, [float("nan"), 0.0]), (1, 3, [1.0, None]), (2, 0, None), (3, 5, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "task_id bigint, idx int, embedding array<double>")
+    assert labels_of(V.cluster_speakers(df)) == {1: [0], 3: [0]}
+    assert V.cluster_speakers(df.limit(0)).collect() == []

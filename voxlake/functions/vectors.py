@@ -26,8 +26,3 @@ def l2_normalize(vector: Column) -> Column:
 
 def cosine_distance(left: Column, right: Column) -> Column:
     return 1.0 - dot(left, right) / (norm(left) * norm(right))
-
-
-def sum_columns(vector: str, size: int) -> list[Column]:
-    """One sum aggregate per dimension: partial sums combine before the shuffle."""
-    return [F.sum(F.element_at(vector, i + 1).cast("double")).alias(f"d{i}") for i in range(size)]

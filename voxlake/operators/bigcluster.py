@@ -1,11 +1,10 @@
 """Average-link speaker clustering of recordings too large for one task.
 
-The tree is built in rounds.  Average linkage may join every pair of clusters that are each
-other's nearest in any order and still gives the same tree, so a round finds the nearest cluster
-of each cluster and joins all such pairs.  The search runs on pairs of blocks of clusters, one
-matrix product each, and keeps one line per cluster; once a recording has few clusters left, one
-task finishes its tree.  The top of the tree, at most ``max_k`` parts, is then scored like in
-``choose_labels``, with the vectors spread over tasks.
+The tree is built in the rounds of ``vectors.average_link``: all pairs that are each other's nearest cluster are
+joined. What each cluster's nearest is stays in a table; after a round it is searched again only for clusters that
+were joined or whose nearest was. The search runs on pairs of blocks of clusters, one matrix product for
+both sides, and keeps one line per cluster; once a recording has few clusters left, one task finishes its tree. The
+top of the tree, at most ``max_k`` parts, is then scored like in ``choose_labels``, with the vectors spread over tasks.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.functions.vectors import l2_normalize
-from voxlake.operators.vectors import average_link, group_sums
+from voxlake.operators.vectors import DIGITS, average_link, group_sums
 from voxlake.plans.lookup import attach
 from voxlake.session import checkpoint_dir
 
@@ -31,38 +30,45 @@ def _save(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _nearest(clusters: DataFrame, by: str, kind: str, block_rows: int) -> DataFrame:
-    """(by, cid, near, dist): the nearest other cluster of each cluster, the smallest id among equals."""
+def _blocks(clusters: DataFrame, by: str, block_rows: int, side: str) -> DataFrame:
+    """Clusters in blocks of about ``block_rows``: ids, sizes and sums of a block in one row."""
     counts = clusters.groupBy(by).agg(F.ceil(F.count("*") / block_rows).alias("__blocks"))
     placed = attach(clusters, counts, [by]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("__blocks")))
     rows = F.array_sort(F.collect_list(F.struct("cid", "n", "total")))
-    blocks = (
-        placed.groupBy(by, "__blocks", "block")
-        .agg(rows.alias("r"))
-        .select(
-            by, "__blocks", "block",
-            F.transform("r", lambda r: r["cid"]).alias("ids"),
-            F.transform("r", lambda r: r["n"]).alias("ns"),
-            F.flatten(F.transform("r", lambda r: r["total"])).alias("flat"),
-        )
-    )
-    left = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__blocks") - 1))).drop("__blocks")
-    right = blocks.select(
-        by, F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("ns").alias("ns2"), F.col("flat").alias("flat2")
+    return placed.groupBy(by, "__blocks", "block").agg(rows.alias("r")).select(
+        by, F.col("__blocks").alias(f"blocks{side}"), F.col("block").alias(f"block{side}"),
+        F.transform("r", lambda r: r["cid"]).alias(f"ids{side}"),
+        F.transform("r", lambda r: r["n"]).alias(f"ns{side}"),
+        F.flatten(F.transform("r", lambda r: r["total"])).alias(f"flat{side}"),
     )
 
+
+def _nearest(asking: DataFrame, others: DataFrame | None, by: str, kind: str, block_rows: int) -> DataFrame:
+    """(by, cid, near, dist): for each of the ``asking`` clusters the nearest other one, among them and ``others``; the
+    smallest id among equals. Two blocks of asking clusters meet once, and each side takes its answer from it."""
+    left = _blocks(asking, by, block_rows, "")
+    own = left.withColumn("block2", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).join(
+        left.select(by, *[F.col(c).alias(f"{c}2") for c in ("block", "ids", "ns", "flat")]), [by, "block2"])
+    columns = [by, "ids", "ns", "flat", "ids2", "ns2", "flat2"]
+    met = own.select(*columns, F.lit(True).alias("both"))
+    if others is not None:
+        right = _blocks(others, by, block_rows, "2")
+        sent = left.join(right.select(by, "blocks2").distinct(), by).withColumn("block2", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks2") - 1)))
+        met = met.unionByName(sent.drop("blocks2").join(right.drop("blocks2"), [by, "block2"]).select(*columns, F.lit(False).alias("both")))
+
     def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                a = np.asarray(row.flat).reshape(len(row.ids), -1)
-                b = np.asarray(row.flat2).reshape(len(row.ids2), -1)
-                dist = np.round(1.0 - (a @ b.T) / np.outer(row.ns, row.ns2), 12)
-                dist[np.equal.outer(np.asarray(row.ids), np.asarray(row.ids2))] = np.inf
-                best = dist.argmin(axis=1)
-                out = pd.DataFrame({by: getattr(row, by), "cid": row.ids, "near": np.asarray(row.ids2)[best], "dist": dist.min(axis=1)})
-                yield out[np.isfinite(out["dist"])]
-
-    found = left.join(right, [by, "other"]).mapInPandas(tiles, f"{by} {kind}, cid bigint, near bigint, dist double")
+                ids, ids2 = np.asarray(row.ids), np.asarray(row.ids2)
+                a = np.asarray(row.flat).reshape(len(ids), -1)
+                b = np.asarray(row.flat2).reshape(len(ids2), -1)
+                dist = np.round(1.0 - (a @ b.T) / np.outer(row.ns, row.ns2), DIGITS)
+                dist[np.equal.outer(ids, ids2)] = np.inf
+                for mine, theirs, d in [(ids, ids2, dist), (ids2, ids, dist.T)][: 1 + bool(row.both)]:
+                    out = pd.DataFrame({by: getattr(row, by), "cid": mine, "near": theirs[d.argmin(axis=1)], "dist": d.min(axis=1)})
+                    yield out[np.isfinite(out["dist"])]
+
+    found = met.mapInPandas(tiles, f"{by} {kind}, cid bigint, near bigint, dist double")
     nearest = F.min(F.struct("dist", "near"))
     return found.groupBy(by, "cid").agg(nearest.alias("m")).select(by, "cid", F.col("m.near").alias("near"), F.col("m.dist").alias("dist"))
 
@@ -97,38 +103,44 @@ def _merge(clusters: DataFrame, pairs: DataFrame, by: str) -> DataFrame:
 
 
 def _tree(unit: DataFrame, by: str, kind: str, local_rows: int, block_rows: int) -> DataFrame:
-    """(by, a, b, height, round, seq): all merges of all recordings."""
+    """(by, a, b, height, round): all merges of all recordings."""
     clusters = _save(unit.select(
         by, F.col("idx").cast("bigint").alias("cid"), F.lit(1.0).alias("n"), F.col("embedding").alias("total"), F.lit(-1.0).alias("height")
     ))
     rounds: list[DataFrame] = []
+    near: DataFrame | None = None
     while True:
         large = clusters.groupBy(by).count().where(F.col("count") > local_rows).select(by)
-        active = clusters.join(large, by, "left_semi")
-        pairs = _save(_mutual(_save(_nearest(active, by, kind, block_rows)), by))
+        active = _save(clusters.join(large, by, "left_semi"))
+        if near is None:
+            near = _save(_nearest(active, None, by, kind, block_rows))
+        else:
+            # What was joined, and what had its nearest there, asks again; the others keep what they know.
+            touched = pairs.select(by, F.col("a").alias("near")).unionByName(pairs.select(by, F.col("b").alias("near")))
+            kept = near.join(active.select(by, "cid"), [by, "cid"], "left_semi").join(touched, [by, "near"], "left_anti")
+            kept = _save(kept.join(touched.withColumnRenamed("near", "cid"), [by, "cid"], "left_anti").select(by, "cid", "near", "dist"))
+            asking = active.join(kept.select(by, "cid"), [by, "cid"], "left_anti")
+            others = active.join(kept.select(by, "cid"), [by, "cid"], "left_semi")
+            near = _save(kept.unionByName(_nearest(asking, others, by, kind, block_rows)))
+        pairs = _save(_mutual(near, by))
         if pairs.isEmpty():
             break
         clusters = _save(_merge(clusters, pairs, by))
         level = clusters.select(by, F.col("cid").alias("a"), "height")
-        rounds.append(pairs.join(level, [by, "a"]).select(by, "a", "b", "height", F.lit(len(rounds)).alias("round"), F.lit(0).alias("seq")))
+        rounds.append(pairs.join(level, [by, "a"]).select(by, "a", "b", "height", F.lit(len(rounds)).alias("round")))
 
     level = len(rounds)
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cid")
-        ids, height = pdf["cid"].to_numpy(), pdf["height"].to_numpy().copy()
-        _, dist, rows = average_link(np.stack(pdf["total"].to_numpy()), pdf["n"].to_numpy())
-        levels = []
-        for (a, b), d in zip(rows, dist):
-            height[a] = max(height[a], height[b], d)
-            levels.append(height[a])
+        ids = pdf["cid"].to_numpy()
+        rows, heights, turns = average_link(np.stack(pdf["total"].to_numpy()), pdf["n"].to_numpy(), pdf["height"].to_numpy())
         return pd.DataFrame({
-            by: [pdf[by].iloc[0]] * len(rows), "a": ids[rows[:, 0]], "b": ids[rows[:, 1]], "height": np.array(levels, dtype=float),
-            "round": np.full(len(rows), level, dtype=np.int32), "seq": np.arange(len(rows), dtype=np.int32),
+            by: [pdf[by].iloc[0]] * len(rows), "a": ids[rows[:, 0]], "b": ids[rows[:, 1]], "height": heights, "round": (level + turns).astype(np.int32),
         })
 
     # At most local_rows clusters per recording are left.
-    last = clusters.groupBy(by).applyInPandas(finish, f"{by} {kind}, a bigint, b bigint, height double, round int, seq int")
+    last = clusters.groupBy(by).applyInPandas(finish, f"{by} {kind}, a bigint, b bigint, height double, round int")
     for merges in rounds:
         last = last.unionByName(merges)
     return _save(last)
@@ -177,7 +189,7 @@ def cluster_large(
 
     from pyspark.sql import Window
 
-    highest = Window.partitionBy(by).orderBy(F.col("height").desc(), F.col("round").desc(), F.col("seq").desc())
+    highest = Window.partitionBy(by).orderBy(F.col("height").desc(), F.col("round").desc(), F.col("a").desc())
     tops = _save(tree.withColumn("place", F.row_number().over(highest)).where(F.col("place") < max_k))
     lower = tree.join(tops.select(by, "b"), [by, "b"], "left_anti").select(by, F.col("b").alias("cid"), F.col("a").alias("parent"))
     roots = _roots(lower, by)
@@ -242,7 +254,7 @@ def cluster_large(
     scored = (
         sliced.groupBy(by, "slice").cogroup(spread.groupBy("__by", "__slice"))
         .applyInPandas(score, f"{by} {kind}, k int, score double, rows bigint")
-        .groupBy(by, "k").agg((F.sum("score") / F.sum("rows")).alias("score"))
+        .groupBy(by, "k").agg(F.round(F.sum("score") / F.sum("rows"), DIGITS).alias("score"))
         .groupBy(by).agg(_choose(F.collect_list(F.struct("k", "score")), margin, floor).alias("k"))
     )
 

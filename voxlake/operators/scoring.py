@@ -1,7 +1,9 @@
 """Batch scoring of rows by a pluggable provider: retries, fallback, routing, gates, resuming.
 
-A provider is a factory: it is called once per task and returns a function from a text to a
-result.  Rows stay in Arrow batches; only the provider sees single texts.
+A provider is a factory: it is called once per task and returns a function.  One marked with ``lists`` takes a list
+of texts and gives a list of results in their order, where an exception fails its row; any other takes one text.
+Rows stay in Arrow batches: all texts of a batch that are still to do are asked together, and those that failed are
+asked again together after one pause.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from voxlake.functions.convert import backoff
 from voxlake.operators.segments import concat_text
 from voxlake.session import checkpoint_dir
 
-Provider = Callable[[], Callable[[str], object]]
+Provider = Callable[[], Callable[[str], object] | Callable[[list[str]], list[object]]]
 
 
 def quality_gate(values: object, max_peak: float = 10.0) -> str | None:
@@ -38,21 +40,67 @@ def quality_gate(values: object, max_peak: float = 10.0) -> str | None:
     return None
 
 
-def attempt(call: Callable[[str], object], text: str, waits: list[float], gate=None) -> tuple[object, str | None, int]:
-    """Result, error and attempts of one row; ``waits`` are the pauses between attempts."""
-    error = None
-    for number in range(len(waits) + 1):
+LIST_SIZE = 64  # texts of one call
+
+
+def lists(call: Callable[[list[str]], list[object]]) -> Callable[[list[str]], list[object]]:
+    """Mark a provider's function as one from lists to lists."""
+    call.takes_lists = True
+    return call
+
+
+def ask(call: Callable, texts: list[str], size: int = LIST_SIZE) -> list[tuple[object, str | None]]:
+    """Result and error of every text. A call that fails as a whole, or answers with another number of results,
+    fails all its texts."""
+    out: list[tuple[object, str | None]] = []
+    if not getattr(call, "takes_lists", False):
+        for text in texts:
+            try:
+                out.append((call(text), None))
+            except Exception as problem:  # a provider may raise anything
+                out.append((None, str(problem)))
+        return out
+    for at in range(0, len(texts), size):
+        part = texts[at : at + size]
         try:
-            result = call(text)
-            reason = gate(result) if gate else None
-            if reason is None:
-                return result, None, number + 1
-            error = reason
-        except Exception as problem:  # a provider may raise anything
-            error = str(problem)
-        if number < len(waits) and waits[number] > 0:
-            time.sleep(waits[number])
-    return None, error, len(waits) + 1
+            results = list(call(part))
+            if len(results) != len(part):
+                raise ValueError(f"{len(results)} results for {len(part)} texts")
+            out += [(None, str(r)) if isinstance(r, Exception) else (r, None) for r in results]
+        except Exception as problem:
+            out += [(None, str(problem))] * len(part)
+    return out
+
+
+def attempts(call: Callable, texts: list[str], waits: list[float], gate=None, size: int = LIST_SIZE) -> list[tuple[object, str | None, int]]:
+    """Result, error and number of attempts of every text; ``waits`` are the pauses between attempts, each made once
+    for all texts that failed."""
+    found: list[tuple[object, str | None, int]] = [(None, None, 0)] * len(texts)
+    queue = list(range(len(texts)))
+    for number in range(len(waits) + 1):
+        if not queue:
+            break
+        if number and waits[number - 1] > 0:
+            time.sleep(waits[number - 1])
+        failed = []
+        for i, (result, error) in zip(queue, ask(call, [texts[i] for i in queue], size)):
+            if error is None and gate:
+                try:
+                    error = gate(result)
+                except Exception as problem:
+                    error = str(problem)
+            found[i] = (result if error is None else None, error, number + 1)
+            if error is not None:
+                failed.append(i)
+        queue = failed
+    return found
+
+
+def attempt(call: Callable, text: str, waits: list[float], gate=None) -> tuple[object, str | None, int]:
+    """``attempts`` of one text."""
+    if getattr(call, "takes_lists", False):
+        return attempts(call, [text], waits, gate)[0]
+    return attempts(lists(lambda texts: [call(t) for t in texts]), [text], waits, gate)[0]
 
 
 def _schema(df: DataFrame, added: dict[str, str]) -> T.StructType:
@@ -71,6 +119,7 @@ def score(
     pause: str | None = "linear",
     gate: Callable[[object], str | None] | None = None,
     out_type: str = "string",
+    list_size: int = LIST_SIZE,
 ) -> DataFrame:
     """Add ``out_col``, ``status``, ``attempts`` and ``error``.
 
@@ -103,15 +152,14 @@ def score(
             states = list(batch["status"]) if "status" in batch else [None] * size
             errors = list(batch["error"]) if "error" in batch else [None] * size
             tries = [0] * size
-            for i, text in enumerate(batch[in_col]):
-                if not isinstance(text, str) or not text or states[i] == "failed":
-                    continue
-                result, problem, tries[i] = attempt(call, text, waits, gate)
+            texts = batch[in_col].tolist()
+            todo = [i for i, text in enumerate(texts) if isinstance(text, str) and text and states[i] != "failed"]
+            for i, (result, problem, tries[i]) in zip(todo, attempts(call, [texts[i] for i in todo], waits, gate, list_size)):
                 if problem is None:
                     outs[i] = result.strip() if isinstance(result, str) else result
                     states[i] = "translated"
                 elif on_fail == "input":
-                    outs[i], states[i] = text, "translated"
+                    outs[i], states[i] = texts[i], "translated"
                 else:
                     outs[i], states[i], errors[i] = None, "failed", problem
             batch = batch.assign(**{out_col: pd.Series(outs, dtype=object, index=batch.index), "status": states, "attempts": tries, "error": errors})
@@ -137,11 +185,12 @@ def route_scores(
     default: str = K.DEFAULT_ENGINE,
     fallback: dict[str, str] | None = None,
     out_type: str = "string",
+    list_size: int = LIST_SIZE,
 ) -> DataFrame:
     """Score each row by the engine it names; ``status`` is ok or error.
 
     Engines that clone a voice need a sample.  A processor error of an engine in ``fallback``
-    moves the row to its second engine.
+    moves the row to its second engine.  The rows of a batch are asked engine by engine, those moved at the end.
     """
     rules = K.ENGINES if needs_sample is None else needs_sample
     schema = _schema(df, {out_col: out_type, "engine_used": "string", "status": "string", "error": "string"})
@@ -151,34 +200,41 @@ def route_scores(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         built: dict[str, Callable[[str], object]] = {}
 
-        def call(engine: str, text: str):
-            if engine not in built:
-                built[engine] = registry[engine]()
-            return built[engine](text)
+        def answers(wanted: dict[str, list[int]], texts: list) -> Iterator[tuple[str, int, object, str | None]]:
+            for engine, rows in wanted.items():
+                if engine not in built:
+                    try:
+                        built[engine] = registry[engine]()
+                    except Exception as problem:
+                        yield from ((engine, i, None, str(problem)) for i in rows)
+                        continue
+                for i, (result, error) in zip(rows, ask(built[engine], [texts[i] for i in rows], list_size)):
+                    yield engine, i, result, error
 
         for batch in batches:
-            rows = []
-            for text, engine, sample in zip(batch[in_col], batch[engine_col], batch[sample_col]):
-                engine = engine.lower() if isinstance(engine, str) and engine else default
+            texts, size = batch[in_col].tolist(), len(batch)
+            outs, engines, states, errors = [None] * size, [""] * size, ["error"] * size, [None] * size
+            wanted: dict[str, list[int]] = {}
+            moved: dict[str, list[int]] = {}
+            for i, (engine, sample) in enumerate(zip(batch[engine_col], batch[sample_col])):
+                engines[i] = engine = engine.lower() if isinstance(engine, str) and engine else default
                 if engine not in registry:
-                    rows.append((None, engine, "error", f"Unknown engine: {engine}"))
-                    continue
-                if rules.get(engine) and not (isinstance(sample, str) and sample):
-                    rows.append((None, engine, "error", f"{engine} requires a reference sample"))
-                    continue
-                try:
-                    rows.append((call(engine, text), engine, "ok", None))
-                except Exception as problem:
-                    message = str(problem)
-                    other = second.get(engine)
-                    if other in registry and any(w in message.lower() for w in cpu_words):
-                        try:
-                            rows.append((call(other, text), other, "ok", None))
-                            continue
-                        except Exception as again:
-                            engine, message = other, str(again)
-                    rows.append((None, engine, "error", message))
-            outs, engines, states, errors = (list(c) for c in zip(*rows)) if rows else ([], [], [], [])
+                    errors[i] = f"Unknown engine: {engine}"
+                elif rules.get(engine) and not (isinstance(sample, str) and sample):
+                    errors[i] = f"{engine} requires a reference sample"
+                else:
+                    wanted.setdefault(engine, []).append(i)
+            for engine, i, result, error in answers(wanted, texts):
+                other = second.get(engine)
+                if error is None:
+                    outs[i], states[i] = result, "ok"
+                elif other in registry and any(w in error.lower() for w in cpu_words):
+                    moved.setdefault(other, []).append(i)
+                else:
+                    errors[i] = error
+            for engine, i, result, error in answers(moved, texts):
+                engines[i] = engine
+                outs[i], states[i], errors[i] = (result, "ok", None) if error is None else (None, "error", error)
             batch = batch.assign(**{out_col: pd.Series(outs, dtype=object, index=batch.index), "engine_used": engines, "status": states, "error": errors})
             yield batch[[f.name for f in schema.fields]]
 

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.functions.vectors import cosine_distance, dot, l2_normalize, sum_columns
+from voxlake.functions.vectors import cosine_distance, dot, l2_normalize
 from voxlake.plans.lookup import attach
 
 
@@ -19,16 +21,12 @@ def normalize(embeddings: DataFrame, vector: str = "embedding") -> DataFrame:
     return embeddings.withColumn(vector, l2_normalize(F.col(vector)))
 
 
-def dimension(embeddings: DataFrame, vector: str = "embedding") -> int:
-    row = embeddings.select(F.size(vector).alias("n")).first()
-    return row["n"] if row else 0
-
-
-def group_sums(unit: DataFrame, by: list[str], vector: str = "embedding", size: int | None = None) -> DataFrame:
-    """Count and sum of the vectors of each group; sums combine before the shuffle."""
-    size = size or dimension(unit, vector)
-    sums = unit.groupBy(*by).agg(F.count("*").alias("n"), *sum_columns(vector, size))
-    return sums.select(*by, "n", F.array(*[F.col(f"d{i}") for i in range(size)]).alias("total"))
+def group_sums(unit: DataFrame, by: list[str], vector: str = "embedding") -> DataFrame:
+    """Count and sum of the vectors of each group: one aggregate over whole vectors, whose buffers combine before
+    the shuffle. The vectors have one size and no missing components."""
+    whole = Summarizer.sum(array_to_vector(F.col(vector).cast("array<double>")))
+    given = unit.where(F.col(vector).isNotNull())
+    return given.groupBy(*by).agg(F.count("*").alias("n"), whole.alias("total")).withColumn("total", vector_to_array("total"))
 
 
 def pair_distances(embeddings: DataFrame, pairs: DataFrame, by: str = "task_id") -> DataFrame:
@@ -84,58 +82,72 @@ def silhouette(embeddings: DataFrame, label: str = "label", by: str = "task_id")
     return silhouette_points(embeddings, label, by).groupBy(by).agg(F.avg("silhouette").alias("silhouette"))
 
 
-def average_link(sums: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merges and their heights, by following nearest neighbours until two are each other's.
+DIGITS = 12  # distances are compared rounded, so that the order in which sums were added plays no part
+BLOCK = 1024
+
+
+def closest(total: np.ndarray, count: np.ndarray, rows: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``rows`` the nearest other of the ``alive`` clusters (ascending rows) and its distance; of equal
+    ones the smallest row."""
+    near, dist = np.empty(len(rows), np.int64), np.empty(len(rows))
+    for at in range(0, len(rows), BLOCK):
+        own = rows[at : at + BLOCK]
+        d = np.round(1.0 - (total[own] @ total[alive].T) / np.outer(count[own], count[alive]), DIGITS)
+        d[np.arange(len(own)), np.searchsorted(alive, own)] = np.inf
+        best = d.argmin(axis=1)
+        near[at : at + BLOCK], dist[at : at + BLOCK] = alive[best], d[np.arange(len(own)), best]
+    return near, dist
+
+
+def average_link(sums: np.ndarray, sizes: np.ndarray, low: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merges (a, b) of rows, their heights and rounds; a cluster goes on under the smaller of its two rows.
 
-    Works on vector sums, so it keeps n vectors and no distance matrix.  The first result has the
-    merged nodes, where node n + i is the cluster made by the i-th merge; the third has the rows
-    instead, where a cluster goes on under the first of its two rows.
+    In a round all pairs are joined that are each other's nearest cluster: by distance, then by the smaller row.
+    The nearest cluster of a cluster is remembered, and searched again only where it was merged: average linkage
+    never brings a joined cluster nearer than the nearer of its parts. Works on vector sums, so it keeps n vectors
+    and no distance matrix. A cluster is never lower than what it is made of (``low`` at the start), whatever
+    rounding says.
     """
     n = len(sums)
     total, count = sums.astype(float).copy(), sizes.astype(float).copy()
-    node = np.arange(n)
-    alive = np.ones(n, dtype=bool)
-    merges, heights, rows, chain = [], [], [], []
-    for step in range(n - 1):
-        if not chain:
-            chain.append(int(np.flatnonzero(alive)[0]))
-        while True:
-            at = chain[-1]
-            distance = 1.0 - (total @ total[at]) / (count * count[at])
-            distance[~alive] = np.inf
-            distance[at] = np.inf
-            near = int(np.argmin(distance))
-            if len(chain) > 1 and distance[chain[-2]] <= distance[near]:
-                near = chain[-2]
-                break
-            chain.append(near)
-        a, b = chain.pop(), chain.pop()
-        merges.append((node[a], node[b]))
-        heights.append(distance[near])
-        rows.append((a, b))
+    height = np.full(n, -1.0) if low is None else low.astype(float).copy()
+    near, dist = np.zeros(n, np.int64), np.zeros(n)
+    alive = stale = np.arange(n)
+    merges, heights, rounds = [], [], []
+    while len(alive) > 1:
+        near[stale], dist[stale] = closest(total, count, stale, alive)
+        a = alive[(near[near[alive]] == alive) & (alive < near[alive])]
+        b = near[a]
+        if not len(a):  # rounding left no such pair: the closest one
+            low_row, high_row = np.minimum(alive, near[alive]), np.maximum(alive, near[alive])
+            at = np.lexsort((high_row, low_row, dist[alive]))[:1]
+            a, b = low_row[at], high_row[at]
+            dist[a] = dist[alive][at]
+        height[a] = np.maximum(np.maximum(height[a], height[b]), dist[a])
+        merges.append(np.stack([a, b], axis=1))
+        heights.append(height[a])
+        rounds.append(np.full(len(a), len(rounds)))
         total[a] += total[b]
         count[a] += count[b]
-        alive[b] = False
-        node[a] = n + step
-    return np.array(merges, dtype=np.int64).reshape(-1, 2), np.array(heights), np.array(rows, dtype=np.int64).reshape(-1, 2)
-
-
-def cut_tree(n: int, merges: np.ndarray, heights: np.ndarray, k: int) -> np.ndarray:
-    """Labels of k clusters: every merge but the k - 1 highest, numbered by first appearance."""
-    # A parent is never below its children, whatever rounding says.
-    heights = heights.copy()
-    for i, pair in enumerate(merges):
-        inner = pair[pair >= n] - n
-        if len(inner):
-            heights[i] = max(heights[i], heights[inner].max())
-    root = np.arange(n + len(merges))
-    keep = np.argsort(heights, kind="stable")[: max(0, n - k)]
+        merged, gone = np.zeros(n, bool), np.zeros(n, bool)
+        gone[b] = merged[a] = merged[b] = True
+        alive = alive[~gone[alive]]
+        stale = alive[merged[near[alive]] | merged[alive]]
+    if not merges:
+        return np.zeros((0, 2), np.int64), np.zeros(0), np.zeros(0, np.int64)
+    return np.concatenate(merges), np.concatenate(heights), np.concatenate(rounds)
+
+
+def cut_tree(n: int, merges: np.ndarray, heights: np.ndarray, rounds: np.ndarray, k: int) -> np.ndarray:
+    """Labels of k clusters: every merge but the k - 1 highest (of equal ones the later round, then the larger row),
+    numbered by first appearance."""
+    root = np.arange(n)
+    keep = np.lexsort((merges[:, 0], rounds, heights))[: max(0, n - k)] if len(merges) else []
     for i in np.sort(keep):
-        root[merges[i]] = n + i
-    for i in range(len(root) - 1, -1, -1):
+        root[merges[i, 1]] = merges[i, 0]
+    for i in range(n):  # a cluster's row is its smallest, so it is settled before the others
         root[i] = root[root[i]]
-    _, first, labels = np.unique(root[:n], return_index=True, return_inverse=True)
-    return np.argsort(np.argsort(first))[labels]
+    return np.unique(root, return_inverse=True)[1]
 
 
 def weighted_silhouette(unit_sums: np.ndarray, vectors: np.ndarray, labels: np.ndarray) -> float:
@@ -151,7 +163,7 @@ def weighted_silhouette(unit_sums: np.ndarray, vectors: np.ndarray, labels: np.n
         away[rows, labels] = np.inf
         outside = away.min(axis=1)
         score = (outside - inside) / np.maximum(inside, outside)
-    return float(np.where(own > 1, np.nan_to_num(score), 0.0).mean())
+    return round(float(np.where(own > 1, np.nan_to_num(score), 0.0).mean()), DIGITS)
 
 
 def choose_labels(vectors: np.ndarray, max_k: int, margin: float, floor: float) -> np.ndarray:
@@ -164,10 +176,10 @@ def choose_labels(vectors: np.ndarray, max_k: int, margin: float, floor: float)
     labels = np.zeros(n, dtype=np.int64)
     if n < 3:
         return labels
-    merges, heights, _ = average_link(vectors, np.ones(n))
+    tree = average_link(vectors, np.ones(n))
     best = -1.0
     for k in range(2, min(n - 1, max_k) + 1):
-        tried = cut_tree(n, merges, heights, k)
+        tried = cut_tree(n, *tree, k)
         sums = np.zeros((k, vectors.shape[1]))
         np.add.at(sums, tried, vectors)
         score = weighted_silhouette(sums, vectors, tried)
@@ -178,17 +190,20 @@ def choose_labels(vectors: np.ndarray, max_k: int, margin: float, floor: float)
 
 def cluster_speakers(
     embeddings: DataFrame, by: str = "task_id", max_k: int = 10, margin: float = 0.15, floor: float = 0.4,
-    local_rows: int = 20_000,
+    local_rows: int = 4096,
 ) -> DataFrame:
     """(by, idx, speaker_id): average-link cosine clustering of each recording's vectors.
 
     Recordings of up to ``local_rows`` vectors are clustered inside one task each; larger ones go
-    through ``voxlake.operators.bigcluster``, which gives the same tree with many tasks.
+    through ``voxlake.operators.bigcluster``, which joins the same pairs in the same rounds with many tasks:
+    distances count rounded to DIGITS on both sides, and of equal ones the smaller ``idx``. Rows without a vector,
+    or with a missing or non-finite component, have no speaker.
     """
     types = dict(embeddings.dtypes)
-    sizes = embeddings.groupBy(by).count()
-    large = sizes.where(F.col("count") > local_rows).select(by).toArrow()
-    unit = embeddings.select(by, "idx", F.col("embedding").cast("array<double>").alias("embedding"))
+    vector = F.col("embedding").cast("array<double>")
+    whole = F.coalesce(~F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(False))
+    unit = embeddings.where(whole).select(by, "idx", vector.alias("embedding"))
+    sizes = unit.groupBy(by).agg(F.count("*").alias("__n"))
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
@@ -200,14 +215,13 @@ def cluster_speakers(
         })
 
     schema = f"{by} {types[by]}, idx {types['idx']}, speaker_id int"
-    if large.num_rows == 0:
+    large = sizes.where(F.col("__n") > local_rows).select(by)
+    if not large.take(1):
         return unit.groupBy(by).applyInPandas(assign, schema)
     from voxlake.operators.bigcluster import cluster_large
 
-    keys = F.broadcast(embeddings.sparkSession.createDataFrame(large, sizes.select(by).schema))
-    small = unit.join(keys, by, "left_anti").groupBy(by).applyInPandas(assign, schema)
-    large_rows = unit.join(keys, by, "left_semi")
-    return small.unionByName(cluster_large(large_rows, by, max_k, margin, floor, local_rows))
+    small = unit.join(large, by, "left_anti").groupBy(by).applyInPandas(assign, schema)
+    return small.unionByName(cluster_large(unit.join(large, by, "left_semi"), by, max_k, margin, floor, local_rows))
 
 
 def assign_speakers(segments: DataFrame, embeddings: DataFrame, **options) -> DataFrame:
