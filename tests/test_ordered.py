@@ -63,10 +63,9 @@ def test_missing_and_endless_positions(spark, chunked, limit, falling):
     rng = random.Random(6)
     odd = [None, float("nan"), float("inf"), float("-inf"), 3.0]
     df = spark.createDataFrame([(1, rng.choice(odd) if rng.random() < 0.3 else rng.random() * 9, i) for i in range(300)], "k int, p double, i int")
-    order, pos = ([F.col("p").desc(), "i"], -F.col("p")) if falling else (["p", "i"], None)
 
     def numbered():
-        o = Ordered.of(df, ["k"], order, pos)
+        o = Ordered.of(df, ["k"], ["p", "i"], falling=falling)
         return o.cut, sorted((r.i, r.n, r.s) for r in o.row_number("n").running_sum("s", F.col("i")).done().collect())
 
     with chunked(0):
@@ -74,3 +73,19 @@ def test_missing_and_endless_positions(spark, chunked, limit, falling):
     with chunked(limit):
         cut, got = numbered()
     assert cut and got == plain
+
+
+@pytest.mark.parametrize("name", ["DESCRIPTION", "pos", "NULLS LAST"])
+def test_the_name_of_the_order_column_plays_no_part(spark, chunked, name):
+    odd = [float("nan") if i % 5 == 0 else None if i % 7 == 0 else float(i % 11) for i in range(30)]
+    df = spark.createDataFrame([(1, v, i) for i, v in enumerate(odd)], "k int, p double, i int").withColumnRenamed("p", name)
+
+    def numbered():
+        o = Ordered.of(df, ["k"], [F.col(f"`{name}`"), "i"])
+        return o.cut, sorted((r.i, r.n) for r in o.row_number("n").done().collect())
+
+    with chunked(0):
+        _, plain = numbered()
+    with chunked(7):
+        cut, got = numbered()
+    assert cut and got == plain

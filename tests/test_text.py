@@ -107,3 +107,28 @@ def test_labels(spark):
 def test_parse_json_columns(spark):
     df = spark.createDataFrame([('{"a": 1}',), ("nope",), ("",), (None,), ('{"a": 2, "b": 3}',)], "j string")
     assert [r.j and r.j.a for r in C.parse_json_columns(df, {"j": "a int"}).collect()] == [1, None, None, None, 2]
+
+
+def test_packing_a_very_long_text_takes_linear_time(spark):
+    import time
+
+    def seconds(sentences):
+        df = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(sentences)), lambda i: F.concat(F.lit("sentence number "), i.cast("string"), F.lit(" goes on and on"))), ". ").alias("t"))
+        best = []
+        for _ in range(2):
+            start = time.perf_counter()
+            row = df.select(X.pack_sentences(F.col("t"), 250).alias("c")).select(F.size("c").alias("n"), F.md5(F.array_join("c", " ")).alias("h")).first()
+            best.append(time.perf_counter() - start)
+        return min(best), row.n
+
+    short, few = seconds(25_000)  # about 1 MB
+    long, many = seconds(250_000)  # about 10 MB
+    assert many > 9 * few and long < 20 * short + 1
+
+
+def test_pages_of_chunks_are_one_list(spark, monkeypatch):
+    monkeypatch.setattr(X, "PAGE", 3)
+    text = " ".join(f"This is sentence {i}." for i in range(40))
+    df = spark.createDataFrame([(text,)], "t string")
+    chunks = df.select(X.pack_sentences(F.col("t"), 50).alias("c")).first().c
+    assert len(chunks) == 20 and " ".join(chunks) == text

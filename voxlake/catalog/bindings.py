@@ -120,6 +120,15 @@ LOGS = """
 SELECT user_id AS task_id, event_id AS seq, props AS message, event_type AS style FROM {events}
 """
 
+# Messages of running projects; one in three is about a step.
+ACTIVITY = """
+SELECT user_id AS task_id, ts, event_id AS seq, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END AS phase,
+  least(value, CAST(100 AS DOUBLE)) AS percent, props AS message,
+  CASE WHEN event_id % 3 = 0 THEN concat('step_', CAST(event_id % 7 + 1 AS STRING)) ELSE NULL END AS task_name,
+  CASE event_id % 15 WHEN 0 THEN 'completed' WHEN 3 THEN 'running' WHEN 6 THEN 'skipped' WHEN 9 THEN '' ELSE 'failed' END AS status
+FROM {events}
+"""
+
 EPOCH = "2024-01-01 00:00:00"
 SPARK_START = f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'{EPOCH}', ts) / 1e6D"
 DUCK_START = "CAST(epoch_us(ts) - 1704067200000000 AS DOUBLE) / 1e6"
@@ -246,4 +255,5 @@ CTES = {
     "meta": _duck(META, customer="customer"),
     "progress": _duck(PROGRESS, events="events"),
     "logs": _duck(LOGS, events="events"),
+    "activity": _duck(ACTIVITY, events="events"),
 }

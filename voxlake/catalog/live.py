@@ -15,10 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.catalog.bindings import LOGS, PROGRESS, Tables, micros
+from voxlake.catalog.bindings import ACTIVITY, LOGS, PROGRESS, Tables, micros
 from voxlake.catalog.embeddings import upper_provider
 from voxlake.catalog.registry import query
 from voxlake.catalog.speech import TURN_VIEWS
+from voxlake.catalog.workflow import PROGRESS_CTE, SUMMARY_COLUMNS, flat_summary
 from voxlake.operators import scoring as C
 from voxlake.operators.speakers import speaker_turns
 from voxlake.session import checkpoint_dir
@@ -26,6 +27,8 @@ from voxlake.sources import export as X
 from voxlake.sources.media import decode_pcm
 from voxlake.sources.states import read_project_states
 from voxlake.streaming import progress as P
+from voxlake.streaming.refresh import LiveDashboard, start_dashboard
+from voxlake.streaming.versioned import VersionedTable, merge_states
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
@@ -141,6 +144,46 @@ def _(t: Tables):
     return in_micros(P.read_current(t.spark, f"{folder}/compact", ["task_id"]))
 
 
+@query(
+    "i09_dashboard_refresh",
+    f"SELECT {SUMMARY_COLUMNS} FROM live_tasks t LEFT JOIN progress_by_task p ON t.task_id = p.task_id",
+    live_tasks="""SELECT t.* REPLACE (coalesce(l.m.phase, t.phase) AS phase, coalesce(l.m.percent, t.progress) AS progress) FROM tasks t LEFT JOIN (
+      SELECT task_id, last({'phase': phase, 'percent': percent} ORDER BY ts, seq) AS m FROM activity GROUP BY task_id) l ON l.task_id = t.task_id""",
+    live_steps="""SELECT s.* REPLACE (coalesce(u.status, s.status) AS status) FROM steps s LEFT JOIN (
+      SELECT task_id, task_name, last(status ORDER BY seq) FILTER (WHERE length(status) > 0) AS status FROM activity WHERE task_name IS NOT NULL GROUP BY task_id, task_name) u
+      ON u.task_id = s.task_id AND u.task_name = s.task_name""",
+    progress_by_task=PROGRESS_CTE.replace("FROM steps s", "FROM live_steps s"),
+)
+def _(t: Tables):
+    folder = scratch(t, "board")
+    board = LiveDashboard.at(t.spark, folder, buckets=8)
+    board.create(t.tasks, t.steps)
+    activity = t.spark.sql(ACTIVITY, events=stream(t, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    start_dashboard(activity, board, f"{folder}/checkpoint", once=True).awaitTermination()
+    return flat_summary(board.rows.read())
+
+
+@query(
+    "a09_upsert_sink",
+    """SELECT coalesce(b.task_id, u.task_id) AS task_id, coalesce(u.status, b.status) AS status, b.phase, u.message FROM (SELECT task_id, status, phase FROM tasks) b
+    FULL JOIN (SELECT user_id + 100 AS task_id, last(event_type ORDER BY event_id) FILTER (WHERE event_id % 3 <> 0) AS status,
+      last(props ORDER BY event_id) FILTER (WHERE event_id % 5 <> 0 AND props IS NOT NULL) AS message FROM events GROUP BY 1) u ON u.task_id = b.task_id""",
+)
+def _(t: Tables):
+    def state(**fields):
+        return F.map_filter(F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+
+    folder = scratch(t, "states")
+    table = VersionedTable(t.spark, f"{folder}/table", ("task_id",), buckets=8)
+    table.create(t.tasks.select("task_id", state(status=F.col("status"), phase=F.col("phase")).alias("state")))
+    given = lambda column, n: F.when(F.col("event_id") % n != 0, F.col(column))
+    news = stream(t, "events").select(
+        (F.col("user_id") + 100).alias("task_id"), F.col("event_id").alias("seq"), state(status=given("event_type", 3), message=given("props", 5)).alias("state"))
+    job = news.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(table.sink(merge=merge_states())).trigger(availableNow=True).start()
+    job.awaitTermination()
+    return table.read().select("task_id", *[F.col("state")[k].alias(k) for k in ("status", "phase", "message")])
+
+
 @query(
     "a02_project_states",
     """SELECT CAST(task_id AS VARCHAR) AS task_id, filename, status, coalesce(progress, CAST(0 AS DOUBLE)) AS progress FROM tasks WHERE task_id // 500 % 5 <> 4""",

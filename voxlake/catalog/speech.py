@@ -411,7 +411,7 @@ def _(t: Tables):
     from voxlake.plans.ordered import Ordered
 
     length = F.col("end_s") - F.col("start_s")
-    rows = Ordered.of(t.segments, ["task_id", "speaker_id"], [length.desc(), F.col("idx")], -length).row_number("place").done()
+    rows = Ordered.of(t.segments, ["task_id", "speaker_id"], [length, "idx"], falling=True).row_number("place").done()
     return rows.select("task_id", "speaker_id", "idx", F.col("place").cast("bigint").alias("place"))
 
 

@@ -46,33 +46,41 @@ def text_class(text: Column) -> Column:
     )
 
 
+PAGE = 512
+
+
 def pack_sentences(text: Column, limit: int = 250) -> Column:
-    """Array of chunks: the whole text when short, else sentences packed up to ``limit`` characters."""
+    """Array of chunks: the whole text when short, else sentences packed up to ``limit`` characters.
+
+    One fold over the sentences. Ended chunks are gathered in pages, so that a very long text copies a page for
+    each of its chunks and not all chunks before it."""
     whole = strip(text)
     sentences = F.filter(
         F.transform(F.split(F.translate(whole, "!?", ".."), r"\."), strip), lambda s: F.length(s) > 0
     )
-    start = F.struct(
-        F.array().cast("array<string>").alias("chunks"), F.lit("").alias("open")
-    )
+    none = F.array().cast("array<string>")
+    start = F.struct(F.array().cast("array<array<string>>").alias("pages"), none.alias("page"), F.lit("").alias("open"))
+
+    def close(state: Column) -> tuple[Column, Column]:
+        """The pages and the page after the open chunk's end. Only a page of at most PAGE chunks is copied for it."""
+        full = F.size(state["page"]) >= PAGE
+        ended = F.array(F.rtrim(state["open"]))
+        return F.when(full, F.concat(state["pages"], F.array(state["page"]))).otherwise(state["pages"]), F.when(full, ended).otherwise(F.concat(state["page"], ended))
 
     def add(state: Column, sentence: Column) -> Column:
-        is_open = state["open"] != ""
-        fits = F.length(state["open"]) + F.length(sentence) + 1 <= limit
-        ended = F.concat(sentence, F.lit(". "))
+        goes_on = (F.length(state["open"]) + F.length(sentence) + 1 <= limit) | (state["open"] == "")
+        pages, page = close(state)
         return F.struct(
-            F.when(fits | ~is_open, state["chunks"])
-            .otherwise(F.array_append(state["chunks"], F.rtrim(state["open"])))
-            .alias("chunks"),
-            F.when(fits, F.concat(state["open"], ended)).otherwise(ended).alias("open"),
+            F.when(goes_on, state["pages"]).otherwise(pages).alias("pages"),
+            F.when(goes_on, state["page"]).otherwise(page).alias("page"),
+            F.concat(F.when(goes_on, state["open"]).otherwise(""), sentence, F.lit(". ")).alias("open"),
         )
 
-    packed = F.aggregate(
-        sentences,
-        start,
-        add,
-        lambda s: F.when(s["open"] == "", s["chunks"]).otherwise(F.array_append(s["chunks"], F.rtrim(s["open"]))),
-    )
+    def finish(state: Column) -> Column:
+        pages, page = close(state)
+        return F.flatten(F.concat(F.when(state["open"] == "", state["pages"]).otherwise(pages), F.array(F.when(state["open"] == "", state["page"]).otherwise(page))))
+
+    packed = F.aggregate(sentences, start, add, finish)
     return (
         F.when(is_blank(text), F.array().cast("array<string>"))
         .when(F.length(whole) <= limit, F.array(whole))

@@ -71,18 +71,16 @@ def _divide(df: DataFrame, by: list[str], found: DataFrame, rows: int) -> DataFr
     )
 
 
-def _cut(df: DataFrame, keys: list[str], pos: Column, first: Column) -> DataFrame | None:
+def _cut(df: DataFrame, keys: list[str], pos: Column, falling: bool) -> DataFrame | None:
     """``df`` with chunk numbers for oversized groups, or None where there are none.
 
-    Chunks that are still too dense are divided again, up to LEVELS times.  ``first`` is the first order
-    column: it tells on which side NULL and NaN stand.
+    Chunks that are still too dense are divided again, up to LEVELS times.  ``falling`` tells on which side
+    NULL and NaN stand.
     """
     rows = chunk_rows(df)
     if rows <= 0 or df.isStreaming:
         return None
-    place, shown = pos.cast("double"), str(first)
-    falling = "DESC" in shown
-    nulls = 1 if "NULLS LAST" in shown else -1
+    place, nulls = pos.cast("double"), 1 if falling else -1
     endless = F.abs(place) == float("inf")
     side = F.when(place.isNull(), nulls).when(F.isnan(place), -1 if falling else 1).when(endless, F.signum(place).cast("int")).otherwise(0)
     placed = df.withColumns({"__side": side, "__pos": F.when(side == 0, place)})
@@ -109,10 +107,14 @@ class Ordered:
     cut: bool = False
 
     @classmethod
-    def of(cls, df: DataFrame, keys: list[str], order: list[str | Column], pos: Column | None = None) -> Ordered:
-        """``pos`` is a number that never decreases along ``order``; the first order column by default."""
+    def of(cls, df: DataFrame, keys: list[str], order: list[str | Column], pos: Column | None = None, falling: bool = False) -> Ordered:
+        """``pos`` is a number that never decreases along ``order``; the first order column by default, or its
+        negative where that is ``falling``: largest first, NULL last."""
         columns = [F.col(c) if isinstance(c, str) else c for c in order]
-        chunked = _cut(df, keys, columns[0] if pos is None else pos, columns[0])
+        default = -columns[0] if falling else columns[0]
+        chunked = _cut(df, keys, default if pos is None else pos, falling)
+        if falling:
+            columns[0] = columns[0].desc()
         if chunked is None:
             return cls(df, list(keys), columns, False)
         return cls(chunked, list(keys), columns, True)
