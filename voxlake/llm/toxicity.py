@@ -168,13 +168,16 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, out: str = "toxicity",
     goes through the trees. Null and empty texts have no evidence. Every row stays, repeated ones too; other
     columns pass unchanged; an empty table gives an empty one. Nothing is shuffled.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain arrays and numbers: what is broadcast is pickled by reference, and workers need no copy of the package.
+    parts = tuple(vars(model.trees).values())
+    sent = docs.sparkSession.sparkContext.broadcast((model.letters, model.weights, parts))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        reader = Reader(sent.value.letters, sent.value.weights)
+        letters, weights, parts = sent.value
+        reader, trees = Reader(letters, weights), FlatTrees(*parts)
         for texts in batches:
             x = np.array([reader.features(t or "") for t in texts], float).reshape(len(texts), N_FEATURES)
-            yield pd.Series(sent.value.trees.score(x))
+            yield pd.Series(trees.score(x))
 
     return docs.withColumn(out, score(F.col(text_col)))
