@@ -44,7 +44,7 @@ def op6_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    return ngrams.near_duplicates(documents(spark, folder), percent=80, n=5)
+    return ngrams.near_duplicates(documents(spark, folder), percent=80, n=5).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,4 +102,4 @@ def llm_queries() -> dict[str, Query]:
 def llm_oracles() -> dict[str, str]:
     """SQL for what DuckDB can say; the others learn models, need look-around in patterns, checksums or bytes, and are
     tested against brute force in tests/llm."""
-    return {"op1_substring_automata": automata.SQL, "op6_benchmark_leaks": leaks.SQL, "op7_ngram_jaccard": ngrams.SQL, "op11_exact_dedup": snapshots.SQL, "op12_simplex_clusters": simplex.sql(), "op13_merkle_manifest": manifest.sql()}
+    return {"op1_substring_automata": automata.SQL, "op4_byte_shards": sharding.sql(), "op6_benchmark_leaks": leaks.SQL, "op7_ngram_jaccard": ngrams.SQL, "op11_exact_dedup": snapshots.SQL, "op12_simplex_clusters": simplex.sql(), "op13_merkle_manifest": manifest.sql()}

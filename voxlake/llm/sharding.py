@@ -63,3 +63,22 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, overhead: int = 16, id_col
         (F.col("nth") - F.col("first")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def sql(shards: int = 40, overhead: int = 16) -> str:
+    """The same for DuckDB; the checksum is made byte by byte from the table of the CRC-32 polynomial."""
+    bits = "list_reduce(list_prepend(i, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))"
+    return f"""
+WITH crc AS (SELECT list({bits} ORDER BY i) AS steps FROM range(0, 256) t(i)
+), d AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + {overhead} AS size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents
+), sized AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM d, crc
+), placed AS (
+  SELECT *, row_number() OVER w - 1 AS nth, 2 * sum(size) OVER w - size AS middle, sum(size) OVER () AS whole FROM sized
+  WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)
+), cut AS (SELECT *, CAST(least(middle * {shards} // (2 * whole), {shards - 1}) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard, nth - min(nth) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM cut
+"""
