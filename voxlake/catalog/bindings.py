@@ -60,7 +60,8 @@ SELECT l_orderkey AS task_id, concat('step_', CAST(l_linenumber AS STRING)) AS t
     ELSE NULL END AS status,
   CASE WHEN l_partkey % 3 = 0 THEN concat('out', CAST(l_suppkey AS STRING)) ELSE NULL END AS output_data,
   CASE WHEN l_partkey % 4 = 0 THEN concat('ckpt', CAST(l_suppkey AS STRING)) ELSE NULL END AS checkpoint_data,
-  CASE WHEN l_returnflag = 'R' THEN concat('err', CAST(l_suppkey AS STRING)) ELSE NULL END AS error_message
+  CASE WHEN l_returnflag = 'R' THEN concat('err', CAST(l_suppkey AS STRING)) ELSE NULL END AS error_message,
+  CASE WHEN l_returnflag = 'R' AND l_partkey % 2 = 0 THEN concat('trace', CAST(l_partkey AS STRING)) ELSE NULL END AS error_traceback
 FROM {lineitem}
 """
 

@@ -10,6 +10,7 @@ from voxlake.functions.labels import default_voice
 from voxlake.operators import lifecycle as L
 from voxlake.operators import segments as S
 from voxlake.operators import speakers as P
+from voxlake.operators.intervals import long_enough
 from voxlake.sources import export as X
 
 STRIP = r"E' \n\t\r'"
@@ -139,8 +140,7 @@ def _(t: Tables):
     "SELECT task_id, idx, round(end_s - start_s, 6) AS duration FROM segments WHERE trunc(end_s * 16000) - trunc(start_s * 16000) >= 1600",
 )
 def _(t: Tables):
-    long_enough = (F.col("end_s") * 16000).cast("bigint") - (F.col("start_s") * 16000).cast("bigint") >= 1600
-    return t.segments.where(long_enough).select("task_id", "idx", F.round(F.col("end_s") - F.col("start_s"), 6).alias("duration"))
+    return long_enough(t.segments, 16000, min_samples=1600).select("task_id", "idx", F.round(F.col("end_s") - F.col("start_s"), 6).alias("duration"))
 
 
 @query(

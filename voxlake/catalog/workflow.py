@@ -353,7 +353,7 @@ def _(t: Tables):
 @query(
     "i02_apply_step_updates",
     """SELECT s.task_id, s.task_name, coalesce(u.status, s.status) AS status, epoch_us(u.started_at) AS started_at, epoch_us(u.completed_at) AS completed_at,
-    CAST(s.attempt_count + coalesce(u.attempts, 0) AS INT) AS attempt_count, u.output_data, u.checkpoint_data, u.error_message
+    CAST(s.attempt_count + coalesce(u.attempts, 0) AS INT) AS attempt_count, u.output_data, u.checkpoint_data, u.error_message, u.error_traceback
     FROM steps s LEFT JOIN folded u ON u.task_id = s.task_id AND u.task_name = s.task_name""",
     folded="""SELECT task_id, task_name, last(status ORDER BY seq) FILTER (WHERE length(status) > 0) AS status,
       last("at" ORDER BY seq) FILTER (WHERE status = 'running') AS started_at,
@@ -361,15 +361,16 @@ def _(t: Tables):
       count(*) FILTER (WHERE status = 'running') AS attempts,
       last(output_data ORDER BY seq) FILTER (WHERE output_data IS NOT NULL) AS output_data,
       last(checkpoint_data ORDER BY seq) FILTER (WHERE checkpoint_data IS NOT NULL) AS checkpoint_data,
-      last(error_message ORDER BY seq) FILTER (WHERE error_message IS NOT NULL) AS error_message
+      last(error_message ORDER BY seq) FILTER (WHERE error_message IS NOT NULL) AS error_message,
+      last(error_traceback ORDER BY seq) FILTER (WHERE error_traceback IS NOT NULL) AS error_traceback
       FROM step_updates GROUP BY task_id, task_name""",
 )
 def _(t: Tables):
     stamps = {c: F.lit(None).cast("timestamp_ntz") for c in ("started_at", "completed_at")}
-    texts = {c: F.lit(None).cast("string") for c in ("output_data", "checkpoint_data", "error_message")}
+    texts = {c: F.lit(None).cast("string") for c in L.GIVEN_FIELDS}
     steps = t.steps.withColumns({**stamps, **texts})
     return L.apply_step_updates(steps, t.step_updates).select(
-        "task_id", "task_name", "status", micros(F.col("started_at")).alias("started_at"), micros(F.col("completed_at")).alias("completed_at"), "attempt_count", "output_data", "checkpoint_data", "error_message"
+        "task_id", "task_name", "status", micros(F.col("started_at")).alias("started_at"), micros(F.col("completed_at")).alias("completed_at"), "attempt_count", *L.GIVEN_FIELDS
     )
 
 

@@ -284,12 +284,20 @@ def rebase_times(segments: DataFrame, blocks: DataFrame, keys: list[str] | None
     }).drop("__base")
 
 
-def slice_samples(samples: DataFrame, intervals: DataFrame, rate: int = K.SPEECH_RATE, min_samples: int = 0) -> DataFrame:
-    """Samples inside each interval of their series, with their place in the slice."""
-    bounds = intervals.withColumns({
+def _bounds(intervals: DataFrame, rate: int, min_samples: int) -> DataFrame:
+    return intervals.withColumns({
         "__low": F.greatest(F.lit(0), sample_at(F.col("start_s"), rate)),
         "__high": sample_at(F.col("end_s"), rate),
     }).where(F.col("__high") - F.col("__low") >= min_samples)
-    return range_join(samples, bounds, SERIES, "pos", "__low", "__high").withColumn(
+
+
+def long_enough(intervals: DataFrame, rate: int = K.SPEECH_RATE, min_samples: int = 0) -> DataFrame:
+    """Intervals of at least so many samples."""
+    return _bounds(intervals, rate, min_samples).drop("__low", "__high")
+
+
+def slice_samples(samples: DataFrame, intervals: DataFrame, rate: int = K.SPEECH_RATE, min_samples: int = 0) -> DataFrame:
+    """Samples inside each interval of their series of at least ``min_samples``, with their place in the slice."""
+    return range_join(samples, _bounds(intervals, rate, min_samples), SERIES, "pos", "__low", "__high").withColumn(
         "slice_pos", F.col("pos") - F.col("__low")
     ).drop("__low", "__high")

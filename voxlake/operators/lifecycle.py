@@ -50,12 +50,17 @@ def _definitions_json(definitions: list[dict]) -> str:
     return json.dumps(rows)
 
 
+GIVEN_FIELDS = ["output_data", "checkpoint_data", "error_message", "error_traceback"]
+
+
 def apply_step_updates(steps: DataFrame, updates: DataFrame) -> DataFrame:
-    """Fold an update log (task_id, task_name, seq, at, status, output_data, checkpoint_data, error_message).
+    """Fold an update log (task_id, task_name, seq, at, status, and any of GIVEN_FIELDS).
 
     A running update stamps the start and counts an attempt, a completed or skipped one stamps
     the end, and any other field changes only where an update gives it.
     """
+    given = [c for c in GIVEN_FIELDS if c in updates.columns]
+
     def latest(name: str, when: Column | None = None) -> Column:
         given = F.col(name).isNotNull() if when is None else when
         return F.max_by(F.when(given, F.col(name)), F.when(given, F.col("seq")))
@@ -69,9 +74,7 @@ def apply_step_updates(steps: DataFrame, updates: DataFrame) -> DataFrame:
         latest("at", running).alias("__started"),
         latest("at", ended).alias("__ended"),
         F.count_if(running).cast("int").alias("__attempts"),
-        latest("output_data").alias("__output"),
-        latest("checkpoint_data").alias("__checkpoint"),
-        latest("error_message").alias("__error"),
+        *[latest(c).alias(f"__{c}") for c in given],
     )
     merged = steps.join(folded, ["task_id", "task_name"], "left")
     changes = {
@@ -79,9 +82,7 @@ def apply_step_updates(steps: DataFrame, updates: DataFrame) -> DataFrame:
         "started_at": F.coalesce("__started", "started_at"),
         "completed_at": F.coalesce("__ended", "completed_at"),
         "attempt_count": F.col("attempt_count") + F.coalesce("__attempts", F.lit(0)),
-        "output_data": F.coalesce("__output", "output_data"),
-        "checkpoint_data": F.coalesce("__checkpoint", "checkpoint_data"),
-        "error_message": F.coalesce("__error", "error_message"),
+        **{c: F.coalesce(f"__{c}", c) for c in given if c in steps.columns},
     }
     out = merged.withColumns({k: v for k, v in changes.items() if k in steps.columns})
     return out.select(*steps.columns)

@@ -13,7 +13,6 @@ from voxlake.streaming.versioned import VersionedTable
 
 #: An activity message: a project's progress, and with ``task_name`` what became of that step.
 ACTIVITY = "task_id bigint, ts timestamp, seq bigint, phase string, percent double, message string, task_name string, status string"
-STEP_NEWS = ["output_data", "checkpoint_data", "error_message"]
 
 
 def live_progress(tasks: DataFrame, activity: DataFrame) -> DataFrame:
@@ -27,8 +26,7 @@ def live_progress(tasks: DataFrame, activity: DataFrame) -> DataFrame:
 
 def step_news(steps: DataFrame, activity: DataFrame) -> DataFrame:
     """Steps after the messages that name them (see ``apply_step_updates``)."""
-    updates = activity.where(F.col("task_name").isNotNull()).select("task_id", "task_name", "seq", F.col("ts").alias("at"), "status")
-    return apply_step_updates(steps, updates.withColumns({c: F.lit(None).cast("string") for c in STEP_NEWS}))
+    return apply_step_updates(steps, activity.where(F.col("task_name").isNotNull()).select("task_id", "task_name", "seq", F.col("ts").alias("at"), "status"))
 
 
 def summaries(tasks: DataFrame, steps: DataFrame) -> DataFrame:
