@@ -46,7 +46,7 @@ def text_class(text: Column) -> Column:
     )
 
 
-PAGE = 512
+PAGE = 64
 
 
 def pack_sentences(text: Column, limit: int = 250) -> Column:
