@@ -89,3 +89,17 @@ def test_the_name_of_the_order_column_plays_no_part(spark, chunked, name):
     with chunked(7):
         cut, got = numbered()
     assert cut and got == plain
+
+
+@pytest.mark.parametrize("limit", [0, 3, 50])
+def test_last_value_before(spark, chunked, limit):
+    rng = random.Random(4)
+    rows = [(k, i, rng.choice([None, None, None, i])) for k, n in ((1, 90), (2, 4), (None, 20)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, i int, v int")
+    with chunked(limit):
+        got = {(r.k, r.i): r.last for r in Ordered.of(df, ["k"], ["i"]).last_before("last", F.col("v")).done().collect()}
+    for k in (1, 2, None):
+        last = None
+        for _, i, v in [r for r in rows if r[0] == k]:
+            assert got[k, i] == last
+            last = i if v is not None else last

@@ -117,6 +117,16 @@ def test_a_long_log_on_cut_chunks(spark, chunked):
         assert rows() == plain and len(plain) == 400
 
 
+def test_a_log_is_shuffled_and_sorted_once(spark, chunked):
+    log = spark.createDataFrame([(1, 1, "pause", None)], LOG)
+    tasks = spark.createDataFrame([(1, "init", "pending", False, 0.0)], TASK)
+    with chunked(0):
+        plan = L.replay_commands(tasks, log)._jdf.queryExecution().optimizedPlan().toString()
+        physical = L.replay_commands(tasks, log)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1
+    assert physical.count("hashpartitioning(task_id") <= 2 and physical.count("Sort [task_id") <= 3
+
+
 def test_both_names_of_the_language_in_one_update(spark):
     tasks = spark.createDataFrame([(1, "a")], "task_id bigint, tgt_lang string")
     updates = spark.createDataFrame([(1, 1, {"tgt_lang": "fr", "target_language": "de"})], "task_id bigint, seq int, fields map<string,string>")

@@ -88,19 +88,6 @@ def apply_step_updates(steps: DataFrame, updates: DataFrame) -> DataFrame:
     return out.select(*steps.columns)
 
 
-def _at_last_change(log: DataFrame, change: str, start: str, name: str) -> DataFrame:
-    """``log`` with ``name``: the value that the last row before it with a ``change`` has set, else ``start``.
-
-    The rows with a change are numbered, and every row looks up the one before it by that number, so a project
-    with very many commands is spread over tasks like any other.
-    """
-    order = ["seq", "command", "from_phase"]
-    numbered = Ordered.of(log, ["task_id"], order).running_sum("__n", F.col(change).isNotNull().cast("long"), before=True).done()
-    set_by = numbered.where(F.col(change).isNotNull()).select("task_id", (F.col("__n") + 1).alias("__n"), F.col(change).alias(name))
-    found = numbered.join(set_by, ["task_id", "__n"], "left")
-    return found.withColumn(name, F.coalesce(name, start)).drop("__n")
-
-
 def replay_commands(tasks: DataFrame, commands: DataFrame) -> DataFrame:
     """Every command (task_id, seq, command, from_phase) of a known project in its turn.
 
@@ -109,6 +96,9 @@ def replay_commands(tasks: DataFrame, commands: DataFrame) -> DataFrame:
     ``start`` is refused while a person is asked or on a completed project, ``restart`` to an unknown phase;
     ``resume`` on a phase that waits for a person only restores the matching status.  Commands with
     one ``seq`` follow each other by name.
+
+    Both states are read along one order, so the log is shuffled and sorted once; a project with very many
+    commands is cut into chunks like any other group.
     """
     command = F.coalesce("command", F.lit(""))
     target = F.coalesce(F.nullif("from_phase", F.lit("")), F.lit("init"))
@@ -120,10 +110,11 @@ def replay_commands(tasks: DataFrame, commands: DataFrame) -> DataFrame:
         "restarts": restarts,
         "phase_set": F.when(restarts, target).when(confirmed, F.try_element_at(confirm_map, command)),
     })
-    log = _at_last_change(log, "phase_set", "__phase", "phase_before")
+    turns = Ordered.of(log, ["task_id"], ["seq", "command", "from_phase"]).last_before("phase_before", F.col("phase_set"))
+    turns = turns.with_column("phase_before", F.coalesce("phase_before", "__phase"))
     phase = F.col("phase_before")
     waits = phase.isin(*INTERACTION)
-    log = log.withColumn(
+    turns = turns.with_column(
         "status_set",
         F.when(command == "cancel", "cancelled")
         .when(command == "pause", "paused")
@@ -133,7 +124,7 @@ def replay_commands(tasks: DataFrame, commands: DataFrame) -> DataFrame:
         .when(restarts & target.isin(*INTERACTION), "awaiting_validation")
         .when(restarts | confirmed, "queued"),
     )
-    log = _at_last_change(log, "status_set", "__status", "status_before")
+    log = turns.last_before("status_before", F.col("status_set")).done().withColumn("status_before", F.coalesce("status_before", "__status"))
     asks = phase.isin(*REVIEWS) | (F.col("status_before") == "awaiting_validation")
     starts = (command == "start") & ~asks & (F.col("status_before") != "completed")
     refused = ((command == "start") & ~starts) | ((command == "restart") & ~restarts)

@@ -185,6 +185,19 @@ class Ordered:
         out = local._attach(ends, [*self.keys, CHUNK])
         return replace(self, df=out.withColumn(name, F.coalesce(name, "__edge")["v"]).drop("__edge"))
 
+    def last_before(self, name: str, value: Column) -> Ordered:
+        """``value`` of the nearest row before that has one, NULL where none has."""
+        frame = self.window.rowsBetween(Window.unboundedPreceding, -1)
+        local = self.with_column(name, F.last(value, ignorenulls=True).over(frame))
+        if not self.cut:
+            return local
+        turn = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(self.order)])
+        ends = self._hot_rows().groupBy(*self.keys, CHUNK).agg(F.max_by(value, F.when(value.isNotNull(), turn)).alias("__end"))
+        earlier = Window.partitionBy(*self.keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*self.keys, CHUNK, F.last("__end", ignorenulls=True).over(earlier).alias("__end"))
+        out = local._attach(ends, [*self.keys, CHUNK])
+        return replace(self, df=out.withColumn(name, F.coalesce(name, "__end")).drop("__end"))
+
     def total(self, name: str, aggregate: Column) -> Ordered:
         """An aggregate over the whole group on each of its rows."""
         by = [*self.keys, CHUNK] if self.cut else self.keys
