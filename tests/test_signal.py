@@ -60,6 +60,57 @@ def test_margins_of_small_blocks(spark):
     np.testing.assert_allclose(arrays(got, "total")[1], [values[max(0, i - 7) : i + 5].sum() for i in range(500)], atol=1e-9)
 
 
+def _gapped(rng):
+    """Bursts with gaps of all widths around the reaches in use; the last one is empty but for one sample."""
+    values = np.zeros(700)
+    for at, n in ((0, 3), (30, 12), (43, 5), (90, 1), (120, 40), (190, 2), (400, 30), (699, 1)):
+        values[at : at + n] = rng.normal(size=n)
+    one = np.zeros(50)
+    one[49] = 3.0
+    return {1: values, 2: one, 3: rng.normal(size=25)}
+
+
+@pytest.mark.parametrize("size", [None, 32])
+@pytest.mark.parametrize("window,threshold", [(40, 1e-4), (40, 0.2), (20, 0.0), (2, 0.05)])
+def test_gapped_signals_equal_filled_ones(spark, monkeypatch, size, window, threshold):
+    from voxlake.plans import grid
+
+    if size:
+        monkeypatch.setattr(G, "with_margin", lambda *a: grid.with_margin(*a, size=size))
+    series = _gapped(np.random.default_rng(5))
+    total, half, reach = 720, window // 2, window // 5
+    df = frame(spark, series).where("value <> 0")
+    timeline = spark.createDataFrame([(i, total) for i in series], "series_id bigint, total_samples bigint")
+    power = {(r.series_id, r.pos): r.power for r in G.sparse_power(df, window, timeline).collect()}
+    gate = {(r.series_id, r.pos): (r.power, r.gain) for r in G.sparse_gate(df, window, threshold, timeline=timeline).collect()}
+    all_gains = {(r.series_id, r.pos): r.gain for r in G.sparse_gate(df, window, threshold, timeline=timeline, everywhere=True).collect()}
+    assert power.keys() == gate.keys() and len(power) == df.count()
+    for i, given in series.items():
+        values = np.concatenate([given, np.zeros(total - len(given))])
+        mean = np.array([np.mean(values[max(0, p - half) : p + half] ** 2) for p in range(total)])
+        low = [bool((mean[max(0, p - reach) : p + reach] > threshold).any()) for p in range(total)]
+        for p in range(total):
+            assert all_gains.get((i, p), 1.0) == (0.3 if low[p] else 1.0)
+            if values[p] != 0:
+                assert math.isclose(power[i, p], mean[p], rel_tol=1e-9) and math.isclose(gate[i, p][0], mean[p], rel_tol=1e-9)
+                assert gate[i, p][1] == (0.3 if low[p] else 1.0)
+
+
+@pytest.mark.parametrize("reach", [0, 1, 7, 30])
+def test_zeros_near_samples(spark, reach):
+    values = _gapped(np.random.default_rng(6))[1]
+    got = G.fill_near(frame(spark, {1: values}).where("value <> 0"), reach).orderBy("pos").collect()
+    wanted = [p for p in range(700) if (values[max(0, p - reach) : p + reach + 1] != 0).any()]
+    assert [r.pos for r in got] == wanted and [r.filled for r in got] == [bool(values[p] == 0) for p in wanted]
+
+
+def test_no_samples_and_no_timeline(spark):
+    none = spark.createDataFrame([], "series_id bigint, pos bigint, value double")
+    assert G.sparse_power(none, 20).count() == 0 and G.sparse_gate(none, 20).count() == 0
+    with pytest.raises(ValueError):
+        G.sparse_gate(none, 20, -1.0)
+
+
 def test_edge_fade(spark):
     got = arrays(G.edge_fade(frame(spark, {1: np.ones(10), 2: np.ones(7)}), 4))
     np.testing.assert_allclose(got[1], [0, 1 / 3, 2 / 3, 1, 1, 1, 1, 2 / 3, 1 / 3, 0])

@@ -112,6 +112,39 @@ def _(t: Tables):
     return six(G.overlay_add(clips, where, 16, dense=True, timeline=timeline))
 
 
+# The overlaid clips with their gaps, judged as if these were filled with zeros to 150 samples at least.
+FILLED = """SELECT g.task_id, g.pos, o.pos IS NOT NULL AS own, coalesce(value, 0) AS value
+  FROM (SELECT task_id, unnest(range(greatest(max(pos) + 1, 150))) AS pos FROM overlaid GROUP BY task_id) g LEFT JOIN overlaid o ON o.task_id = g.task_id AND o.pos = g.pos"""
+FILLED_POWER = "SELECT *, avg(value * value) OVER (PARTITION BY task_id ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) AS power FROM filled"
+FILLED_GAIN = """SELECT *, CASE WHEN max(CASE WHEN power > 0.0201 THEN 1 ELSE 0 END) OVER (PARTITION BY task_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING) > 0
+  THEN 0.3 ELSE 1.0 END AS gain FROM filled_power"""
+GAPPED = {"placed": PLACED, "overlaid": OVERLAID, "filled": FILLED, "filled_power": FILLED_POWER, "filled_gain": FILLED_GAIN, **LEVELS}
+
+
+def gapped(t: Tables):
+    where = placements(t)
+    timeline = where.select("task_id", F.lit(150).cast("bigint").alias("total_samples")).distinct()
+    return G.overlay_add(t.samples.withColumnRenamed("series_id", "clip_id"), where, 16), timeline
+
+
+@query("e10_sparse_power", "SELECT task_id, pos, round(power, 6) AS power FROM filled_power WHERE own", **GAPPED)
+def _(t: Tables):
+    samples, timeline = gapped(t)
+    return six(G.sparse_power(samples, 20, timeline, ["task_id"]).select("task_id", "pos", "power"), "power")
+
+
+@query("e11_sparse_gate", "SELECT task_id, pos, round(power, 6) AS power, CAST(gain AS DOUBLE) AS gain FROM filled_gain WHERE own", **GAPPED)
+def _(t: Tables):
+    samples, timeline = gapped(t)
+    return six(G.sparse_gate(samples, 20, 0.0201, timeline=timeline, keys=["task_id"]).select("task_id", "pos", "power", "gain"), "power")
+
+
+@query("e11_sparse_ducking", "SELECT task_id, pos FROM filled_gain WHERE gain < 1", **GAPPED)
+def _(t: Tables):
+    samples, timeline = gapped(t)
+    return G.sparse_gate(samples, 20, 0.0201, timeline=timeline, keys=["task_id"], everywhere=True).where("gain < 1").select("task_id", "pos")
+
+
 MIXED = """SELECT series_id, pos, sum(value * CASE track_id WHEN 0 THEN pow(10, -6 / CAST(20 AS DOUBLE)) WHEN 1 THEN pow(10, 3 / CAST(20 AS DOUBLE)) ELSE 1 END) AS value
   FROM (SELECT series_id // 3 AS series_id, series_id % 3 AS track_id, pos, value FROM samples) GROUP BY 1, 2"""
 

@@ -95,6 +95,83 @@ def speech_gate(
     )
 
 
+def timeline_length(samples: DataFrame, timeline: DataFrame | None, keys: list[str] = SERIES) -> DataFrame:
+    """``length`` of each series: to its last sample, and at least the ``total_samples`` of ``timeline``."""
+    lengths = series_length(samples, keys)
+    if timeline is None:
+        return lengths
+    return lengths.join(timeline.select(*keys, "total_samples"), keys, "full").select(
+        *keys, F.greatest("length", "total_samples").alias("length")
+    )
+
+
+def _mean_square(half: int, keys: list[str]):
+    """Mean square over [pos - half, pos + half) of a timeline whose zeros may be missing, from rows with ``length``."""
+    frame = Window.partitionBy(*keys, BLOCK).orderBy("pos").rangeBetween(-half, half - 1)
+    places = F.least(F.col("pos") + half, F.col("length")) - F.greatest(F.col("pos") - half, F.lit(0))
+    return F.sum(F.col("value") * F.col("value")).over(frame) / places
+
+
+def sparse_power(samples: DataFrame, window: int, timeline: DataFrame | None = None, keys: list[str] = SERIES) -> DataFrame:
+    """``moving_power`` of a signal whose zeros are left out, as the filled signal has it at the samples.
+
+    A position has one sample at most. Series are as long as ``timeline_length`` tells. Nothing is filled: frames go
+    by position.
+    """
+    half = window // 2
+    rows = attach(samples, timeline_length(samples, timeline, keys), keys)
+    rows = with_margin(rows, keys, "pos", half, half - 1).withColumn("power", _mean_square(half, keys))
+    return rows.where("__own").drop(BLOCK, "__own", "length")
+
+
+def _fill(samples: DataFrame, reach: int, keys: list[str]) -> DataFrame:
+    """Samples (with ``length``) and the zeros within ``reach`` of one, each from the sample that is next to it."""
+    if reach < 1:
+        return samples.select(*keys, "length", "pos", "value", F.lit(False).alias("filled"))
+    place, by = F.col("pos"), Window.partitionBy(*keys, BLOCK).orderBy("pos")
+    near = with_margin(samples, keys, "pos", 2 * reach, reach).withColumns({
+        "__last": F.max("pos").over(by.rangeBetween(-2 * reach, -1)),
+        "__next": F.min("pos").over(by.rangeBetween(1, reach)),
+    })
+    # What the sample before fills behind itself is not filled again.
+    low = F.least(place, F.greatest(place - reach, F.col("__last") + reach + 1, F.lit(0)))
+    high = F.greatest(place, F.least(place + reach, F.col("__next") - 1, F.col("length") - 1))
+    return near.where("__own").withColumn("__at", F.explode(F.sequence(low, high))).select(
+        *keys, "length", F.col("__at").alias("pos"),
+        F.when(F.col("__at") == place, F.col("value")).otherwise(F.lit(0.0)).alias("value"),
+        (F.col("__at") != place).alias("filled"),
+    )
+
+
+def fill_near(samples: DataFrame, reach: int, timeline: DataFrame | None = None, keys: list[str] = SERIES) -> DataFrame:
+    """Samples and zeros at the empty positions within ``reach`` of one (``filled``), inside ``timeline_length``.
+
+    One sample makes 2 * ``reach`` rows at most, however wide the gaps are.
+    """
+    return _fill(attach(samples, timeline_length(samples, timeline, keys), keys), reach, keys).drop("length")
+
+
+def sparse_gate(
+    samples: DataFrame, window: int, threshold: float = 1e-4, low: float = 0.3, timeline: DataFrame | None = None,
+    keys: list[str] = SERIES, everywhere: bool = False,
+) -> DataFrame:
+    """``speech_gate`` of a signal whose zeros are left out: ``pos, value, power, gain`` as the filled signal has them.
+
+    At the samples, or ``everywhere`` that the gain can be low: all positions left out then have gain 1 and power 0.
+    Empty positions can be loud too, so those near samples are filled; ``threshold`` must not be negative.
+    """
+    if threshold < 0:
+        raise ValueError("threshold must not be negative")
+    half, reach = window // 2, window // 5
+    rows = attach(samples, timeline_length(samples, timeline, keys), keys)
+    rows = with_margin(_fill(rows, half + reach if everywhere else reach, keys), keys, "pos", half + reach, half + reach - 2)
+    near = Window.partitionBy(*keys, BLOCK).orderBy("pos").rangeBetween(-reach, reach - 1)
+    loud = F.max(F.when(F.col("power") > threshold, 1).otherwise(0)).over(near)
+    gated = rows.withColumn("power", _mean_square(half, keys)).withColumn("gain", F.when(loud > 0, F.lit(low)).otherwise(F.lit(1.0)))
+    shown = F.col("__own") if everywhere else F.col("__own") & ~F.col("filled")
+    return gated.where(shown).select(*keys, "pos", "value", "power", "gain")
+
+
 def edge_fade(samples: DataFrame, n: int, keys: list[str] = SERIES) -> DataFrame:
     """Linear fade over the first and last n samples; series shorter than 2n are left alone."""
     out = attach(samples, series_length(samples, keys), keys)
@@ -148,12 +225,7 @@ def overlay_add(
     summed = placed.groupBy(*by, (F.col("__at") + F.col("pos")).alias("pos")).agg(F.sum("value").alias("value"))
     if not dense:
         return summed
-    lengths = series_length(summed, by)
-    if timeline is not None:
-        lengths = lengths.join(timeline.select(*by, "total_samples"), by, "full").select(
-            *by, F.greatest("length", "total_samples").alias("length")
-        )
-    grid = dense_positions(lengths, by, "length").select(*by, "pos")
+    grid = dense_positions(timeline_length(summed, timeline, by), by, "length").select(*by, "pos")
     return grid.join(summed, [*by, "pos"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
