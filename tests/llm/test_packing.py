@@ -78,3 +78,13 @@ def test_equal_rows_are_spread(spark):
     got = packing.best_fit_packing(frame(spark, rows), vocabulary("word_bpe_49k.json"), 4096, unit_rows=40).collect()
     sizes = np.bincount([r.sequence_id >> 32 for r in got], minlength=10)
     assert len(got) == 400 and sizes.max() < 100 and (sizes > 0).all()
+
+
+@pytest.mark.parametrize("name,low,high,n", [("few", 1, 4097, 30), ("even", 1, 4097, 1500), ("thirds", 1200, 1500, 1500), ("halves", 2049, 4097, 200), ("small", 1, 500, 2000), ("full", 4096, 4097, 50), ("one", 7, 8, 1), ("none", 1, 2, 0)])
+def test_grouping_against_plain_best_fit(name, low, high, n):
+    lengths = np.sort(np.random.default_rng(3).integers(low, high, n))[::-1].copy()
+    bins, plain, rooms = packing.pack(lengths, 4096), np.zeros(n, np.int64), []
+    packing.best_fit(np.arange(n), lengths, rooms, plain, 4096)
+    used = np.bincount(bins, weights=lengths) if n else np.zeros(0)
+    assert len(bins) == n and (bins >= 0).all() and (used <= 4096).all() and (used > 0).all()
+    assert len(used) <= 1.005 * len(rooms)

@@ -155,34 +155,79 @@ def best_fit(order: np.ndarray, lengths: np.ndarray, rooms: list[int], bins: np.
         free[left].append(b)
 
 
-def pack(lengths: np.ndarray, room: int, groups: int = 12, large: float = 0.2) -> np.ndarray:
-    """The bin of every item (``lengths`` sorted downwards).
+def grouped(lengths: np.ndarray, room: int, heads: int, groups: int, tight: bool) -> tuple[np.ndarray, list[int]]:
+    """The bin of every item and the room left in each bin, with the first ``heads`` items rounded up in ``groups``
+    groups of equal cardinality. ``tight``: the last place of a configuration, and the room that rounding leaves, go to
+    the longest large items that fit, of whatever group; else that room is left to the small items."""
+    bins, rooms = np.full(len(lengths), -1, np.int64), []
+    after = list(range(heads + 1))  # the next item, itself included, that has no bin yet
 
-    Linear grouping: items above ``large * room`` form ``groups`` groups of equal cardinality, each rounded up
-    to its longest member; the few sizes left are packed by ``configurations``, actual items take the places,
-    and what rounding left over goes with the small items to where it fits best. Plain best fit of everything
-    stands beside it and counts only where it needs fewer bins, as rounding costs room where small items are rare, or
-    where there are fewer than four large items a group.
-    """
-    n = len(lengths)
-    plain, plain_rooms = np.zeros(n, np.int64), []
-    best_fit(np.arange(n), lengths, plain_rooms, plain, room)
-    bins, rooms = np.full(n, -1, np.int64), []
-    heads = int((lengths > large * room).sum())
-    if heads >= 4 * groups:
+    def unplaced(i: int) -> int:
+        while after[i] != i:
+            after[i] = after[after[i]]
+            i = after[i]
+        return i
+
+    def place(i: int, left: int) -> int:
+        bins[i], after[i] = len(rooms), i + 1
+        return left - int(lengths[i])
+
+    if heads:
         cuts = np.linspace(0, heads, groups + 1).astype(int)
         sizes, where = np.unique(lengths[cuts[:-1]], return_inverse=True)
         members: list[list[int]] = [[] for _ in sizes]
         for g in range(groups):
             members[where[g]] += range(cuts[g], cuts[g + 1])
+        members = [m[::-1] for m in members]  # longest last: it is taken first
         for config, times in configurations(sizes, np.array([len(m) for m in members]), room):
+            slots = [s for s, c in enumerate(config) for _ in range(c)]
             for _ in range(times):
-                own = [members[s].pop() for s, c in enumerate(config) for _ in range(min(c, len(members[s])))]
-                if own:
-                    bins[own] = len(rooms)
-                    rooms.append(room - int(lengths[own].sum()))
-        best_fit(np.nonzero(bins < 0)[0], lengths, rooms, bins, room)
-    return bins if heads >= 4 * groups and len(rooms) <= len(plain_rooms) else plain
+                left = room
+                for s in slots[:-1] if tight else slots:
+                    while members[s] and bins[members[s][-1]] >= 0:
+                        members[s].pop()
+                    if members[s]:
+                        left = place(members[s].pop(), left)
+                while tight and (i := unplaced(int(np.searchsorted(-lengths[:heads], -left)))) < heads:
+                    left = place(i, left)
+                if left < room:
+                    rooms.append(left)
+    best_fit(np.nonzero(bins < 0)[0], lengths, rooms, bins, room)
+    return bins, rooms
+
+
+def repaired(bins: np.ndarray, rooms: list[int], lengths: np.ndarray, room: int) -> tuple[np.ndarray, list[int]]:
+    """The packing with the emptier half of its bins taken apart and their items put where they fit best."""
+    order = np.argsort(np.array(rooms), kind="stable")
+    kept = order[: len(order) - len(order) // 2]
+    number = np.full(len(rooms), -1, np.int64)
+    number[kept] = np.arange(len(kept))
+    out, left = number[bins], [rooms[b] for b in kept]
+    best_fit(np.nonzero(out < 0)[0], lengths, left, out, room)
+    return out, left
+
+
+def pack(lengths: np.ndarray, room: int, groups: int = 12, finest: int = 48, large: float = 0.2) -> np.ndarray:
+    """The bin of every item (``lengths`` sorted downwards).
+
+    Linear grouping: items above ``large * room`` form ``groups`` groups of equal cardinality (one of each item where
+    they are fewer), each rounded up to its longest member; the few sizes left are packed by ``configurations``, actual
+    items take the places, and what rounding left over goes with the small items to where it fits best. As
+    rounding costs room, a packing above the lower bound is made again: with tight places, and with more groups up to
+    ``finest``, each also ``repaired``. The one with the fewest bins counts, the first of equal ones.
+    """
+    heads = int((lengths > large * room).sum())
+    least = -(-int(lengths.sum()) // room)
+    best, fewest = None, len(lengths) + 1
+    steps = [(groups, False), *((g, True) for g in (groups, 2 * groups, 4 * groups) if g <= max(groups, finest))]
+    for g, tight in steps:
+        if fewest <= least or (tight and g > groups and g // 2 >= heads):
+            break
+        made = grouped(lengths, room, heads, min(g, heads), tight)
+        for bins, rooms in (made, repaired(*made, lengths, room)):
+            if len(rooms) < fewest:
+                best, fewest = bins, len(rooms)
+    return best
 
 
 PACKED = "doc long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
