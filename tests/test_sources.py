@@ -76,6 +76,29 @@ def test_exports(spark, folder):
     assert X.bilingual_lines(segments).where("task_id = 1").first().text == "[0.0s] hi -> salut\n[1.0s] you -> \n[2.0s] yes -> oui"
 
 
+@pytest.mark.parametrize("batch", ["2", "10000"])
+def test_line_digests_take_every_character_of_every_line(spark, batch):
+    from hashlib import md5
+
+    texts = {1: ["b", "", "a", "été", "a"], 2: [""], 3: ["x" * 9, "y"]}
+    lines = spark.createDataFrame([(k, v) for k, vs in texts.items() for v in vs], "task_id bigint, value string")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, batch)
+    try:
+        got = {r.task_id: (r.lines, r.content) for r in X.line_digests(lines).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got == {k: (len(vs), md5("\n".join(sorted(vs)).encode()).hexdigest()) for k, vs in texts.items()}
+
+
+def test_the_export_is_checked_by_whole_contents():
+    import __spark_entry__ as entry
+
+    sql = entry.oracle_sql()["a05_export_markdown"]
+    assert "md5(string_agg(line, E'\\n' ORDER BY line)) AS content" in sql and "substr" not in sql
+
+
 def test_pushdown_reaches_the_scan(spark):
     orders = T.load(spark, "/root/testdata/sf0.001", "orders").where("o_orderkey = 5").select("o_orderkey", "o_orderstatus")
     plan = orders._jdf.queryExecution().executedPlan().toString()
