@@ -92,6 +92,23 @@ def test_line_digests_take_every_character_of_every_line(spark, batch):
     assert got == {k: (len(vs), md5("\n".join(sorted(vs)).encode()).hexdigest()) for k, vs in texts.items()}
 
 
+def test_many_folders_are_listed_by_few_tasks(spark, folder):
+    lines = spark.range(40).select(F.col("id").alias("task_id"), F.concat(F.lit("line "), "id").alias("value"))
+    lines.coalesce(1).write.partitionBy("task_id").text(f"{folder}/md")
+    before = spark.conf.get(X.LISTING, None)
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    context.setJobGroup("listing", "listing")
+    try:
+        read = X.read_markdown(spark, f"{folder}/md")
+        stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context.setLocalProperty("spark.job.description", None)
+    assert spark.conf.get(X.LISTING, None) == before
+    assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= 4 * context.defaultParallelism < 40
+    assert {(r.task_id, r.value) for r in read.collect()} == {(i, f"line {i}") for i in range(40)}
+
+
 def test_the_export_is_checked_by_whole_contents():
     import __spark_entry__ as entry
 
