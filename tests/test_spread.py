@@ -1,9 +1,12 @@
 """Work on large tables is dealt by their rows, so that what a task holds does not grow with them."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from voxlake.catalog.bindings import Tables
+from voxlake.catalog.registry import QUERIES
 from voxlake.operators import tasks as T
 from voxlake.plans.spread import TASK_CONF
 
@@ -28,3 +31,23 @@ def test_steps_and_their_progress_are_made_by_as_many_tasks_as_lines_need(spark,
         assert out.rdd.getNumPartitions() == 60 and max(sizes(out)) <= 300
     plan = T.workflow_progress(steps)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_a_larger_dashboard_has_more_buckets_each_written_by_one_task(spark, folder, monkeypatch):
+    from voxlake.catalog import live
+    from voxlake.streaming.refresh import LiveDashboard
+
+    monkeypatch.setattr(live, "scratch", lambda t, name: f"{folder}/{name}")
+    spark.conf.set(TASK_CONF, "300")
+    try:
+        rows = QUERIES["i09_dashboard_refresh"](spark, FOLDER)
+    finally:
+        spark.conf.unset(TASK_CONF)
+    board = LiveDashboard.at(spark, f"{folder}/board")
+    for table in (board.tasks, board.steps, board.rows):
+        found = table.head().folders
+        files = [len(list(Path(table.path, f).glob("*.parquet"))) for f in found.values()]
+        assert len(found) == 20 and set(files) == {1}
+        tasks = table.read().withColumn("file", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)).groupBy("file")
+        assert max(r.n for r in tasks.agg(F.count_distinct(F.pmod(F.xxhash64("task_id"), F.lit(20))).alias("n")).collect()) == 1
+    assert rows.count() == spark.read.parquet(f"{FOLDER}/orders.parquet").count()

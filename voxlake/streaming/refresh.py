@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxlake.operators import tasks as T
 from voxlake.operators.lifecycle import apply_step_updates
+from voxlake.plans.spread import spread
 from voxlake.streaming.versioned import VersionedTable
 
 #: An activity message: a project's progress, and with ``task_name`` what became of that step.
@@ -18,7 +19,7 @@ ACTIVITY = "task_id bigint, ts timestamp, seq bigint, phase string, percent doub
 def live_progress(tasks: DataFrame, activity: DataFrame) -> DataFrame:
     """Projects with the phase, progress and time of their last message; an empty field leaves what was there."""
     last = activity.groupBy("task_id").agg(F.max_by(F.struct("ts", "phase", "percent"), F.struct("ts", "seq")).alias("__m"))
-    merged = tasks.join(last, "task_id", "left")
+    merged = spread(tasks, ["task_id"]).join(last, "task_id", "left")
     kinds = dict(tasks.dtypes)
     news = {"updated_at": F.col("__m.ts").cast(kinds["updated_at"]), "phase": F.col("__m.phase"), "progress": F.col("__m.percent")}
     return merged.withColumns({k: F.coalesce(v, k) for k, v in news.items()}).select(*tasks.columns)
@@ -26,7 +27,8 @@ def live_progress(tasks: DataFrame, activity: DataFrame) -> DataFrame:
 
 def step_news(steps: DataFrame, activity: DataFrame) -> DataFrame:
     """Steps after the messages that name them (see ``apply_step_updates``)."""
-    return apply_step_updates(steps, activity.where(F.col("task_name").isNotNull()).select("task_id", "task_name", "seq", F.col("ts").alias("at"), "status"))
+    named = activity.where(F.col("task_name").isNotNull()).select("task_id", "task_name", "seq", F.col("ts").alias("at"), "status")
+    return apply_step_updates(spread(steps, ["task_id", "task_name"]), named)
 
 
 def summaries(tasks: DataFrame, steps: DataFrame) -> DataFrame:
@@ -50,7 +52,7 @@ class LiveDashboard:
         """The state before the stream; what is there already stays, so it can be called on every start."""
         self.tasks.create(tasks)
         self.steps.create(steps)
-        self.rows.create(summaries(self.tasks.read(), self.steps.read()))
+        self.rows.create(summaries(self.tasks.read(), spread(self.steps.read(), ["task_id"])))
 
     def refresh(self, activity: DataFrame, batch_id: int) -> None:
         """Take in a batch of messages, for ``foreachBatch``: the steps and projects they name change, and the rows of
@@ -63,7 +65,7 @@ class LiveDashboard:
             self.steps.upsert(news, batch_id, merge=step_news)
             self.tasks.upsert(news, batch_id, merge=live_progress)
             touched = news.select("task_id").where(F.col("task_id").isNotNull()).distinct()
-            own = lambda table: table.read(near=touched).join(touched, "task_id", "left_semi")
+            own = lambda table: spread(table.read(near=touched), ["task_id"]).join(touched, "task_id", "left_semi")
             self.rows.upsert(summaries(own(self.tasks), own(self.steps)), batch_id)
         finally:
             news.unpersist()

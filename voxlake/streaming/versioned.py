@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from voxlake.operators.lifecycle import merge_maps
+from voxlake.plans.spread import spread
 
 BUCKET = "vt_bucket"
 COMMIT_SQL = "version long, schema string, batches map<string,long>, folders map<int,string>"
@@ -28,7 +29,7 @@ def replace_rows(keys: list[str]) -> Merge:
     """New rows take the place of held ones with their keys; the batch has one row a key."""
 
     def merge(held: DataFrame, new: DataFrame) -> DataFrame:
-        return held.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*held.columns))
+        return spread(held, keys).join(new.select(*keys), keys, "left_anti").unionByName(new.select(*held.columns))
 
     return merge
 
@@ -41,7 +42,7 @@ def merge_states(key: str = "task_id", state: str = "state") -> Merge:
         fields = new.select(key, "seq", F.explode(state).alias("name", "value")).groupBy(key, "name").agg(F.max_by("value", F.struct("seq", "value")).alias("value"))
         newest = fields.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("__new"))
         known = new.select(key).distinct().join(newest, key, "left")  # a project may come with an empty map
-        return held.join(known, key, "full").select(key, merge_maps(F.col(state), F.col("__new")).alias(state))
+        return spread(held, [key]).join(known, key, "full").select(key, merge_maps(F.col(state), F.col("__new")).alias(state))
 
     return merge
 
@@ -62,7 +63,7 @@ class VersionedTable:
         """Version 0, with these rows; False where the table is there already."""
         if self.head() is not None:
             return False
-        self._commit(0, rows.schema.json(), {}, self._write(rows, self.buckets))
+        self._commit(0, rows.schema.json(), {}, self._write(rows))
         return True
 
     def head(self, version: int | None = None) -> Row | None:
@@ -93,7 +94,7 @@ class VersionedTable:
         try:
             touched = self._touched(self._bucketed(new))
             merged = (merge or replace_rows(list(self.keys)))(self._files(last, touched), new)
-            written = self._write(merged, len(touched)) if touched else {}
+            written = self._write(merged) if touched else {}
             kept = {b: folder for b, folder in last.folders.items() if b not in touched}
             self._commit(last.version + 1, last.schema, {**last.batches, source: batch_id}, {**kept, **written})
         finally:
@@ -141,10 +142,10 @@ class VersionedTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[self._at(f) for f in folders])
 
-    def _write(self, rows: DataFrame, buckets: int) -> dict[int, str]:
-        """New files for the rows; where every bucket that has rows now is."""
+    def _write(self, rows: DataFrame) -> dict[int, str]:
+        """New files for the rows, each bucket by a task of its own; where every bucket that has rows now is."""
         name = f"data/{uuid4().hex}"
-        self._bucketed(rows).repartition(buckets, BUCKET).write.partitionBy(BUCKET).parquet(self._at(name))
+        self._bucketed(rows).repartitionById(self.buckets, BUCKET).write.partitionBy(BUCKET).parquet(self._at(name))
         found = [n for n in self._names(name) if n.startswith(f"{BUCKET}=")]
         return {int(n.split("=")[1]): f"{name}/{n}" for n in found}
 
