@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from voxlake.catalog.bindings import Tables
 from voxlake.catalog.registry import QUERIES
+from voxlake.operators import speakers as P
 from voxlake.operators import tasks as T
-from voxlake.plans.spread import TASK_CONF
+from voxlake.plans.spread import TASK_CONF, spread_even
 
 FOLDER = "/root/testdata/sf0.001"  # 6,000 lines, 1,000 events, 150 customers
 
@@ -51,3 +52,17 @@ def test_a_larger_dashboard_has_more_buckets_each_written_by_one_task(spark, fol
         tasks = table.read().withColumn("file", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)).groupBy("file")
         assert max(r.n for r in tasks.agg(F.count_distinct(F.pmod(F.xxhash64("task_id"), F.lit(20))).alias("n")).collect()) == 1
     assert rows.count() == spark.read.parquet(f"{FOLDER}/orders.parquet").count()
+
+
+def test_segments_meet_their_speakers_in_as_many_tasks_as_they_need(spark, task_rows):
+    t = Tables(spark, FOLDER)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert P.resolve_speakers(t.speakers).rdd.getNumPartitions() == 8  # 600 of them, on 8 cores
+        segments = P.voice_sample(t.segments, t.speakers)
+        assert segments.rdd.getNumPartitions() == 10 and segments.count() == 1000
+        spark.conf.set("spark.voxlake.chunkRows", "2")  # a speaker with more segments is left to adaptive execution
+        assert "REPARTITION_BY_NUM" not in spread_even(t.segments, P.SPEAKER)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.voxlake.chunkRows")
