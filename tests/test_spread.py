@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxlake.catalog.bindings import Tables
 from voxlake.catalog.registry import QUERIES
+from voxlake.operators import scoring as C
 from voxlake.operators import speakers as P
 from voxlake.operators import tasks as T
 from voxlake.plans.spread import TASK_CONF, spread_even
@@ -66,3 +67,14 @@ def test_segments_meet_their_speakers_in_as_many_tasks_as_they_need(spark, task_
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.voxlake.chunkRows")
+
+
+def test_transcripts_are_dealt_by_their_text(spark):
+    rows = [(k, i, f"word{k}-{i} " * 5) for k in range(40) for i in range(3)]
+    df = spark.createDataFrame(rows, "task_id bigint, idx int, original_text string")
+    chars = sum(len(r[2]) for r in rows)
+    out = C.analyze(df, "summary", lambda: lambda prompt: prompt.split("TEXT:\n")[1], task_chars=chars // 20)
+    assert out.rdd.getNumPartitions() in (20, 21)
+    assert {r.task_id: r.analysis for r in out.collect()} == {k: " ".join(f"word{k}-{i} " * 5 for i in range(3)).strip() for k in range(40)}
+    none = C.analyze(df.where("false"), "summary", lambda: lambda prompt: prompt)
+    assert none.count() == 0

@@ -21,6 +21,7 @@ from voxlake import constants as K
 from voxlake.functions import text as X
 from voxlake.functions.convert import backoff
 from voxlake.operators.segments import concat_text
+from voxlake.plans.spread import spread
 from voxlake.session import checkpoint_dir
 
 Provider = Callable[[], Callable[[str], object] | Callable[[list[str]], list[object]]]
@@ -41,6 +42,7 @@ def quality_gate(values: object, max_peak: float = 10.0) -> str | None:
 
 
 LIST_SIZE = 64  # texts of one call
+TASK_CHARS = 1 << 22  # characters of transcripts that go to one task
 
 
 def lists(call: Callable[[list[str]], list[object]]) -> Callable[[list[str]], list[object]]:
@@ -279,13 +281,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
-def analyze(segments: DataFrame, mode: str, provider: Provider | None, **options) -> DataFrame:
+def analyze(segments: DataFrame, mode: str, provider: Provider | None, task_chars: int = TASK_CHARS, **options) -> DataFrame:
     """Whole transcript of each recording, the prompt for ``mode`` and the provider's one answer to it.
 
-    A prompt is one value, so the parts of a long recording's text are put together again, in order.
+    A prompt is one value, so the parts of a long recording's text are put together again, in order.  Recordings are
+    dealt to tasks by their text, which is measured first: what a Python worker holds is about ``task_chars`` characters
+    of transcripts, or a single longer one.
     """
+    chars = segments.agg(F.sum(F.length("original_text"))).first()[0]
+    dealt = spread(concat_text(segments), ["task_id"], rows=chars or 0, most=task_chars)
     listed = F.array_sort(F.collect_list(F.struct("part", "text")))
-    texts = concat_text(segments).groupBy("task_id").agg(F.array_join(F.transform(listed, lambda p: p["text"]), " ").alias("text"))
+    texts = dealt.groupBy("task_id").agg(F.array_join(F.transform(listed, lambda p: p["text"]), " ").alias("text"))
     prompted = texts.withColumns({
         "prompt": X.analysis_prompt(F.col("text"), F.lit(mode)),
         "error": X.analysis_error(F.lit(mode)),
