@@ -130,3 +130,64 @@ def test_quicksort_and_anchors():
         assert (repeats.anchors(codes, 50, 10)[0] == places).all()
     finally:
         repeats.SLICE = repeats_slice
+
+
+def ranges_by_pairs(contexts, span):
+    """What the byte matcher has to find for one anchor, from all pairs of contexts."""
+    out = []
+    for i, (_, at, body, places) in enumerate(contexts):
+        keep = [places > 1 and len(body) >= span] * len(body)
+        for j, (_, other, text, _) in enumerate(contexts):
+            for start in range(len(body) - span + 1):
+                begin = start - at + other
+                if i != j and begin >= 0 and body[start : start + span] == text[begin : begin + span]:
+                    keep[start : start + span] = [True] * span
+        out.append([k for k, x in enumerate(keep) if x])
+    return out
+
+
+@pytest.mark.parametrize("paired", [512, 4, 0])
+def test_many_anchors_are_matched_at_once(monkeypatch, paired):
+    """The contexts of all anchors of a batch are sorted together, once to the right and once to the left."""
+    rng, calls, plain = random.Random(8), [], suffixes.sorted_prefixes
+    monkeypatch.setattr(suffixes, "PAIRED", paired)
+    monkeypatch.setattr(suffixes, "sorted_prefixes", lambda *a: calls.append(1) or plain(*a))
+    span, reach = 30, 22
+    text = lambda n: bytes(rng.choice(b"a\0") for _ in range(n))
+    groups = []
+    for _ in range(150):
+        gram, sides = text(8), [(text(rng.randint(0, reach)), text(rng.randint(0, reach))) for _ in range(rng.randint(1, 4))]
+        own = []
+        for d in range(rng.randint(1, 12)):
+            left, right = rng.choice(sides)[0], rng.choice(sides)[1]
+            left, right = (left[rng.randint(0, 3) :], right[: rng.randint(10, reach)]) if rng.random() < 0.5 else (left, right)
+            own.append((d, len(left), left + gram + right, rng.choice([1, 1, 1, 2])))
+        groups.append(own)
+    groups.append([(d, reach, b"\0" * (reach + 8 + d % 23), 1) for d in range(40)])
+    found = suffixes.repeated_bytes(span)(groups)
+    assert len(calls) == 2
+    got = [[sorted({k for a, b in ranges for k in range(a, b)}) for ranges in own] for own in found]
+    assert got == [ranges_by_pairs(_counted(own), span) for own in groups]
+    assert sum(bool(x) for own in got for x in own) > 100
+
+
+def _counted(contexts):
+    """Equal contexts count as one with the places of all."""
+    places = {}
+    for _, at, body, n in contexts:
+        places[at, body] = places.get((at, body), 0) + n
+    return [(d, at, body, places[at, body]) for d, at, body, _ in contexts]
+
+
+def test_shared_prefixes_of_places_in_order():
+    rng = random.Random(4)
+    for token in (1, 3, 8):
+        strings = [bytes(rng.choice(b"\0\xff") for _ in range(rng.randint(0, 25))) for _ in range(120)]
+        group = np.sort(np.array([rng.randint(0, 9) for _ in strings]))
+        order, shared = suffixes.sorted_prefixes(group, strings, token)
+        assert [(group[i], strings[i]) for i in order] == sorted(zip(group.tolist(), strings))
+        for p in range(119):
+            a, b = strings[order[p]], strings[order[p + 1]]
+            if group[p] == group[p + 1]:
+                common = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+                assert min(shared[p], len(a), len(b)) == common

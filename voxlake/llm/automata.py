@@ -93,7 +93,7 @@ def earlier_matches(span: int):
                     known += 1
         return out
 
-    return match
+    return lambda groups: [match(contexts) for contexts in groups]
 
 
 class _Words:
