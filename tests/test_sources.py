@@ -1,4 +1,5 @@
 import json
+import time
 import wave
 from pathlib import Path
 
@@ -92,6 +93,32 @@ def test_line_digests_take_every_character_of_every_line(spark, batch):
     assert got == {k: (len(vs), md5("\n".join(sorted(vs)).encode()).hexdigest()) for k, vs in texts.items()}
 
 
+def test_export_takes_less_time_than_sparks_writer_and_says_the_same(spark, folder):
+    turns = spark.range(1500).select(
+        F.col("id").alias("task_id"), F.lit(0).alias("turn_no"), F.lit(0).alias("part"), F.lit("Ann").alias("speaker_name"),
+        F.when(F.col("id") % 7 > 0, F.concat(F.lit("été "), "id", F.lit("\n\nx"))).alias("text")).persist()
+    document = X.markdown_document(turns, F.lit("today"))
+
+    def plain(path):
+        document.repartitionByRange("task_id").sortWithinPartitions("task_id", "turn_no", "part").select("task_id", "value").write.partitionBy("task_id").mode("overwrite").text(path)
+
+    def seconds(write, path):
+        write(path)
+        start = time.perf_counter()
+        write(path)  # over what is there
+        return time.perf_counter() - start
+
+    slow, fast = seconds(plain, f"{folder}/plain"), seconds(lambda path: X.export_markdown(turns, path, F.lit("today")), f"{folder}/md")
+    texts = lambda top: {p.parent.name: p.read_bytes() for p in Path(top).glob("task_id=*/part-*.txt")}
+    assert texts(f"{folder}/md") == texts(f"{folder}/plain") and len(texts(f"{folder}/md")) == 1500
+    assert {p.name for p in Path(f"{folder}/md").iterdir() if not p.name.startswith("task_id=")} <= {"_SUCCESS", "._SUCCESS.crc"}
+    assert X.line_digests(X.read_markdown(spark, f"{folder}/md")).exceptAll(X.line_digests(X.read_markdown(spark, f"{folder}/plain"))).count() == 0
+    X.export_markdown(turns.limit(0), f"{folder}/none")
+    assert [p.name for p in Path(f"{folder}/none").glob("[!.]*")] == ["_SUCCESS"]
+    turns.unpersist()
+    assert fast < 0.6 * slow, (fast, slow)
+
+
 def test_many_folders_are_listed_by_few_tasks(spark, folder):
     lines = spark.range(40).select(F.col("id").alias("task_id"), F.concat(F.lit("line "), "id").alias("value"))
     lines.coalesce(1).write.partitionBy("task_id").text(f"{folder}/md")
